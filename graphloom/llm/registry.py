@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import mixing, secrets, sharding, warc
 
 
 def queries() -> dict:
-    return {"op7_mixing": mixing.op7_mixing, "op10_secrets": secrets.op10_secrets}
+    return {"op2_warc": warc.op2_warc, "op4_sharding": sharding.op4_sharding, "op7_mixing": mixing.op7_mixing, "op10_secrets": secrets.op10_secrets}
 
 
 def oracle_sql() -> dict:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op7_mixing": mixing.OP7_SQL}
