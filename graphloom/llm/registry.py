@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding, warc
+from . import mixing, secrets, sharding, simhash, suffix_dedup, warc
 
 
 def queries() -> dict:
-    return {"op2_warc": warc.op2_warc, "op4_sharding": sharding.op4_sharding, "op7_mixing": mixing.op7_mixing, "op10_secrets": secrets.op10_secrets}
+    return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_warc": warc.op2_warc,
+        "op4_sharding": sharding.op4_sharding,
+        "op7_mixing": mixing.op7_mixing,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_secrets": secrets.op10_secrets,
+    }
 
 
 def oracle_sql() -> dict:
