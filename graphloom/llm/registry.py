@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding, simhash, suffix_dedup, warc
+from . import ann, impact, mixing, secrets, sharding, simhash, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_warc": warc.op2_warc,
+        "op3_ann": ann.op3_ann,
         "op4_sharding": sharding.op4_sharding,
+        "op6_topk": impact.op6_topk,
         "op7_mixing": mixing.op7_mixing,
         "op9_simhash": simhash.op9_simhash,
         "op10_secrets": secrets.op10_secrets,
