@@ -21,9 +21,10 @@ from .support import materialize, table
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized_rows(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """doc_id, source, size in words and a 60-bit key that depends on doc_id and seed alone."""
+def sized_rows(docs: DataFrame, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size in words, a 60-bit key that depends on doc_id and seed alone, and the columns in carry."""
     return docs.select(
+        *carry,
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
@@ -63,16 +64,16 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: i
     return out.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target and taken: the words of the document that the mix takes."""
-    rows = materialize(sized_rows(docs, seed), "mix-rows")
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target and taken, the words of the document that the mix takes; after the columns in carry."""
+    rows = materialize(sized_rows(docs, seed, carry), "mix-rows")
     targets = materialize(source_targets(rows, weights, cap), "mix-targets")
     null_free = [F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").isNull().alias("src_null")]
     ranges = F.ceil(F.sqrt(F.col("source_rows").cast("double")))
-    keyed = rows.select("doc_id", "size", "sort_key", *null_free).join(targets.select(*null_free, "source_rows"), ["src", "src_null"])
+    keyed = rows.select(*carry, "doc_id", "size", "sort_key", *null_free).join(targets.select(*null_free, "source_rows"), ["src", "src_null"])
     keyed = keyed.withColumn("range_no", F.least(F.floor(F.col("sort_key") / F.lit(float(2**60)) * ranges), ranges - 1).cast("long"))
     in_range = Window.partitionBy("src", "src_null", "range_no").orderBy("sort_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = keyed.select("doc_id", "size", "src", "src_null", "range_no", F.coalesce(F.sum("size").over(in_range), F.lit(0)).alias("inside"))
+    ordered = keyed.select(*carry, "doc_id", "size", "src", "src_null", "range_no", F.coalesce(F.sum("size").over(in_range), F.lit(0)).alias("inside"))
     before = Window.partitionBy("src", "src_null").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("src", "src_null", "range_no")
@@ -82,10 +83,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     )
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("inside")))
     return ordered.join(materialize(offsets, "mix-offsets"), ["src", "src_null", "range_no"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken")
+        *carry, "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken")
     )
 
 
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of docs as the mix takes them: one that it takes n times occurs n times.
+
+    The row at a source's cut, of which the mix takes a part, is taken whole if the part is at least
+    half of it. Rows without words are in no mix.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mix(rows, weights, cap, seed, ("__row",)).where("taken > 0").select("__row", times.alias("__times")).where("__times > 0")
+    copies = rows.join(materialize(taken, "mix-taken"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return copies.select(docs.columns)
+
+
 def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, impact, mixing, secrets, sharding, simhash, suffix_dedup, warc
+from . import ann, impact, mixing, pieces, quality, secrets, sharding, simhash, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_warc": warc.op2_warc,
         "op3_ann": ann.op3_ann,
         "op4_sharding": sharding.op4_sharding,
+        "op5_quality": quality.op5_quality,
         "op6_topk": impact.op6_topk,
         "op7_mixing": mixing.op7_mixing,
+        "op8_pieces": pieces.op8_pieces,
         "op9_simhash": simhash.op9_simhash,
         "op10_secrets": secrets.op10_secrets,
     }
