@@ -38,7 +38,9 @@ SHARE_BYTES = 12 << 20  # of text that is sorted together on the map side
 SHARE_WINDOWS = 1 << 20
 RUNS_PER_BUCKET = 1_000_000
 ROUTED = "kind int, bucket int, doc binary, pos binary, len binary, one binary, two binary"
+FOUND = "block int, kind int, doc binary, pos binary, len binary"
 BY_DOC = "doc long, kind int, pos binary, len binary"
+FLUSH = 1 << 21  # rows held back to be packed together
 RUN, MARK, SPLIT = 0, 1, 2  # kinds: runs under way to their bucket, windows to remove, runs to refine
 
 
@@ -168,14 +170,12 @@ def _bucket_rows(buckets: int, kind: int, doc, pos, length, one, two):
         yield (kind, int(where[part[0]]), doc[part].tobytes(), pos[part].astype(np.int32).tobytes(), length[part].astype(np.int32).tobytes(), one[part].tobytes(), two[part].tobytes())
 
 
-def _doc_rows(kind: int, doc, pos, length):
-    """Rows of BY_DOC: per document its positions and lengths, packed."""
+def _aside(kind: int, doc, pos, length):
+    """A batch of ROUTED with one row, of what needs no bucket."""
     import numpy as np
 
-    order = np.argsort(doc, kind="stable")
-    cut = np.flatnonzero(np.diff(doc[order])) + 1
-    for part in np.split(order, cut) if len(order) else []:
-        yield (int(doc[part[0]]), kind, pos[part].astype(np.int32).tobytes(), length[part].astype(np.int32).tobytes())
+    packed = (doc.tobytes(), pos.astype(np.int32).tobytes(), length.astype(np.int32).tobytes())
+    return _batch([(kind, -1, *packed, b"", b"")] if len(doc) else [], ROUTED)
 
 
 def _batch(rows, names: str):
@@ -232,12 +232,10 @@ def _first_pass(buckets: int):
             doc, pos, length = (_concat([s[i] for s in share], np.int64) for i in range(3))
             a, b = (_concat([s[i] for s in share], np.uint64) for i in (3, 4))
             first, rest = first_and_rest(a, b, doc, pos)
-            rows = list(_doc_rows(MARK, doc[rest], pos[rest], length[rest]))
-            yield _batch([(MARK, -1, np.int64(d).tobytes(), p, n, b"", b"") for d, _, p, n in rows], ROUTED)
+            yield _aside(MARK, doc[rest], pos[rest], length[rest])
             doc, pos, length, a, b = (x[first] for x in (doc, pos, length, a, b))
             torn = several(a, b)
-            rows = list(_doc_rows(SPLIT, doc[torn], pos[torn], length[torn]))
-            yield _batch([(SPLIT, -1, np.int64(d).tobytes(), p, n, b"", b"") for d, _, p, n in rows], ROUTED)
+            yield _aside(SPLIT, doc[torn], pos[torn], length[torn])
             # Of a torn anchor one row goes out, with length 0: it tells the bucket that the anchor is torn.
             seen, at = np.unique(a[torn], return_index=True)
             told = np.flatnonzero(torn)[at]
@@ -268,56 +266,118 @@ def _first_pass(buckets: int):
     return run
 
 
-def _by_bucket(batches, decide):
-    """Gathers the rows of each bucket, which arrive together, and yields what decide makes of them."""
+def _by_bucket(batches, blocks: int, decide):
+    """Gathers the rows of each bucket, which arrive together, and yields batches of FOUND with what decide makes of them.
+
+    decide returns tuples (kind, doc, pos, length) of arrays. They are packed by block, a hash of
+    the document, over many buckets.
+    """
     import numpy as np
 
     held, bucket = [], None
+    waiting, n = [], 0
 
     def settle():
         doc = np.frombuffer(b"".join(r[2] for r in held), np.int64)
         pos, length = (np.frombuffer(b"".join(r[i] for r in held), np.int32).astype(np.int64) for i in (3, 4))
         one = np.frombuffer(b"".join(r[5] for r in held), np.uint64)
-        two = np.frombuffer(b"".join(r[6] for r in held), np.uint64 if len(one) and sum(len(r[6]) for r in held) == 8 * len(one) else np.uint32)
+        two = np.frombuffer(b"".join(r[6] for r in held), np.uint64 if sum(len(r[6]) for r in held) == 8 * len(one) else np.uint32)
         return decide(doc, pos, length, one, two)
 
+    def flush():
+        rows = []
+        for kind in (MARK, SPLIT):
+            doc, pos, length = (_concat([w[i] for w in waiting if w[0] == kind], np.int64) for i in (1, 2, 3))
+            where = (scramble(doc.view(np.uint64) + np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
+            order = np.lexsort((pos, doc, where))
+            doc, pos, length, where = doc[order], pos[order], length[order], where[order]
+            # Windows that follow each other become one run.
+            new = np.ones(len(doc), bool)
+            if kind == MARK:
+                new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + length[:-1])
+            at = np.flatnonzero(new)
+            length = np.add.reduceat(length, at) if len(at) else length
+            doc, pos, where = doc[at], pos[at], where[at]
+            cut = np.flatnonzero(np.diff(where)) + 1
+            for part in np.split(np.arange(len(doc)), cut) if len(doc) else []:
+                rows.append((int(where[part[0]]), kind, doc[part].tobytes(), pos[part].astype(np.int32).tobytes(), length[part].astype(np.int32).tobytes()))
+        return _batch(rows, FOUND)
+
     for b in batches:
-        names = b.schema.names
         for i in range(b.num_rows):
-            r = tuple(b.column(c)[i].as_py() for c in range(len(names)))
+            r = tuple(b.column(c)[i].as_py() for c in range(b.num_columns))
             if r[0] != RUN:
-                yield [(int(np.frombuffer(r[2], np.int64)[0]), r[0], r[3], r[4])]
-                continue
-            if bucket is not None and r[1] != bucket:
-                yield settle()
-                held = []
-            bucket = r[1]
-            held.append(r)
+                found = [(r[0], np.frombuffer(r[2], np.int64), *(np.frombuffer(x, np.int32).astype(np.int64) for x in r[3:5]))]
+            else:
+                found = []
+                if bucket is not None and r[1] != bucket:
+                    found = settle()
+                    held = []
+                bucket = r[1]
+                held.append(r)
+            waiting += found
+            n += sum(len(f[1]) for f in found)
+            if n >= FLUSH:
+                yield flush()
+                waiting, n = [], 0
     if held:
-        yield settle()
+        waiting += settle()
+    if waiting:
+        yield flush()
 
 
-def _second_pass(batches):
-    """Buckets of anchors to rows of BY_DOC."""
-    import numpy as np
+def _second_pass(blocks: int):
+    """Buckets of anchors to marks and splits."""
 
     def decide(doc, pos, length, one, two):
+        import numpy as np
+
         torn = several(one, two)
         torn |= np.isin(one, np.unique(one[length == 0]))
         real = length > 0
         doc, pos, length, one, two, torn = (x[real] for x in (doc, pos, length, one, two, torn))
         first, rest = first_and_rest(one, two, doc, pos)
         split = first & torn
-        return [*_doc_rows(MARK, doc[rest], pos[rest], length[rest]), *_doc_rows(SPLIT, doc[split], pos[split], length[split])]
-
-    waiting = []
-    for rows in _by_bucket(batches, decide):
-        waiting += rows
-        if len(waiting) >= 20_000:
-            yield _batch(waiting, BY_DOC)
-            waiting = []
-    if waiting:
-        yield _batch(waiting, BY_DOC)
+        return [(MARK, doc[rest], pos[rest], length[rest]), (SPLIT, doc[split], pos[split], length[split])]
+
+    return lambda batches: _by_bucket(batches, blocks, decide)
+
+
+def _last_pass(blocks: int):
+    """Buckets of windows to marks."""
+
+    def decide(doc, pos, length, one, two):
+        _, rest = first_and_rest(one, two, doc, pos)
+        return [(MARK, doc[rest], pos[rest], length[rest])]
+
+    return lambda batches: _by_bucket(batches, blocks, decide)
+
+
+def _regroup(batches):
+    """Rows of FOUND, sorted by block, to one row of BY_DOC for each document and kind."""
+    import numpy as np
+
+    def settle(held):
+        rows = []
+        for kind in (MARK, SPLIT):
+            doc = np.frombuffer(b"".join(r[2] for r in held if r[1] == kind), np.int64)
+            pos, length = (np.frombuffer(b"".join(r[i] for r in held if r[1] == kind), np.int32) for i in (3, 4))
+            order = np.lexsort((pos, doc))
+            cut = np.flatnonzero(np.diff(doc[order])) + 1
+            rows += [(int(doc[part[0]]), kind, pos[part].tobytes(), length[part].tobytes()) for part in (np.split(order, cut) if len(order) else [])]
+        return _batch(rows, BY_DOC)
+
+    held, block = [], None
+    for b in batches:
+        for i in range(b.num_rows):
+            r = tuple(b.column(c)[i].as_py() for c in range(b.num_columns))
+            if block is not None and r[0] != block:
+                yield settle(held)
+                held = []
+            block = r[0]
+            held.append(r)
+    if held:
+        yield settle(held)
 
 
 def _spread(pos, length):
@@ -342,8 +402,7 @@ def _window_pass(buckets: int):
             a, b = _concat([s[2] for s in share], np.uint64), _concat([s[3] for s in share], np.uint32)
             first, rest = first_and_rest(a, b, doc, pos)
             ones = np.ones(len(doc), np.int64)
-            rows = list(_doc_rows(MARK, doc[rest], pos[rest], ones[rest]))
-            yield _batch([(MARK, -1, np.int64(d).tobytes(), p, n, b"", b"") for d, _, p, n in rows], ROUTED)
+            yield _aside(MARK, doc[rest], pos[rest], ones[rest])
             yield _batch(list(_bucket_rows(buckets, RUN, doc[first], pos[first], ones[first], a[first], b[first])), ROUTED)
 
         for doc, text, packed_pos, packed_len in _texts(batches, "pos", "len"):
@@ -373,23 +432,6 @@ def _window_pass(buckets: int):
     return run
 
 
-def _last_pass(batches):
-    """Buckets of windows to marks."""
-
-    def decide(doc, pos, length, one, two):
-        _, rest = first_and_rest(one, two, doc, pos)
-        return list(_doc_rows(MARK, doc[rest], pos[rest], length[rest]))
-
-    waiting = []
-    for rows in _by_bucket(batches, decide):
-        waiting += rows
-        if len(waiting) >= 20_000:
-            yield _batch(waiting, BY_DOC)
-            waiting = []
-    if waiting:
-        yield _batch(waiting, BY_DOC)
-
-
 REPORT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -468,16 +510,20 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     keyed, total = _keyed(docs)
     buckets = max(partitions(docs.sparkSession), -(-total * 2 // ((DEPTH - GRAM + 1) * RUNS_PER_BUCKET)))
-    by_bucket = lambda df: df.repartition("bucket_or_doc").sortWithinPartitions("bucket_or_doc", "bucket").drop("bucket_or_doc")
-    # Marks and splits travel with the runs; their bucket is -1, so they are spread by document.
-    spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.pmod(F.xxhash64("doc"), F.lit(1 << 40)))
-    route = lambda df, f: by_bucket(df.mapInArrow(f, ROUTED).withColumn("bucket_or_doc", spread))
-    first = materialize(route(keyed.select("doc", "text"), _first_pass(buckets)).mapInArrow(_second_pass, BY_DOC), "dedup-runs")
+    # What needs no bucket travels with the runs, spread at random.
+    spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.pmod(F.xxhash64("doc", "pos"), F.lit(1 << 40)))
+
+    def routed(df: DataFrame, emit, decide) -> DataFrame:
+        """One row per document and kind, through the buckets and then through blocks of documents."""
+        sent = df.mapInArrow(emit, ROUTED).withColumn("to", spread).repartition("to").sortWithinPartitions("to", "bucket").drop("to")
+        return sent.mapInArrow(decide, FOUND).repartition("block").sortWithinPartitions("block").mapInArrow(_regroup, BY_DOC)
+
+    first = materialize(routed(keyed.select("doc", "text"), _first_pass(buckets), _second_pass(buckets)), "dedup-runs")
     texts = keyed.select("doc", "doc_id", "text")
     packed = lambda df: df.groupBy("doc").agg(F.collect_list("pos").alias("pos"), F.collect_list("len").alias("len"))
     # The same columns as below, so that both joins can read one exchange of the texts.
     refined = texts.join(packed(first.where(F.col("kind") == SPLIT)), "doc").select("doc", "doc_id", "text", "pos", "len")
-    marks = route(refined, _window_pass(buckets)).mapInArrow(_last_pass, BY_DOC).unionByName(first.where(F.col("kind") == MARK))
+    marks = routed(refined, _window_pass(buckets), _last_pass(buckets)).unionByName(first.where(F.col("kind") == MARK))
     marked = texts.join(packed(marks), "doc", "left").select("doc_id", "text", "pos", "len")
     return marked.mapInArrow(_report, "doc_id long, " + REPORT)
 
