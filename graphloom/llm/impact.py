@@ -4,14 +4,14 @@ Components are integers, floor(256 * x). In each task the vectors of a block get
 dimension and both directions, postings in descending order of their lead: how far the component
 lies above the dimension's least value, or below its greatest one for queries that are negative
 there. Leads are quantised to levels of 2**LEVEL_BITS, and the postings of a level form a segment.
-A query adds, segment by segment in descending order of impact (its weight times the segment's
-greatest lead), the impacts of the segment's postings to the vectors' sums.
+A query takes segments in descending order of impact (its weight times the segment's greatest lead)
+and adds their postings' impacts to the vectors' sums.
 
 At checkpoints the search may stop, on this proof: what a vector has not yet been given in a
 dimension is at most that dimension's next segment's impact, so its sum plus those bounds is an upper
-bound; the k-th best exact score known so far is a lower bound for members of the answer. If few
-vectors have upper bounds that reach it, just these possible members are scored exactly. Otherwise
-the search goes on, to the last segment if need be, after which sums are exact.
+bound; the k-th best of some exact scores is a lower bound for members of the answer. If few vectors
+have upper bounds that reach it, just these possible members are scored exactly. Otherwise the search
+goes on, to the last segment if need be, after which the bounds are the scores.
 
 Defined results: which vectors take part is said in `usable` (zero vectors do); ties go to the
 smaller vec_id; fewer candidates than k give fewer rows; an empty table gives an empty result.
@@ -26,8 +26,8 @@ from .support import table
 from .vectors import best, matrix, query_blocks, union_all, usable
 
 SCALE = 256
-LEVEL_BITS = 5
-CHECKPOINTS = (0.45, 0.6, 0.75)  # shares of the postings
+LEVEL_BITS = 3
+CHECKPOINTS = (0.5, 0.7, 1.0)  # shares of the postings
 BLOCK_ROWS = 8192
 FEW = 24  # a stop leaves at most 1 / FEW of the vectors as possible members
 
@@ -40,7 +40,7 @@ class ImpactIndex:
 
         self.vectors = vectors
         self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
-        self.order, self.lead, self.starts, self.tops = [], [], [], []
+        self.order, self.lead, self.stops, self.tops = [], [], [], []
         for d in range(vectors.shape[1]):
             for lead in (vectors[:, d] - self.low[d], self.high[d] - vectors[:, d]):
                 order = np.argsort(-lead, kind="stable")
@@ -48,54 +48,69 @@ class ImpactIndex:
                 level = ranked >> LEVEL_BITS
                 starts = np.flatnonzero(np.append(True, level[1:] != level[:-1]))
                 self.order.append(order)
-                self.lead.append(ranked)
-                self.starts.append(np.append(starts, len(order)))
+                self.lead.append(ranked.astype(np.float64))
+                self.stops.append(np.append(starts[1:], len(order)))
                 self.tops.append(ranked[starts])
+        self.places = np.empty(len(vectors) * vectors.shape[1], np.intp)
+        self.values = np.empty(len(self.places))
 
-    def top(self, query, k: int, own: int, ids, floor):
-        """(ids, scores) of the k best rows of the block other than own; rows certainly below floor may be missing."""
+    def _segments(self, query):
+        """The query's segments in descending order of impact: (list, place in it), and how many postings they come to."""
+        import numpy as np
+
+        lists = np.array([2 * d + int(w < 0) for d, w in enumerate(query) if w], np.intp)
+        of = np.repeat(lists, [len(self.tops[i]) for i in lists])
+        at = np.concatenate([np.arange(len(self.tops[i])) for i in lists])
+        size = np.concatenate([np.diff(self.stops[i], prepend=0) for i in lists])
+        impact = np.concatenate([self.tops[i] * abs(int(query[i // 2])) for i in lists])
+        rank = np.lexsort((at, of, -impact))
+        return lists, of[rank], at[rank], np.cumsum(size[rank])
+
+    def top(self, query, k: int, own: int, ids, floor: int):
+        """(ids, scores) of the k best rows of the block other than own; rows certainly below floor may be missing.
+
+        Between two checkpoints the segments taken from a list follow each other, so they are added
+        in one piece. What is added is the impact less the list's bound, and the bounds of all lists
+        are added once: that is the upper bound of every vector, and its score once all is read.
+        """
         import numpy as np
 
         n = len(self.vectors)
-        lists = [2 * d + int(w < 0) for d, w in enumerate(query) if w]
-        weight = {i: abs(int(query[i // 2])) for i in lists}
-        offset = int(sum(int(w) * int(self.low[d] if w > 0 else self.high[d]) for d, w in enumerate(query)))
-        segments = sorted(((weight[i] * int(top), i, s) for i in lists for s, top in enumerate(self.tops[i])), reverse=True)
-        sums, done, reached = np.full(n, offset, np.int64), 0, dict.fromkeys(lists, 0)
-        checks = [c * n * len(lists) for c in CHECKPOINTS]
         alive = ids != own
+        rows = np.flatnonzero(alive)
 
-        def answer(rows, scores):
+        def answer(rows):
+            scores = self.vectors[rows] @ query
             order = np.lexsort((ids[rows], -scores))[:k]
             return ids[rows][order], scores[order]
 
-        for _, i, s in segments:
-            a, b = self.starts[i][s], self.starts[i][s + 1]
-            sums[self.order[i][a:b]] += weight[i] * self.lead[i][a:b]
-            done += b - a
-            reached[i] = s + 1
-            if checks and done >= checks[0]:
-                checks.pop(0)
-                best_rows = np.argpartition(-sums, min(4 * k, n - 1))[: 4 * k]
-                best_rows = best_rows[alive[best_rows]]
-                known = np.sort(self.vectors[best_rows] @ query)[::-1]
-                least = max(floor, int(known[k - 1])) if len(known) >= k else floor
-                if least is None:
-                    continue
-                upper = sums.copy()
-                for j in lists:
-                    r = reached[j]
-                    bound = weight[j] * int(self.tops[j][r]) if r < len(self.tops[j]) else 0
-                    if bound:
-                        upper[self.order[j][self.starts[j][r] :]] += bound
-                possible = np.flatnonzero((upper >= least) & alive)
-                if len(possible) <= max(4 * k, n // FEW):
-                    return answer(possible, self.vectors[possible] @ query)
-        rows = np.flatnonzero(alive)
-        if len(rows) > k:
-            least = -np.partition(-sums[rows], k - 1)[k - 1]
-            rows = rows[sums[rows] >= least]
-        return answer(rows, sums[rows])
+        if not query.any() or len(rows) <= 4 * k:
+            return answer(rows)
+        lists, of, at, postings = self._segments(query)
+        offset = sum(int(w) * int(self.low[d] if w > 0 else self.high[d]) for d, w in enumerate(query))
+        for share in CHECKPOINTS:
+            taken = int(np.searchsorted(postings, share * postings[-1])) + 1
+            reached = np.zeros(2 * len(query), np.intp)
+            np.maximum.at(reached, of[:taken], at[:taken] + 1)
+            used, bounds = 0, offset
+            for i in lists:
+                w, r = abs(int(query[i // 2])), reached[i]
+                bound = w * int(self.tops[i][r]) if r < len(self.tops[i]) else 0
+                bounds += bound
+                m = int(self.stops[i][r - 1]) if r else 0
+                self.places[used : used + m] = self.order[i][:m]
+                piece = self.values[used : used + m]
+                np.multiply(self.lead[i][:m], w, out=piece)
+                piece -= bound
+                used += m
+            upper = np.bincount(self.places[:used], self.values[:used], n) + bounds  # whole numbers far below 2**53
+            upper[~alive] = -np.inf
+            likely = np.argpartition(-upper, 4 * k - 1)[: 4 * k]
+            known = np.sort(self.vectors[likely[alive[likely]]] @ query)[::-1]
+            least = max(floor, int(known[k - 1])) if len(known) >= k else floor
+            possible = np.flatnonzero(upper >= least)
+            if share == CHECKPOINTS[-1] or len(possible) <= max(4 * k, n // FEW):
+                return answer(possible)
 
 
 def search(rows: DataFrame, ids, queries, k: int) -> DataFrame:
