@@ -330,7 +330,7 @@ def pack_chunks(units: DataFrame, budget: int, images_per_chunk: int = 20) -> Da
         return pdf.assign(chunk=out)[["path", "chunk"]]
 
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    return units.select("path", "tokens", "is_image", directory.alias("directory")).groupBy(F.lit(1)).applyInPandas(pack, "path string, chunk long")
+    return units.select("path", "tokens", "is_image", directory.alias("directory")).groupBy(F.lit("all")).applyInPandas(pack, "path string, chunk long")
 
 
 def slices(text: str, limit: int) -> list[tuple[int, int]]:

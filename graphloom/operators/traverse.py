@@ -1,7 +1,7 @@
 """Traversal and centrality.
 
 Frontiers are tables. Each step joins the frontier with the edges and leaves out what has been
-visited; lineage is cut at every third step by a checkpoint where a checkpoint folder is set.
+visited; lineage is cut at every third step by a checkpoint.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ IMPACT_RELATIONS = (
 
 
 def settled(df: DataFrame, step: int) -> DataFrame:
-    """df with its lineage cut at every third step, if the session has a checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """df with its lineage cut at every third step, in the session's checkpoint folder (a temporary one if none is set)."""
     if step % 3 != 2:
         return df
-    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def dfs(edges: DataFrame, nodes: DataFrame, seeds: list[str], depth: int = 3, di
                 stack += [(t, d + 1) for t in out_of.get(node, []) if t not in order]
         return pd.DataFrame([(k, d, v) for k, (d, v) in order.items()], columns=["id", "depth", "visit"])
 
-    return rows.groupBy(F.lit(1)).applyInPandas(walk, "id string, depth int, visit int")
+    return rows.groupBy(F.lit("all")).applyInPandas(walk, "id string, depth int, visit int")
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8) -> DataFrame:

@@ -29,7 +29,7 @@ def _nodes(df, kind, key, label, file_type, source_file, community, base):
         source_file.alias("source_file"),
         F.concat(F.lit("L"), F.col(key) % 500 + 1).alias("source_location"),
         community.cast("bigint").alias("community"),
-        (F.lit(base * 10**12) + F.col(key)).cast("bigint").alias("_ord"),
+        (F.lit(base * 10**15) + F.col(key)).cast("bigint").alias("_ord"),
     )
 
 
@@ -63,7 +63,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     key = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c))
-    at = lambda base, c: F.lit(base * 10**12) + c
+    at = lambda base, c: F.lit(base * 10**15) + c
     sure, one, none, empty = F.lit("EXTRACTED"), F.lit(1.0), F.lit(None), F.lit("")
     lines = t("lineitem")
     by_flag = F.when(F.col("l_returnflag") == "N", "EXTRACTED").when(F.col("l_returnflag") == "R", "INFERRED").otherwise("AMBIGUOUS")
@@ -72,7 +72,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("customer"), key("customer", "c_custkey"), key("nation", "c_nationkey"), "located_in", sure, one, none, F.concat(F.lit("customers/"), F.lower("c_mktsegment"), F.lit(".md")), at(2, F.col("c_custkey"))),
         edge(t("supplier"), key("supplier", "s_suppkey"), key("nation", "s_nationkey"), "located_in", sure, one, none, F.concat(F.lit("suppliers/nation_"), F.col("s_nationkey"), F.lit(".py")), at(3, F.col("s_suppkey"))),
         edge(t("orders"), key("order", "o_orderkey"), key("customer", "o_custkey"), "references", sure, one, none, F.concat(F.lit("orders/"), F.year("o_orderdate"), F.lit(".md")), at(4, F.col("o_orderkey"))),
-        edge(lines, key("order", "l_orderkey"), key("part", "l_partkey"), "contains", by_flag, F.col("l_quantity"), F.when(F.col("l_linestatus") == "O", "call").otherwise("import"), empty, at(5, F.col("l_orderkey") * 100 + F.col("l_linenumber"))),
+        edge(lines, key("order", "l_orderkey"), key("part", "l_partkey"), "contains", by_flag, F.col("l_quantity"), F.when(F.col("l_linestatus") == "O", "call").otherwise("import"), empty, at(5, (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("bigint") * 3 + F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2))),
         edge(lines.select("l_partkey", "l_suppkey").distinct(), key("part", "l_partkey"), key("supplier", "l_suppkey"), "uses", F.lit("INFERRED"), one, F.lit("field"), empty, at(6, F.col("l_partkey") * 10**6 + F.col("l_suppkey"))),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -86,19 +86,19 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 GRAPH_SQL = """
 nodes AS (
   SELECT 'region:' || r_regionkey AS id, r_name AS label, 'concept' AS file_type, '' AS source_file, 'L' || (r_regionkey % 500 + 1) AS source_location,
-         CAST(NULL AS BIGINT) AS community, 1000000000000 + r_regionkey AS _ord FROM region
-  UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'concept', '', 'L' || (n_nationkey % 500 + 1), n_nationkey, 2000000000000 + n_nationkey FROM nation
-  UNION ALL SELECT 'customer:' || c_custkey, c_name, 'document', 'customers/' || lower(c_mktsegment) || '.md', 'L' || (c_custkey % 500 + 1), c_nationkey, 3000000000000 + c_custkey FROM customer
-  UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'code', 'suppliers/nation_' || s_nationkey || '.py', 'L' || (s_suppkey % 500 + 1), s_nationkey, 4000000000000 + s_suppkey FROM supplier
-  UNION ALL SELECT 'part:' || p_partkey, p_name, 'code', 'parts/' || p_brand || '.py', 'L' || (p_partkey % 500 + 1), p_size + 100, 5000000000000 + p_partkey FROM part
-  UNION ALL SELECT 'order:' || o_orderkey, 'order_' || o_orderkey || '()', 'document', 'orders/' || year(o_orderdate) || '.md', 'L' || (o_orderkey % 500 + 1), NULL, 6000000000000 + o_orderkey FROM orders),
+         CAST(NULL AS BIGINT) AS community, 1000000000000000 + r_regionkey AS _ord FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'concept', '', 'L' || (n_nationkey % 500 + 1), n_nationkey, 2000000000000000 + n_nationkey FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, c_name, 'document', 'customers/' || lower(c_mktsegment) || '.md', 'L' || (c_custkey % 500 + 1), c_nationkey, 3000000000000000 + c_custkey FROM customer
+  UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'code', 'suppliers/nation_' || s_nationkey || '.py', 'L' || (s_suppkey % 500 + 1), s_nationkey, 4000000000000000 + s_suppkey FROM supplier
+  UNION ALL SELECT 'part:' || p_partkey, p_name, 'code', 'parts/' || p_brand || '.py', 'L' || (p_partkey % 500 + 1), p_size + 100, 5000000000000000 + p_partkey FROM part
+  UNION ALL SELECT 'order:' || o_orderkey, 'order_' || o_orderkey || '()', 'document', 'orders/' || year(o_orderdate) || '.md', 'L' || (o_orderkey % 500 + 1), NULL, 6000000000000000 + o_orderkey FROM orders),
 edges AS (
   SELECT 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'part_of' AS relation, 'EXTRACTED' AS confidence, CAST(1.0 AS DOUBLE) AS weight,
-         CAST(NULL AS VARCHAR) AS context, '' AS source_file, 1000000000000 + n_nationkey AS _ord FROM nation
-  UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'located_in', 'EXTRACTED', 1.0, NULL, 'customers/' || lower(c_mktsegment) || '.md', 2000000000000 + c_custkey FROM customer
-  UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'located_in', 'EXTRACTED', 1.0, NULL, 'suppliers/nation_' || s_nationkey || '.py', 3000000000000 + s_suppkey FROM supplier
-  UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'references', 'EXTRACTED', 1.0, NULL, 'orders/' || year(o_orderdate) || '.md', 4000000000000 + o_orderkey FROM orders
+         CAST(NULL AS VARCHAR) AS context, '' AS source_file, 1000000000000000 + n_nationkey AS _ord FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'located_in', 'EXTRACTED', 1.0, NULL, 'customers/' || lower(c_mktsegment) || '.md', 2000000000000000 + c_custkey FROM customer
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'located_in', 'EXTRACTED', 1.0, NULL, 'suppliers/nation_' || s_nationkey || '.py', 3000000000000000 + s_suppkey FROM supplier
+  UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'references', 'EXTRACTED', 1.0, NULL, 'orders/' || year(o_orderdate) || '.md', 4000000000000000 + o_orderkey FROM orders
   UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'contains', CASE l_returnflag WHEN 'N' THEN 'EXTRACTED' WHEN 'R' THEN 'INFERRED' ELSE 'AMBIGUOUS' END,
-         l_quantity, CASE WHEN l_linestatus = 'O' THEN 'call' ELSE 'import' END, '', 5000000000000 + l_orderkey * 100 + l_linenumber FROM lineitem
-  UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'uses', 'INFERRED', 1.0, 'field', '', 6000000000000 + l_partkey * 1000000 + l_suppkey FROM lineitem)
+         l_quantity, CASE WHEN l_linestatus = 'O' THEN 'call' ELSE 'import' END, '', 5000000000000000 + (l_orderkey * 100 + l_linenumber) * 1000 + CAST(l_quantity AS BIGINT) * 3 + CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END FROM lineitem
+  UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'uses', 'INFERRED', 1.0, 'field', '', 6000000000000000 + l_partkey * 1000000 + l_suppkey FROM lineitem)
 """
