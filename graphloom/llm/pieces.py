@@ -26,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import table
+from .support import released, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 400_000
+CACHE = 600_000
 SHARE_CHARS = 4 << 20
 TOKENS = "ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
 
@@ -93,7 +93,8 @@ class Pieces:
         self.raw = [b"" if k not in (self.NORMAL, self.BYTE) else bytes([int(p[3:5], 16)]) if k == self.BYTE else p.replace(MARK, " ").encode() for p, k in zip(self.text, kinds, strict=True)]
         self.halves: dict = {}
         self.known: dict = {}
-        self.ends: dict[str, list[str]] = {}
+        self.floor = min(self.score) - 10.0
+        self.reached = {p for p in self.id if not self.bpe or self.split(p) is not False}
 
     def split(self, piece: str):
         """The two pieces that merging joins last to make piece; None for a character, False if merging does not reach piece."""
@@ -175,8 +176,7 @@ class Pieces:
         return out
 
     def _best(self, word: str, end: int, state: list):
-        floor = min(self.score) - 10.0
-        found = (state[end - 1][0] + floor, None, end - 1)
+        found = (state[end - 1][0] + self.floor, None, end - 1)
         for start in range(max(0, end - self.longest), end):
             piece = word[start:end]
             if piece in self.id and (state[start][0] + self.score[self.id[piece]]) > found[0]:
@@ -185,11 +185,16 @@ class Pieces:
 
     def _last(self, word: str, end: int, state: list):
         """The last piece of the encoding of word[:end]: the longest first, the only one that is joint with what it follows."""
+        known = self.known
         for start in range(max(0, end - self.longest), end):
             piece = word[start:end]
-            if piece not in self.id or self.split(piece) is False:
+            if piece not in self.reached:
                 continue
-            if start == 0 or state[start][1] is None or self.joint(state[start][1], piece):
+            before = state[start][1]
+            if start == 0 or before is None:
+                return (0.0, piece, start)
+            ok = known.get((before, piece))
+            if self.joint(before, piece) if ok is None else ok:
                 return (0.0, piece, start)
         return (0.0, None, end - 1)
 
@@ -215,31 +220,58 @@ def marked_words(text: str) -> list[str]:
     return words
 
 
+class Cache:
+    """Encodings by word in two generations: a full young one becomes the old one, which is dropped; what is used stays."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.young, self.old = pieces, {}, {}
+
+    def __call__(self, words: set[str]) -> dict:
+        """A mapping that has all of words: plain ones (encoded with a mark before them) and marked ones."""
+        missing = words.difference(self.young)
+        if len(self.young) + len(missing) > CACHE // 2:
+            self.old, self.young = self.young, {}
+            missing = words
+        kept = missing.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in kept)
+        marked = {w: w if w.startswith(MARK) else MARK + w for w in missing.difference(kept)}
+        coded = self.pieces.encode_words(list(set(marked.values())))
+        self.young.update((w, coded[m]) for w, m in marked.items())
+        return self.young
+
+
+def cut(text: str) -> list[str]:
+    """The words of a text for the cache: plain where single spaces part them, else marked."""
+    words = text.split(" ")
+    return marked_words(text) if "" in words or MARK in text else words
+
+
 def _encode(model_path: str):
     def run(batches):
         import hashlib
+        from array import array
+        from itertools import chain
 
         import numpy as np
         import pyarrow as pa
 
-        pieces, cache = Pieces(read_model(model_path)), {}
+        pieces = Pieces(read_model(model_path))
+        cache = Cache(pieces)
 
         def settle(ids_column, texts):
-            cut = [marked_words(t) for t in texts]
-            new = {w for words in cut for w in words if w not in cache}
-            if len(cache) + len(new) > CACHE and len(cache) > CACHE // 2:
-                cache.clear()
-                new = {w for words in cut for w in words}
-            cache.update(pieces.encode_words(list(new)))
-            coded = [[i for w in words for i in cache[w]] for words in cut]
-            back = [pieces.decode(ids) for ids in coded]
-            sizes = np.fromiter(map(len, coded), np.int32, len(coded))
-            flat = np.fromiter((i for ids in coded for i in ids), np.int32, int(sizes.sum()))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
-            digest = [hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back]
-            return pa.RecordBatch.from_arrays(
-                [ids_column, lists, pa.array(sizes.astype(np.int64)), pa.array(digest), pa.array([b == t for b, t in zip(back, texts, strict=True)])], names=["doc_id", "ids", "n_tokens", "decoded_sha256", "round_trip"]
-            )
+            words = [cut(t) if t else [] for t in texts]
+            find = cache(set(chain.from_iterable(words))).__getitem__
+            flat, sizes, digest, same = array("i"), [], [], []
+            for t, w in zip(texts, words, strict=True):
+                ids = array("i", chain.from_iterable(map(find, w)))
+                back = pieces.decode(ids)
+                flat.extend(ids)
+                sizes.append(len(ids))
+                same.append(back == t)
+                digest.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+            stops = np.append(0, np.cumsum(np.array(sizes, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
+            return pa.RecordBatch.from_arrays([ids_column, lists, pa.array(sizes, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "decoded_sha256", "round_trip"])
 
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
@@ -250,7 +282,7 @@ def _encode(model_path: str):
                     yield settle(b.column("doc_id").slice(at, i + 1 - at), texts[at : i + 1])
                     at, size = i + 1, 0
 
-    return run
+    return released(run)
 
 
 def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
