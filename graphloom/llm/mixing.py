@@ -96,7 +96,8 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     taken = mix(rows, weights, cap, seed, ("__row",)).where("taken > 0").select("__row", times.alias("__times")).where("__times > 0")
-    copies = rows.join(materialize(taken, "mix-taken"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    # The hashed side is a row number and a count; texts are neither sorted nor held.
+    copies = rows.join(materialize(taken, "mix-taken").hint("shuffle_hash"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return copies.select(docs.columns)
 
 

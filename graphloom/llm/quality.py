@@ -26,10 +26,12 @@ no positive to learn from every score is 1; an empty table gives an empty result
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import table
+from .support import release_memory, table
 
 CUT = 0.3
 SAMPLE = 6000
@@ -184,10 +186,14 @@ def score_column(text: Column, model: Model | None) -> Column:
     if model is None:
         return F.lit(1.0)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_rows(texts)))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series(model.score(_rows(texts)))
+        finally:
+            release_memory()
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "double")(text.cast("string"))
 
 

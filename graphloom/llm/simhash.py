@@ -24,11 +24,13 @@ an empty table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .support import materialize, table
+from .support import materialize, release_memory, released, table
 
 SHINGLE = 4
 SEED = 42
@@ -82,10 +84,14 @@ def _fingerprints(texts):
 def fingerprint_column(column):
     import pandas as pd
 
-    def run(texts: pd.Series) -> pd.Series:
-        return _fingerprints(texts)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield _fingerprints(texts)
+        finally:
+            release_memory()
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "long")(column)
 
 
@@ -231,8 +237,8 @@ def _links(batches):
 def fingerprint_components(prints: DataFrame) -> DataFrame:
     """(fp, component_id) for the distinct fingerprints of prints (columns fp and doc_id), as a written table."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    keyed = distinct.select("fp").mapInArrow(_emit_keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    roots = connected_components(keyed.mapInArrow(_links, "a long, b long"))
+    keyed = distinct.select("fp").mapInArrow(released(_emit_keys), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    roots = connected_components(keyed.mapInArrow(released(_links), "a long, b long"))
     rooted = materialize(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     return materialize(rooted.join(ids, "root").select("fp", "component_id"), "simhash-components")
@@ -246,19 +252,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id.
+    """docs without near-duplicates: of each component one row with the smallest doc_id.
 
-    Rows that repeat that doc_id and text are one document; a component whose ids are all null
-    loses nothing. Columns are those of docs.
+    A component whose ids are all null keeps one row as well. Columns are those of docs.
     """
-    printed = materialize(docs.withColumn("__fp", fingerprint_column(F.col("text").cast("string"))), "simhash-docs")
-    prints = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
-    kept = fingerprint_components(prints)
-    least = materialize(prints.where("doc_id is not null").join(kept, "fp").where("doc_id = component_id").distinct().select(F.col("doc_id").alias("__id"), F.col("fp").alias("__keep")), "simhash-kept")
-    orphans = kept.where("component_id is null").select("fp")
-    chosen = printed.join(least, (printed["doc_id"].cast("long") == F.col("__id")) & (printed["__fp"] == F.col("__keep")), "left_semi").dropDuplicates(["doc_id", "__fp"])
-    nameless = printed.where("doc_id is null").join(orphans, F.col("__fp") == F.col("fp"), "left_semi")
-    return chosen.unionByName(nameless).select(docs.columns)
+    printed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", fingerprint_column(F.col("text").cast("string"))), "simhash-docs")
+    prints = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("__row"))
+    per_print = materialize(prints.groupBy("fp").agg(F.min(first).alias("first")), "simhash-firsts")
+    component = F.coalesce(F.col("component_id"), F.lit(-1 << 63))
+    kept = per_print.join(fingerprint_components(prints), "fp").groupBy(component.alias("component")).agg(F.min("first").alias("first"))
+    # The hashed side is row numbers; texts are neither sorted nor held.
+    rows = materialize(kept.select(F.col("first.__row").alias("__row")), "simhash-kept")
+    return printed.join(rows.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)
 
 
 def op9_simhash(spark, sf_dir):

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import materialize, partitions, table
+from .support import materialize, partitions, released, table
 
 DEPTH = 100
 GRAM = 50
@@ -515,8 +515,8 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
 
     def routed(df: DataFrame, emit, decide) -> DataFrame:
         """One row per document and kind, through the buckets and then through blocks of documents."""
-        sent = df.mapInArrow(emit, ROUTED).withColumn("to", spread).repartition("to").sortWithinPartitions("to", "bucket").drop("to")
-        return sent.mapInArrow(decide, FOUND).repartition("block").sortWithinPartitions("block").mapInArrow(_regroup, BY_DOC)
+        sent = df.mapInArrow(released(emit), ROUTED).withColumn("to", spread).repartition("to").sortWithinPartitions("to", "bucket").drop("to")
+        return sent.mapInArrow(released(decide), FOUND).repartition("block").sortWithinPartitions("block").mapInArrow(released(_regroup), BY_DOC)
 
     first = materialize(routed(keyed.select("doc", "text"), _first_pass(buckets), _second_pass(buckets)), "dedup-runs")
     texts = keyed.select("doc", "doc_id", "text")
@@ -525,7 +525,7 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
     refined = texts.join(packed(first.where(F.col("kind") == SPLIT)), "doc").select("doc", "doc_id", "text", "pos", "len")
     marks = routed(refined, _window_pass(buckets), _last_pass(buckets)).unionByName(first.where(F.col("kind") == MARK))
     marked = texts.join(packed(marks), "doc", "left").select("doc_id", "text", "pos", "len")
-    return marked.mapInArrow(_report, "doc_id long, " + REPORT)
+    return marked.mapInArrow(released(_report), "doc_id long, " + REPORT)
 
 
 def op1_suffix_dedup(spark, sf_dir):
