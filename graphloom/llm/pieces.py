@@ -32,6 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 600_000
 SHARE_CHARS = 4 << 20
+SHORT = (3, 2, 1)
 TOKENS = "ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
 
 
@@ -95,6 +96,12 @@ class Pieces:
         self.known: dict = {}
         self.floor = min(self.score) - 10.0
         self.reached = {p for p in self.id if not self.bpe or self.split(p) is not False}
+        # By the last three characters, the lengths of the pieces that end so, longest first.
+        ends: dict = {}
+        for p in self.reached:
+            if len(p) > 3:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {e: (*sorted(n, reverse=True), *SHORT) for e, n in ends.items()}
 
     def split(self, piece: str):
         """The two pieces that merging joins last to make piece; None for a character, False if merging does not reach piece."""
@@ -185,10 +192,13 @@ class Pieces:
 
     def _last(self, word: str, end: int, state: list):
         """The last piece of the encoding of word[:end]: the longest first, the only one that is joint with what it follows."""
-        known = self.known
-        for start in range(max(0, end - self.longest), end):
+        known, reached = self.known, self.reached
+        for length in self.lengths.get(word[max(0, end - 3) : end], SHORT):
+            start = end - length
+            if start < 0:
+                continue
             piece = word[start:end]
-            if piece not in self.reached:
+            if piece not in reached:
                 continue
             before = state[start][1]
             if start == 0 or before is None:
