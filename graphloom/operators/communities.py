@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .joins import first_by
 
-LOCAL = 2_000_000
+LOCAL = 2_000_000  # edges of a component that one worker partitions
+SMALL = 1_000_000  # pairs that one task joins up
 
 
 def undirected_weights(edges: DataFrame) -> DataFrame:
@@ -106,22 +107,51 @@ def connected_parts(neighbours: dict, home: dict, order: list) -> dict:
     return out
 
 
-def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component), the smallest id reachable: labels fall to the least neighbour's until none changes."""
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, component), the smallest id reachable.
+
+    Up to SMALL pairs one task joins them up; beyond, rounds of contraction let every node point at
+    its smallest neighbour and go on with the nodes pointed at, which at least halves them.
+    """
     from .traverse import settled
 
-    arcs = pairs.select("a", "b").union(pairs.select("b", "a"))
-    labels = arcs.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    for step in range(max_rounds):
-        near = arcs.join(labels, arcs["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = settled(new.join(jump, "component", "left").select("id", F.coalesce("up", "component").alias("component")), step * 3 + 2)
-        changed = new.join(labels.withColumnRenamed("component", "was"), "id").where("component <> was").limit(1).isEmpty()
-        labels = new
-        if changed:
-            break
-    return labels
+    left = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), 2)
+    loops = left.where("a = b").select(F.col("a").alias("id"))
+    if left.limit(SMALL + 1).count() <= SMALL:
+        return left.groupBy(F.lit("all")).applyInPandas(_join_up, "id string, component string")
+    steps, left = [], left.where("a <> b")
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        to = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), 2)
+        steps.append(to)
+        one = left.join(to.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("p"), "b")
+        two = one.join(to.withColumnRenamed("node", "b"), "b").select("p", F.col("to").alias("q")).where("p <> q")
+        left = settled(two.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), 2)
+    if not steps:
+        return loops.select("id", F.col("id").alias("component"))
+    out = steps[0].withColumnRenamed("to", "component")
+    for to in steps[1:]:
+        out = settled(out.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), 2)
+    out = out.withColumnRenamed("node", "id").select("id", "component")
+    return out.unionByName(loops.join(out, "id", "left_anti").select("id", F.col("id").alias("component")))
+
+
+def _join_up(pdf):
+    """Components of a bounded table of pairs."""
+    import pandas as pd
+
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(pdf["a"], pdf["b"], strict=True):
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    return pd.DataFrame([(x, find(x)) for x in list(root)], columns=["id", "component"])
 
 
 def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True) -> DataFrame:

@@ -22,9 +22,14 @@ def changes(spark: SparkSession, folder: str, schema: str = "path string, ts tim
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _timed(stream: DataFrame, lateness: str) -> DataFrame:
+    """A stream with its watermark; event times must carry a zone for that."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness) if stream.isStreaming else stream
+
+
 def debounced(stream: DataFrame, gap: str = DEBOUNCE, lateness: str = "10 minutes") -> DataFrame:
     """ST2, ST5: one row per burst of changes of a path: its start, end and size. Works on streams and on tables."""
-    timed = stream.withWatermark("ts", lateness) if stream.isStreaming else stream
+    timed = _timed(stream, lateness)
     bursts = timed.groupBy(F.session_window("ts", gap).alias("w"), "path").agg(F.count(F.lit(1)).alias("changes"))
     return bursts.select("path", F.col("w.start").alias("first_ts"), F.col("w.end").alias("quiet_ts"), "changes")
 
@@ -32,7 +37,7 @@ def debounced(stream: DataFrame, gap: str = DEBOUNCE, lateness: str = "10 minute
 def first_seen(stream: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """ST4: each (path, ts) once within the lateness."""
     if stream.isStreaming:
-        return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["path", "ts"])
+        return _timed(stream, lateness).dropDuplicatesWithinWatermark(["path", "ts"])
     return stream.dropDuplicates(["path", "ts"])
 
 
@@ -47,7 +52,7 @@ def merge_changed_paths(batches: list[DataFrame]) -> DataFrame:
 
 def windowed_counts(stream: DataFrame, size: str = "5 minutes", slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
     """Extension: events by type in tumbling or sliding windows."""
-    timed = stream.withWatermark("ts", lateness) if stream.isStreaming else stream
+    timed = _timed(stream, lateness)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return timed.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
