@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import materialize, table
+from .support import materialize, spare, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,11 +93,12 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     The row at a source's cut, of which the mix takes a part, is taken whole if the part is at least
     half of it. Rows without words are in no mix.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = mix(rows, weights, cap, seed, ("__row",)).where("taken > 0").select("__row", times.alias("__times")).where("__times > 0")
+    row, times, copy = spare(docs, "__row"), spare(docs, "__times"), spare(docs, "__copy")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    taken = mix(rows, weights, cap, seed, (row,)).where("taken > 0")
+    taken = taken.select(row, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
     # The hashed side is a row number and a count; texts are neither sorted nor held.
-    copies = rows.join(materialize(taken, "mix-taken").hint("shuffle_hash"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    copies = rows.join(materialize(taken, "mix-taken").hint("shuffle_hash"), row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return copies.select(docs.columns)
 
 

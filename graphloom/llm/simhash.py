@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .support import materialize, release_memory, released, table
+from .support import materialize, release_memory, released, spare, table
 
 SHINGLE = 4
 SEED = 42
@@ -256,15 +256,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A component whose ids are all null keeps one row as well. Columns are those of docs.
     """
-    printed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", fingerprint_column(F.col("text").cast("string"))), "simhash-docs")
-    prints = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("__row"))
+    row, print_ = spare(docs, "__row"), spare(docs, "__fp")
+    printed = materialize(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(print_, fingerprint_column(F.col("text").cast("string"))), "simhash-docs")
+    prints = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(print_).alias("fp"), F.col(row).alias("row"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
     per_print = materialize(prints.groupBy("fp").agg(F.min(first).alias("first")), "simhash-firsts")
     component = F.coalesce(F.col("component_id"), F.lit(-1 << 63))
     kept = per_print.join(fingerprint_components(prints), "fp").groupBy(component.alias("component")).agg(F.min("first").alias("first"))
     # The hashed side is row numbers; texts are neither sorted nor held.
-    rows = materialize(kept.select(F.col("first.__row").alias("__row")), "simhash-kept")
-    return printed.join(rows.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)
+    rows = materialize(kept.select(F.col("first.row").alias(row)), "simhash-kept")
+    return printed.join(rows.hint("shuffle_hash"), row, "left_semi").select(docs.columns)
 
 
 def op9_simhash(spark, sf_dir):
