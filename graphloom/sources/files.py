@@ -40,7 +40,7 @@ def corpus(files: DataFrame, excludes: list[str] | None = None) -> DataFrame:
     kept = files.where(~is_noise_path(F.col("path")) & ~is_sensitive(F.col("path")))
     if excludes:
         kept = kept.where(~is_ignored(F.col("path"), excludes))
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     head = F.substring(text, 1, 3000)
     return kept.select("path", "size", "modified", classify_file(F.col("path"), head).alias("kind"), count_words(text).alias("words"), F.md5("content").alias("ast_hash")).where("kind is not null")
 
