@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import first_by
+from .scratch import written
 
 LOCAL = 2_000_000  # edges of a component that one worker partitions
 SMALL = 1_000_000  # pairs that one task joins up
@@ -113,25 +113,23 @@ def components(pairs: DataFrame) -> DataFrame:
     Up to SMALL pairs one task joins them up; beyond, rounds of contraction let every node point at
     its smallest neighbour and go on with the nodes pointed at, which at least halves them.
     """
-    from .traverse import settled
-
-    left = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), 2)
+    left = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     loops = left.where("a = b").select(F.col("a").alias("id"))
     if left.limit(SMALL + 1).count() <= SMALL:
         return left.groupBy(F.lit("all")).applyInPandas(_join_up, "id string, component string")
     steps, left = [], left.where("a <> b")
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        to = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), 2)
+        to = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
         steps.append(to)
         one = left.join(to.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("p"), "b")
         two = one.join(to.withColumnRenamed("node", "b"), "b").select("p", F.col("to").alias("q")).where("p <> q")
-        left = settled(two.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), 2)
+        left = written(two.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
     if not steps:
         return loops.select("id", F.col("id").alias("component"))
     out = steps[0].withColumnRenamed("to", "component")
     for to in steps[1:]:
-        out = settled(out.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), 2)
+        out = written(out.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     out = out.withColumnRenamed("node", "id").select("id", "component")
     return out.unionByName(loops.join(out, "id", "left_anti").select("id", F.col("id").alias("component")))
 
@@ -161,7 +159,7 @@ def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True) ->
     total = pairs.agg(F.sum("weight")).first()[0]
     if not total:
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("community")).limit(0)
-    whole = components(pairs)
+    whole = written(components(pairs))
     j = pairs.join(whole, pairs["a"] == whole["id"]).select("component", "a", "b", "weight")
     largest = j.groupBy("component").count().agg(F.max("count")).first()[0]
     if largest > LOCAL:
@@ -176,15 +174,13 @@ def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True) ->
 
 def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     """The way for components beyond one worker: nodes take the label of greatest weight around them, the smallest on ties."""
-    from .traverse import settled
-
     arcs = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight"))
     labels = arcs.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
     for step in range(rounds):
         votes = arcs.join(labels, arcs["b"] == labels["id"]).groupBy("a", "community").agg(F.sum("weight").alias("w"))
         own = labels.select(F.col("id").alias("a"), "community", F.lit(1e-9).alias("w"))
         best = votes.unionByName(own).groupBy("a", "community").agg(F.sum("w").alias("w")).groupBy("a").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
-        labels = settled(best.withColumnRenamed("a", "id"), step)
+        labels = written(best.withColumnRenamed("a", "id"))
     return labels
 
 
@@ -211,7 +207,7 @@ def split_large(members: DataFrame, pairs: DataFrame, share: float = 0.25, least
     limit = max(least, int(n * share))
     big = members.groupBy("community").count().where(F.col("count") > limit).select("community")
     inside = members.join(big, "community", "left_semi")
-    again = partition(induced(pairs, inside), resolution)
+    again = written(partition(induced(pairs, inside), resolution))
     parts = inside.join(again.select("id", F.col("community").alias("part")), "id", "left").select("id", F.concat_ws("/", "community", F.coalesce("part", "id")).alias("community"))
     return members.join(big, "community", "left_anti").select("id", "community").unionByName(parts)
 
@@ -220,12 +216,12 @@ def cluster(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, hub_per
     """(cid, node_id): hubs out, partition, isolated nodes alone, hubs back, large ones split, numbered."""
     from .aggregate import degree_endpoints, hub_nodes
 
-    pairs = undirected_weights(edges)
+    pairs = written(undirected_weights(edges))
     hubs = hub_nodes(degree_endpoints(edges, nodes), hub_percentile).select("id") if hub_percentile is not None else nodes.limit(0).select("id")
     rest = pairs.join(hubs, pairs["a"] == hubs["id"], "left_anti").join(hubs, pairs["b"] == hubs["id"], "left_anti")
-    found = partition(rest, resolution)
+    found = written(partition(rest, resolution))
     alone = nodes.select("id").join(found, "id", "left_anti").join(hubs, "id", "left_anti").withColumn("community", F.col("id"))
-    members = reattach_hubs(found.unionByName(alone), pairs, hubs) if hub_percentile is not None else found.unionByName(alone)
+    members = written(reattach_hubs(found.unionByName(alone), pairs, hubs) if hub_percentile is not None else found.unionByName(alone))
     return total_order(split_large(members, pairs))
 
 

@@ -16,6 +16,7 @@ from ..schema import Graph
 from .build import apply_remap
 from .communities import components
 from .joins import remap
+from .scratch import written
 
 ENTROPY_FLOOR, JACCARD_FLOOR, MERGE_SCORE, COMMUNITY_BOOST = 2.5, 0.7, 92.0, 5.0
 JUDGE_BAND = (75.0, 92.0)
@@ -140,9 +141,9 @@ def deduplicate_entities(graph: Graph, communities: DataFrame | None = None, jud
     norm = S.entity_norm(F.col("label")) if norm is None else norm
     nodes = resolve_id_collisions(graph.nodes)
     pairs = exact_pairs(nodes, norm).toDF("a", "b")
-    scored = fuzzy_scores(nodes, norm, communities)
+    scored = written(fuzzy_scores(nodes, norm, communities))
     pairs = pairs.unionByName(fuzzy_pairs(scored))
     if judge is not None:
         pairs = pairs.unionByName(judged_pairs(scored, judge))
-    mapping = merge_map(pairs)
+    mapping = written(merge_map(pairs))
     return apply_remap(graph.with_(nodes=nodes), mapping).with_(edges=rewrite_edges(graph.edges, mapping))

@@ -1,7 +1,7 @@
 """Traversal and centrality.
 
-Frontiers are tables. Each step joins the frontier with the edges and leaves out what has been
-visited; lineage is cut at every third step by a checkpoint.
+Frontiers are tables. Each step joins the frontier with the edges, leaves out what has been visited,
+and writes the new frontier, so that later steps read it instead of finding it again.
 """
 
 from __future__ import annotations
@@ -10,24 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import degree_all, hub_threshold
+from .scratch import written
 
 IMPACT_RELATIONS = (
     "calls", "indirect_call", "references", "imports", "imports_from", "re_exports", "inherits", "extends", "implements", "uses", "mixes_in", "embeds", "depends_on",
 )
 
 
-def settled(df: DataFrame, step: int) -> DataFrame:
-    """df with its lineage cut at every third step, in the session's checkpoint folder (a temporary one if none is set)."""
-    if step % 3 != 2:
-        return df
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
-
-
 def both_ways(edges: DataFrame) -> DataFrame:
     pairs = edges.select("source", "target")
     return pairs.union(edges.select("target", "source")).distinct()
@@ -55,13 +44,13 @@ def bfs(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 3, di
     degrees = degree_all(edges, nodes)
     hubs = degrees.join(F.broadcast(hub_threshold(degrees)), F.col("degree") >= F.col("threshold")).select("id")
     seed_ids = seeds.select("id").distinct()
-    blocked = hubs.join(seed_ids, "id", "left_anti")
+    blocked = written(hubs.join(seed_ids, "id", "left_anti"))
     visited = seed_ids.withColumn("depth", F.lit(0))
     frontier = visited
     for d in range(1, depth + 1):
         go = frontier.join(blocked, "id", "left_anti").select(F.col("id").alias("source"))
         reached = arcs.join(go, "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        frontier = settled(reached.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), d)
+        frontier = written(reached.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         visited = visited.unionByName(frontier)
     return visited
 
@@ -118,7 +107,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8)
     frontier = visited
     for d in range(1, max_hops + 1):
         step = arcs.join(frontier.select(F.col("id").alias("source")), "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
-        frontier = settled(step.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), d)
+        frontier = written(step.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         visited = visited.unionByName(frontier)
         if source == target or not frontier.where(F.col("id") == target).isEmpty():
             break
@@ -143,7 +132,7 @@ def affected(edges: DataFrame, seed: str, relations=IMPACT_RELATIONS, depth: int
     visited = frontier = start
     for d in range(1, depth + 1):
         hit = back.join(frontier.select(F.col("id").alias("from")), "from", "left_semi").groupBy("id").agg(F.min_by("relation", "_ord").alias("via"))
-        frontier = settled(hit.join(visited.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "via"), d)
+        frontier = written(hit.join(visited.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "via"))
         visited = visited.unionByName(frontier)
     return visited.where("depth > 0")
 
@@ -177,7 +166,7 @@ def import_cycles(pairs: DataFrame, max_length: int = 5, n: int = 20) -> DataFra
         found = found.union(closed.select("path"))
         if length < max_length:
             grown = paths.withColumn("_last", last).join(arcs, F.col("_last") == F.col("a")).where((F.col("b") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("b")))
-            paths = settled(grown.select(F.concat("path", F.array("b")).alias("path")), length)
+            paths = written(grown.select(F.concat("path", F.array("b")).alias("path")))
     return found.select(F.size("path").alias("length"), F.array_join("path", " -> ").alias("cycle")).orderBy("length", "cycle").limit(n)
 
 
