@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc": warc.OP2_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op6_topk": impact.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
