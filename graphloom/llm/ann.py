@@ -6,9 +6,10 @@ most TRAIN_ROWS vectors (those with the smallest hash of their id). Encoding kee
 partial sums per vector. The index holds each vector's codes and the squared norm of its
 approximation, so that one table of query-codeword products scores by inner product, distance or
 cosine. Each task scores the codes of its vectors for a block of queries by table lookup, reranks the
-SHORTLIST best exactly in double precision, and hands on its k best; a window merges them.
+SHORTLIST best of every BLOCK_ROWS exactly in double precision, and hands on its k best; a window
+merges them.
 
-Every vector is indexed and scored; the shortlist is per task and query, so it grows with the input.
+Every vector is indexed and scored, and the shortlists grow with the input.
 
 Defined results: which vectors take part is said in `usable`; ties go to the smaller vec_id; fewer
 candidates than k give fewer rows; an empty table gives an empty result; other columns are ignored.
@@ -28,6 +29,7 @@ BEAM = 3
 TRAIN_ROWS = 8192
 TRAIN_STEPS = 6
 SHORTLIST = 160
+BLOCK_ROWS = 4096  # a shortlist for every so many vectors
 SEED = 7
 
 
@@ -104,9 +106,7 @@ def search(index: DataFrame, books, ids, queries, k: int, measure: str = "inner"
         books, ids, queries = sent.value
         asked = np.asarray(queries, np.float32)
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(i, BLOCK_ROWS) for whole in batches for i in range(0, whole.num_rows, BLOCK_ROWS)):
             vec_ids, v = b.column("vec_id").to_numpy(zero_copy_only=False), matrix(b.column("v"))
             codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(v), -1).T.copy()
             norm2 = b.column("norm2").to_numpy(zero_copy_only=False).astype(np.float32)
