@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import materialize, partitions, table
@@ -29,22 +29,6 @@ from .support import materialize, partitions, table
 BINS = 2048
 
 
-def _running(batches):
-    """Adds the partition's number and running sums of rows and bytes to rows that arrive in order."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    from pyspark import TaskContext
-
-    part, rows, size = TaskContext.get().partitionId(), 0, 0
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        up = pc.add(pc.cumulative_sum(b.column("size")), size)
-        n = pa.array(range(rows + 1, rows + b.num_rows + 1), pa.int64())
-        rows, size = rows + b.num_rows, up[-1].as_py()
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), n, up], names=[*b.schema.names, "part", "rows_to", "bytes_to"])
-
-
 def ordered_rows(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the row's place (rows_to, bytes_to) in the global order by (digest, doc_id)."""
     spark = docs.sparkSession
@@ -55,9 +39,10 @@ def ordered_rows(docs: DataFrame) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
     )
-    ranged = materialize(rows, "shard-rows").repartitionByRange(partitions(spark), "digest", "doc_id").sortWithinPartitions("digest", "doc_id")
-    schema = "doc_id long, size long, text_crc32 long, digest binary, part int, rows_to long, bytes_to long"
-    placed = materialize(ranged.mapInArrow(_running, schema), "shard-order")
+    ranged = materialize(rows, "shard-rows").repartitionByRange(partitions(spark), "digest", "doc_id").withColumn("part", F.spark_partition_id())
+    in_part = Window.partitionBy("part").orderBy("digest", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = (F.count(F.lit(1)).over(in_part).alias("rows_to"), F.sum("size").over(in_part).alias("bytes_to"))
+    placed = materialize(materialize(ranged, "shard-ranges").select("*", *running), "shard-order")
     # One row per partition, whatever the number of documents.
     parts = sorted(placed.groupBy("part").agg(F.max("rows_to"), F.max("bytes_to")).collect())
     offsets, n, size = [], 0, 0
