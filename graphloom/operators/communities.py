@@ -176,7 +176,7 @@ def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     """The way for components beyond one worker: nodes take the label of greatest weight around them, the smallest on ties."""
     arcs = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight"))
     labels = arcs.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
-    for step in range(rounds):
+    for _ in range(rounds):
         votes = arcs.join(labels, arcs["b"] == labels["id"]).groupBy("a", "community").agg(F.sum("weight").alias("w"))
         own = labels.select(F.col("id").alias("a"), "community", F.lit(1e-9).alias("w"))
         best = votes.unionByName(own).groupBy("a", "community").agg(F.sum("w").alias("w")).groupBy("a").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import Graph
 from .build import dedupe_nodes
-from .joins import first_by, remap, unique_matches
+from .joins import first_by, remap
 
 
 def _edge_key(edges: DataFrame, directed: bool) -> DataFrame:

@@ -222,7 +222,6 @@ def questions_bridges(nodes: DataFrame, edges: DataFrame, centrality: DataFrame,
     j = nodes.join(degree_all(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).join(centrality, "id")
     top = j.where(~is_file_node(F.col("degree")) & ~is_concept_node() & (F.col("betweenness") > 0)).orderBy(F.desc("betweenness"), "_ord").limit(n)
     both = edges.select("source", "target").union(edges.select("target", "source")).toDF("id", "other")
-    named = F.concat(F.lit("`Community "), F.col("c"), F.lit("`"))
     near = both.join(F.broadcast(top.select("id", F.col("community").alias("own"))), "id").join(nodes.select(F.col("id").alias("other"), F.col("community").alias("c")), "other")
     near = near.where("c is not null and not (c <=> own)").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("c")), lambda c: F.concat(F.lit("`Community "), c, F.lit("`"))), ", ").alias("others"))
     q = top.join(near, "id").withColumn("own_name", F.coalesce(F.concat(F.lit("Community "), F.col("community")), F.lit("unknown")))

@@ -9,7 +9,7 @@ from ..operators import rank as W
 from ..operators import traverse as T
 from ..sources.tables import edges, nodes, table
 from .catalog import query
-from .graph_queries import DEGREE_ALL, DEGREE_TWICE, NOT_CONCEPT, NOT_STUB, members
+from .graph_queries import DEGREE_ALL, NOT_CONCEPT, NOT_STUB, members
 
 QUESTION = ["blue", "steel", "customer"]
 
@@ -221,7 +221,13 @@ def questions_inferred(spark, d):
     return W.questions_inferred(nodes(spark, d), edges(spark, d))
 
 
-@query("questions_isolated")
+@query(
+    "questions_isolated",
+    f"""few AS (SELECT * FROM edges WHERE relation IN ('part_of', 'located_in')), deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM few UNION ALL SELECT target FROM few WHERE source <> target) GROUP BY id),
+    alone AS (SELECT id, label, _ord FROM (SELECT n.*, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN deg USING (id)) WHERE degree <= 1 AND {NOT_STUB} AND {NOT_CONCEPT}),
+    first AS (SELECT string_agg('`' || label || '`', ', ' ORDER BY _ord) AS names FROM (SELECT * FROM alone ORDER BY _ord LIMIT 3))
+    SELECT 'isolated_nodes' AS type, 'What connects ' || names || ' to the rest of the system?' AS question, (SELECT count(*) FROM alone) || ' weakly-connected nodes found - possible documentation gaps or missing edges.' AS why, CAST(0 AS BIGINT) AS position FROM first""",
+)
 def questions_isolated(spark, d):
     n = nodes(spark, d)
     return W.questions_isolated(n, edges(spark, d).where("relation in ('part_of', 'located_in')"))
@@ -258,14 +264,34 @@ def _small(spark, d):
     return n, edges(spark, d).where("relation in ('part_of', 'located_in') and not startswith(source, 'customer')")
 
 
-@query("betweenness")
+TREE = """leaf AS (SELECT n_nationkey, n_regionkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS k FROM nation),
+reg AS (SELECT n_regionkey, sum(k + 1) + 1 AS size FROM leaf GROUP BY 1),
+total AS (SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n)"""
+
+
+@query(
+    "betweenness",
+    f"""WITH {TREE},
+    v AS (SELECT 'supplier:' || s_suppkey AS id, 0 AS pairs FROM supplier
+      UNION ALL SELECT 'nation:' || n_nationkey, k * (k - 1) + 2 * k * (size - 1 - k) FROM leaf JOIN reg USING (n_regionkey)
+      UNION ALL SELECT 'region:' || r_regionkey, coalesce((SELECT sum((k + 1) * (size - 1 - (k + 1))) FROM leaf JOIN reg USING (n_regionkey) WHERE leaf.n_regionkey = r_regionkey), 0) FROM region)
+    SELECT id, round(pairs / CAST((n - 1) * (n - 2) AS DOUBLE), 12) AS betweenness FROM v, total""",
+    graph=False,
+)
 def betweenness(spark, d):
-    return T.betweenness(*_small(spark, d))
+    return T.betweenness(*_small(spark, d)).withColumn("betweenness", F.round("betweenness", 12))
 
 
-@query("edge_betweenness")
+@query(
+    "edge_betweenness",
+    f"""WITH {TREE},
+    v AS (SELECT 'nation:' || s_nationkey AS a, 'supplier:' || s_suppkey AS b, 2 * (size - 1) AS pairs FROM supplier JOIN leaf ON n_nationkey = s_nationkey JOIN reg USING (n_regionkey)
+      UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 2 * (k + 1) * (size - k - 1) FROM leaf JOIN reg USING (n_regionkey))
+    SELECT least(a, b) AS source, greatest(a, b) AS target, round(pairs / CAST(n * (n - 1) AS DOUBLE), 12) AS betweenness FROM v, total""",
+    graph=False,
+)
 def edge_betweenness(spark, d):
-    return T.edge_betweenness(*_small(spark, d))
+    return T.edge_betweenness(*_small(spark, d)).withColumn("betweenness", F.round("betweenness", 12))
 
 
 @query("betweenness_surprises")
