@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, parse_date
 from .filters import is_concept_node, is_file_node, path_match
+from .scratch import written
 
 
 def degree_all(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -88,9 +89,11 @@ def edge_diagnostics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select(F.col("id").alias("_id")).distinct()
     total = edges.agg(F.count(F.lit(1)).alias("raw_edges"), F.count(F.when(F.col("source") == F.col("target"), 1)).alias("self_loops"), F.count(F.when(F.coalesce("source", F.lit("")) == "", 1)).alias("missing_source"), F.count(F.when(F.coalesce("target", F.lit("")) == "", 1)).alias("missing_target"))
     live = edges.join(ids, edges["source"] == ids["_id"], "left_semi").join(ids, edges["target"] == ids["_id"], "left_semi")
-    extra = lambda df, keys, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.greatest(F.col("c") - 1, F.lit(0))), F.lit(0)).alias(name))
-    sig = live.withColumn("_sig", exact_signature(live, fields)).withColumn("_a", F.least("source", "target")).withColumn("_b", F.greatest("source", "target"))
-    pairs = sig.groupBy("source", "target").agg(F.count_distinct("relation").alias("relations"), F.count_distinct("_sig").alias("variants"), F.count(F.lit(1)).alias("c"))
+    # One row per different edge; what follows adds up its count.
+    exact = written(live.groupBy(*fields).agg(F.count(F.lit(1)).alias("c")), "edge-variants")
+    extra = lambda df, name: df.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias(name))
+    summed = lambda *keys: exact.groupBy(*keys).agg(F.sum("c").alias("c"))
+    pairs = exact.groupBy("source", "target").agg(F.count_distinct("relation").alias("relations"), F.count(F.lit(1)).alias("variants"), F.sum("c").alias("c"))
     groups = pairs.agg(
         F.count(F.lit(1)).alias("directed_pairs"),
         F.count(F.when(F.col("relations") > 1, 1)).alias("relation_variant_groups"),
@@ -98,11 +101,11 @@ def edge_diagnostics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("directed_collapse"),
     )
     parts = [
-        live.agg(F.count(F.lit(1)).alias("live_edges")),
+        exact.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("live_edges")),
         groups,
-        extra(sig, ["_sig"], "exact_duplicates"),
-        extra(sig, ["_a", "_b"], "undirected_collapse"),
-        extra(sig, ["source", "target", "relation"], "same_relation_collapse"),
+        extra(exact, "exact_duplicates"),
+        extra(summed(F.least("source", "target"), F.greatest("source", "target")), "undirected_collapse"),
+        extra(summed("source", "target", "relation"), "same_relation_collapse"),
     ]
     out = total
     for p in parts:  # single rows, so that this joins one row to one row

@@ -17,9 +17,14 @@ IMPACT_RELATIONS = (
 )
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
+def arcs_of(edges: DataFrame, directed: bool) -> DataFrame:
+    """(source, target) as a walk may go; repeated pairs stay, as every step makes its nodes distinct."""
     pairs = edges.select("source", "target")
-    return pairs.union(edges.select("target", "source")).distinct()
+    return pairs if directed else pairs.union(edges.select("target", "source"))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return arcs_of(edges, False).distinct()
 
 
 def neighbors(edges: DataFrame, node: str, directed: bool = True) -> DataFrame:
@@ -38,11 +43,16 @@ def predecessors(edges: DataFrame, node: str) -> DataFrame:
     return edges.where(F.col("target") == node).select(F.col("source").alias("other"))
 
 
+def hub_ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id) of the nodes that walks do not go through."""
+    degrees = written(degree_all(edges, nodes), "degrees")
+    return degrees.join(F.broadcast(hub_threshold(degrees)), F.col("degree") >= F.col("threshold")).select("id")
+
+
 def bfs(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 3, directed: bool = True) -> DataFrame:
     """(id, depth) of what seeds (id) reach in `depth` steps; a hub that is no seed is not gone through."""
-    arcs = edges.select("source", "target").distinct() if directed else both_ways(edges)
-    degrees = degree_all(edges, nodes)
-    hubs = degrees.join(F.broadcast(hub_threshold(degrees)), F.col("degree") >= F.col("threshold")).select("id")
+    arcs = arcs_of(edges, directed)
+    hubs = hub_ids(edges, nodes)
     seed_ids = seeds.select("id").distinct()
     blocked = written(hubs.join(seed_ids, "id", "left_anti"))
     visited = seed_ids.withColumn("depth", F.lit(0))
@@ -73,8 +83,7 @@ def dfs(edges: DataFrame, nodes: DataFrame, seeds: list[str], depth: int = 3, di
 
     spark = edges.sparkSession
     ball = bfs(edges, nodes, spark.createDataFrame([(s,) for s in seeds], "id string"), depth, directed)
-    degrees = degree_all(edges, nodes)
-    hubs = degrees.join(F.broadcast(hub_threshold(degrees)), F.col("degree") >= F.col("threshold")).select("id")
+    hubs = hub_ids(edges, nodes)
     arcs = edges.select("source", "target", "_ord") if directed else edges.select("source", "target", "_ord").union(edges.select("target", "source", "_ord"))
     inside = arcs.join(ball.select(F.col("id").alias("source")), "source", "left_semi").join(ball.select(F.col("id").alias("target")), "target", "left_semi")
     marked = inside.join(hubs.select(F.col("id").alias("source"), F.lit(True).alias("hub")), "source", "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
@@ -102,7 +111,7 @@ def dfs(edges: DataFrame, nodes: DataFrame, seeds: list[str], depth: int = 3, di
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8) -> DataFrame:
     """(step, id) along a shortest undirected path, parents being the smallest ids; empty if there is none."""
     spark = edges.sparkSession
-    arcs = both_ways(edges)
+    arcs = arcs_of(edges, False)
     visited = spark.createDataFrame([(source, None, 0)], "id string, parent string, depth int")
     frontier = visited
     for d in range(1, max_hops + 1):
