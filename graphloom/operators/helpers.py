@@ -1,0 +1,115 @@
+"""Smaller operators of the inventory (Z rows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .rank import slices
+
+
+def hyperedge_communities(hyperedges: DataFrame, communities: DataFrame) -> DataFrame:
+    """(id, communities) that the members of each hyperedge belong to."""
+    members = hyperedges.select("id", F.explode("nodes").alias("node_id"))
+    return members.join(communities, "node_id").groupBy("id").agg(F.array_sort(F.collect_set("cid")).alias("communities"))
+
+
+def lessons_fresh(notes: DataFrame, written_at: float) -> bool:
+    """Whether no note (mtime) is newer than the lessons."""
+    newest = notes.agg(F.max("mtime")).first()[0]
+    return newest is None or newest <= written_at
+
+
+def blast_radius(impact: DataFrame) -> DataFrame:
+    """A line per PR about the nodes and communities it touches."""
+    n, c = F.coalesce("nodes", F.lit(0)), F.size("communities")
+    return impact.select("number", F.when(n == 0, "no graph impact").otherwise(F.concat(n, F.lit(" nodes in "), c, F.when(c == 1, " community").otherwise(" communities"))).alias("text"))
+
+
+def normalize_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with a label, a file and a community under any of their names."""
+    pick = lambda *names: F.coalesce(*[F.col(c) for c in names if c in nodes.columns], F.lit(None).cast("string"))
+    return nodes.select("id", F.coalesce(pick("label", "name"), F.col("id")).alias("label"), F.coalesce(pick("source_file", "source", "file"), F.lit("")).alias("source_file"), F.coalesce(pick("file_type", "type"), F.lit("concept")).alias("file_type"))
+
+
+def normalize_edges(edges: DataFrame) -> DataFrame:
+    """Edges with their string fields present."""
+    pick = lambda *names: F.coalesce(*[F.col(c).cast("string") for c in names if c in edges.columns], F.lit(""))
+    return edges.select(pick("source", "from").alias("source"), pick("target", "to").alias("target"), pick("relation", "type").alias("relation"), pick("confidence").alias("confidence"), pick("context").alias("context"), pick("source_file").alias("source_file"), pick("source_location").alias("source_location"))
+
+
+def common_root(paths: list[str]) -> str:
+    """The folder that all paths share."""
+    parts = [p.split("/")[:-1] for p in paths]
+    shared = []
+    for level in zip(*parts, strict=False):
+        if len(set(level)) > 1:
+            break
+        shared.append(level[0])
+    return "/".join(shared)
+
+
+def expand_oversized(files: DataFrame, limit: int) -> DataFrame:
+    """(path, part, text): files cut into slices of at most limit characters."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, k, t[a:b]) for p, t in zip(pdf["path"], pdf["text"], strict=True) for k, (a, b) in enumerate(slices(t or "", limit))]
+            yield pd.DataFrame(rows, columns=["path", "part", "text"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, part long, text string")
+
+
+def bisect(text: str) -> tuple[str, str]:
+    """Two halves of a text, cut at the line end nearest before the middle."""
+    middle = len(text) // 2
+    cut = text.rfind("\n", 0, middle) + 1 or middle
+    return text[:cut], text[cut:]
+
+
+def uncovered(asked: DataFrame, answered: DataFrame) -> DataFrame:
+    """Files asked about that no result names."""
+    return asked.join(answered.select("source_file").distinct(), "source_file", "left_anti")
+
+
+def placeholder_labels(communities: DataFrame) -> DataFrame:
+    """(cid, label) before anyone has named them."""
+    return communities.select("cid").distinct().withColumn("label", F.concat(F.lit("Community "), "cid"))
+
+
+def estimated_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
+    """Usage (model, input_tokens, output_tokens) at rates (model, input_rate, output_rate) a million tokens; 0 for unknown models."""
+    j = usage.join(rates, "model", "left")
+    cost = (F.col("input_tokens") * F.coalesce("input_rate", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output_rate", F.lit(0.0))) / 1e6
+    return j.select("model", "input_tokens", "output_tokens", cost.alias("cost"))
+
+
+def is_hollow(response: Column) -> Column:
+    """A response without content."""
+    return F.coalesce(F.trim(response), F.lit("")).isin("", "{}", "[]", "null")
+
+
+def without_semantic_documents(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Files that no model-made document node already covers."""
+    covered = nodes.where("file_type in ('document', 'paper') and coalesce(_origin, '') <> 'ast'").select("source_file").distinct()
+    return files.join(covered, "source_file", "left_anti")
+
+
+def rebase_paths(df: DataFrame, old_root: str, new_root: str) -> DataFrame:
+    """Relative source files of one root as relative to a root above it."""
+    above = old_root[len(new_root) :].strip("/") if old_root.startswith(new_root) else ""
+    moved = F.concat(F.lit(above + "/"), "source_file") if above else F.col("source_file")
+    absolute = F.startswith("source_file", F.lit("/")) | (F.coalesce("source_file", F.lit("")) == "")
+    return df.withColumn("source_file", F.when(absolute, F.col("source_file")).otherwise(moved))
+
+
+def suppression_sites(files: DataFrame) -> DataFrame:
+    """(path, line, text) where code drops repeated edges while it makes them."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("no", "text"))
+    return lines.where(F.col("text").rlike(r"(seen|existing|known)\w*\.(insert|contains|add|has)\s*\(.*(edge|pair|source|target)")).select("path", (F.col("no") + 1).alias("line"), F.trim("text").alias("text"))
+
+
+def worktree_prs(trees: DataFrame, prs: DataFrame) -> DataFrame:
+    """Worktrees with the PR of their branch, if any."""
+    return trees.join(prs.select("branch", "number", "title"), "branch", "left")
