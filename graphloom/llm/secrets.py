@@ -28,6 +28,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
+SPANS = "array<struct<start:int,end:int>>"
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
@@ -133,23 +134,41 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every finding in text replaced by mark; of an assignment, only the value is. Null stays null."""
-    hide_all = lambda m: F.lit(mark)
-    hide_value = lambda m: F.regexp_replace(m, r"[A-Za-z0-9+/_.=-]+$", mark)
-    out = docs
-    for kind in ("access", "hex", "assign", "entropy"):
-        hide = hide_value if kind == "assign" else hide_all
-
-        def joined(gap: Column, m: Column, hide=hide) -> Column:
-            shown = F.when(m["kept"], hide(m["hit"])).otherwise(m["hit"])
-            return F.concat(F.coalesce(gap, F.lit("")), F.coalesce(shown, F.lit("")))
-
-        text = F.col("text")
-        pattern, keep = _kept(text)[kind]
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        parts = F.zip_with(F.split(text, pattern, -1), F.arrays_zip(found.alias("hit"), keep(found).alias("kept")), lambda gap, m: joined(gap, m))
-        out = out.withColumn("text", F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text))
-    return out
+    """docs with every finding in text replaced by mark; of an assignment, only the value is. Null stays null.
+
+    All spans are those of the text as it came; spans that overlap or touch are cut as one.
+    """
+    text, named = F.col("text"), [f"__cuts_{kind}" for kind in KINDS]
+    located = docs.withColumns({name: _cuts(text, kind, *_kept(text)[kind]) for name, kind in zip(named, KINDS, strict=True)})
+    cuts = F.sort_array(F.concat(*[F.coalesce(F.col(name), F.array().cast(SPANS)) for name in named]))
+
+    def cut(state: Column, span: Column) -> Column:
+        shown = F.substr(text, F.greatest(state["at"], F.lit(0)) + 1, span["start"] - F.greatest(state["at"], F.lit(0)))
+        return F.struct(
+            F.when(span["start"] > state["at"], F.concat(state["out"], shown, F.lit(mark))).otherwise(state["out"]).alias("out"),
+            F.greatest(state["at"], span["end"]).alias("at"),
+        )
+
+    start = F.struct(F.lit("").alias("out"), F.lit(-1).alias("at"))
+    hidden = F.aggregate(cuts, start, cut, lambda state: F.concat(state["out"], F.substr(text, F.greatest(state["at"], F.lit(0)) + 1)))
+    # Columns used twice keep their own projection, whose regular expressions run in generated code.
+    return located.withColumn("text", F.when(F.coalesce(*named).isNull(), text).otherwise(hidden)).drop(*named)
+
+
+def _cuts(text: Column, kind: str, pattern: str, keep) -> Column:
+    """(start, end) of what is to be hidden of a kind's findings; an assignment's value ends with the match."""
+    pieces = _pieces(text, pattern, keep)
+    if kind == "assign":
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+        pieces = F.zip_with(pieces, values, lambda m, v: m.withField("hide", F.char_length(v)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("cuts"))
+
+    def step(state: Column, m: Column) -> Column:
+        end = state["at"] + m["gap"] + m["len"]
+        one = F.struct((end - m["hide" if kind == "assign" else "len"]).alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(m["kept"], F.concat(state["cuts"], F.array(one))).otherwise(state["cuts"]).alias("cuts"))
+
+    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda state: state["cuts"]))
 
 
 def op10_secrets(spark, sf_dir):
