@@ -5,10 +5,12 @@ between the matches and regexp_extract_all() the matches, both left to right and
 so a match starts where the lengths before it end. Positions are code points.
 
 The entropy method looks at candidate strings of one alphabet (20 or more characters, at least one
-digit). Over each window of `WINDOW` characters it keeps a count per character; a step takes one
-character out and one in, which changes the sum of c * log2(c) by two differences. The largest
-window entropy must reach the threshold of the candidate's character class (hex or base 64).
-Candidates that an allow-list pattern matches are suppressed.
+digit). Over each window of `WINDOW` characters it keeps the sum of c * log2(c) of the counts c; a step
+takes one character out and one in, which changes the sum by two differences. A window belongs to the
+smallest of CLASSES that holds all its characters, and its entropy must reach that class's threshold,
+the MISSED quantile of a random window's entropy. A candidate is one finding if any window does.
+Placeholders split a candidate: what lies between them is judged alone. Parts without a digit or letter,
+UUIDs and names with a short number are allowed.
 
 Defined results: a null text counts as empty and has no span; repeated rows are answered each;
 an empty table gives an empty result; columns other than doc_id and text are not looked at.
@@ -33,54 +35,103 @@ SPANS = "array<struct<start:int,end:int>>"
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-HEX_CLASS = r"^(?:[0-9a-f]+|[0-9A-F]+)$"
-HEX_BITS, BASE64_BITS = 3.0, 3.9
+MISSED = 0.01  # share of random windows below their class's threshold
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+CLASSES = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _LOWER + _DIGITS, _UPPER + _DIGITS, _UPPER + _LOWER + _DIGITS)
+PLACEHOLDER = r"(?i)example|0123456789|abcdefghij|(.)\1{7,}"
 ALLOWED = (
     r"^[A-Za-z+/_-]+$",  # no digit: words, paths and identifiers
     r"^[0-9_/+-]+$",  # no letter: numbers, dates and rules
     r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",  # UUID
-    r"(?i)example|0123456789|abcdefghij|(.)\1{7}",  # placeholders and runs
     r"^[A-Za-z]+(?:[/_-][A-Za-z]+)*[/_-]?[0-9]{1,4}$",  # a name with a short number
 )
 
 
-def window_entropy(candidate: Column) -> Column:
-    """The largest Shannon entropy, in bits, of any WINDOW characters of candidate that follow each other."""
-    chars = F.filter(F.split(candidate, ""), lambda c: c != "")
-    ids = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c))
-    g = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
-    )
+def threshold(symbols: int, missed: float = MISSED) -> float:
+    """The entropy, in bits, that a random window over symbols reaches with probability 1 - missed at least; exact, over all partitions."""
+
+    def partitions(n: int, most: int):
+        if n == 0:
+            yield ()
+        for c in range(min(n, most), 0, -1):
+            for rest in partitions(n - c, c):
+                yield (c, *rest)
+
+    found = []
+    for counts in partitions(WINDOW, WINDOW):
+        if len(counts) <= symbols:
+            ways = math.perm(symbols, len(counts)) * math.factorial(WINDOW)
+            for c in set(counts):
+                ways //= math.factorial(counts.count(c))
+            for c in counts:
+                ways //= math.factorial(c)
+            found.append((-sum(c / WINDOW * math.log2(c / WINDOW) for c in counts), ways))
+    below = 0
+    for entropy, ways in sorted(found):
+        below += ways
+        if below > missed * symbols**WINDOW:
+            return entropy - 1e-9
+    return 0.0
+
+
+BITS = tuple(threshold(len(c)) for c in CLASSES)
+BASE64_BITS = threshold(64)
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once; an expression named in a lambda is evaluated at every call."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(candidate: Column, field: str) -> Column:
+    """Over all windows of candidate, the greatest entropy (best) or the greatest excess over the window's threshold (over)."""
+    grows = F.array(*[F.lit(g) for g in [0.0, *[(c + 1) * math.log2(c + 1) - c * math.log2(c) for c in range(1, WINDOW + 1)]]])
+    member = F.array(*[F.array(*[F.lit(x in c) for c in CLASSES]) for x in ALPHABET])
+    start = F.struct(F.array_repeat(F.lit(0), len(CLASSES)).alias("runs"), F.lit(0.0).alias("total"), F.lit(-9.0).alias("best"), F.lit(-9.0).alias("over"))
 
     def step(state: Column, at: Column, ids: Column) -> Column:
-        came = F.element_at(ids, at)
-        full = at > WINDOW
-        left = F.when(full, F.element_at(ids, F.greatest(at - WINDOW, F.lit(1)))).otherwise(F.lit(0))
-        had = F.when(full, F.element_at(state["counts"], F.greatest(left, F.lit(1)))).otherwise(F.lit(0))
-        has = F.element_at(state["counts"], came) - F.when(left == came, F.lit(1)).otherwise(F.lit(0))
-        total = state["total"] + F.when(full, g(had - 1) - g(had)).otherwise(F.lit(0.0)) + g(has + 1) - g(has)
-        counts = F.transform(
-            state["counts"],
-            lambda n, i: n + F.when(i + 1 == came, F.lit(1)).otherwise(F.lit(0)) - F.when(i + 1 == left, F.lit(1)).otherwise(F.lit(0)),
-        )
-        entropy = F.lit(math.log2(WINDOW)) - total / F.lit(float(WINDOW))
+        came, left = F.element_at(ids, at), F.element_at(ids, F.greatest(at - WINDOW, F.lit(1)))
+        first = F.greatest(at - WINDOW, F.lit(0)) + 1
+        stayed = F.slice(ids, first, at - first)
+        rise = F.element_at(grows, F.size(F.filter(stayed, lambda x: x == came)) + 1)
+        fall = F.when(at > WINDOW, F.element_at(grows, F.size(F.filter(F.slice(ids, first, at - first), lambda x: x == left)) + 1)).otherwise(F.lit(0.0))
+        runs = F.zip_with(state["runs"], F.element_at(member, came), lambda n, inside: F.when(inside, n + 1).otherwise(F.lit(0)))
+        return _let(F.struct(runs.alias("runs"), (state["total"] + rise - fall).alias("total")), lambda now: judged(state, at, now))
+
+    def judged(state: Column, at: Column, now: Column) -> Column:
+        entropy = F.lit(math.log2(WINDOW)) - now["total"] / F.lit(float(WINDOW))
+        needed = F.lit(BASE64_BITS)
+        for i in reversed(range(len(CLASSES))):
+            needed = F.when(F.get(now["runs"], F.lit(i)) >= WINDOW, F.lit(BITS[i])).otherwise(needed)
+        full = at >= WINDOW
         return F.struct(
-            counts.alias("counts"),
-            total.alias("total"),
-            F.when(at >= WINDOW, F.greatest(state["best"], entropy)).otherwise(state["best"]).alias("best"),
+            now["runs"].alias("runs"),
+            now["total"].alias("total"),
+            F.when(full, F.greatest(state["best"], entropy)).otherwise(state["best"]).alias("best"),
+            F.when(full, F.greatest(state["over"], entropy - needed)).otherwise(state["over"]).alias("over"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, lambda state, at: step(state, at, ids), lambda state: state["best"])
+    chars = F.filter(F.split(candidate, ""), lambda c: c != "")
+    ids = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c))
+    return _let(ids, lambda ids: F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, lambda state, at: step(state, at, ids), lambda state: state[field]))
+
+
+def window_entropy(candidate: Column) -> Column:
+    """The largest Shannon entropy, in bits, of any WINDOW characters of candidate that follow each other."""
+    return _scan(candidate, "best")
 
 
 def suspicious(candidate: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
-    """Whether a candidate's entropy reaches its class's threshold and no allow-list pattern matches it."""
-    permitted = F.lit(False)
-    for pattern in allowed:
-        permitted = permitted | candidate.rlike(pattern)
-    needed = F.when(candidate.rlike(HEX_CLASS), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
-    return F.when(permitted, F.lit(False)).otherwise(window_entropy(candidate) >= needed)
+    """Whether a window between a candidate's placeholders reaches its class's threshold in a part that no allow-list pattern matches."""
+
+    def permitted(text: Column) -> Column:
+        out = F.lit(False)
+        for pattern in allowed:
+            out = out | text.rlike(pattern)
+        return out
+
+    flagged = lambda p: F.when((F.char_length(p) < WINDOW) | permitted(p), F.lit(False)).otherwise(_scan(p, "over") >= 0)
+    return F.when(permitted(candidate), F.lit(False)).otherwise(F.exists(F.split(candidate, PLACEHOLDER, -1), flagged))
 
 
 def _pieces(text: Column, pattern: str, keep) -> Column:

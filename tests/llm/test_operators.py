@@ -394,6 +394,20 @@ def test_window_entropy(spark):
         assert abs(r.e - best(r.s)) < 1e-9
 
 
+def test_entropy_recall_per_class_and_length(spark):
+    rng = random.Random(11)
+    kinds = (*secrets.CLASSES, secrets.ALPHABET[:64])
+    rows = [(k, n, "".join(rng.choice(kinds[k]) for _ in range(n))) for k in range(len(kinds)) for n in (20, 24, 32, 40) for _ in range(150)]
+    got = spark.createDataFrame(rows, "k int, n int, s string").withColumn("found", secrets.suspicious(F.col("s"), ()))
+    shares = {(r.k, r.n): r.share for r in got.groupBy("k", "n").agg(F.avg(F.col("found").cast("int")).alias("share")).collect()}
+    assert len(shares) == 4 * len(kinds) and min(shares.values()) >= 0.96
+    token = "k7x2m9q4w8e3r5t1y6u0p"
+    cases = {f"docs/example/{token}": True, "QmFzZTY0IGxpbmUgd2l0aC9x" + "A" * 8 + "aGlkZGVuK2tleTEyMzQ1Njc4": True, f"path/to/{'0f9a3c7e' * 4}": True}
+    cases |= {"example/0123456789/abcdefghij": False, "some_long_identifier_name_42": False, "12345-67890-12345-67890": False, "123e4567-e89b-12d3-a456-426614174000": False, "a1" * 20: False}
+    answers = spark.createDataFrame([(c,) for c in cases], "s string").withColumn("found", secrets.suspicious(F.col("s"))).collect()
+    assert {r.s: r.found for r in answers} == cases
+
+
 def test_redaction(spark, docs):
     hidden = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     for i, t in corpus():
