@@ -1,10 +1,10 @@
 """Community detection (T13-T23) and stable labels.
 
-The partition is made level by level on tables: every node proposes to join the neighbour community
-of greatest modularity gain, moves that could swap back and forth are held back by a rule on ids,
-and the graph is contracted to communities by sums. Each level's moves are aggregates and joins, so
-no component has to fit one worker. A component of at most LOCAL edges is handed to one worker
-whole, which runs the sequential local moves with the graph's total weight.
+A component is handed to one worker whole, which runs sequential local moves with the graph's total
+weight, level by level. Where the largest component has more than LOCAL edges, all components go to
+label propagation on tables instead: a fixed number of synchronous rounds that does not maximise
+modularity, has no test of convergence and ignores resolution and refine. The result therefore
+changes at that size; level-by-level moves on tables are not built.
 """
 
 from __future__ import annotations
