@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import materialize, table
+from .support import materialize, spare, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -33,6 +33,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 SPANS = "array<struct<start:int,end:int>>"
 
 WINDOW = 20
+BLOCK = 256  # spans of a text that are placed together
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 MISSED = 0.01  # share of random windows below their class's threshold
@@ -43,7 +44,7 @@ ALLOWED = (
     r"^[A-Za-z+/_-]+$",  # no digit: words, paths and identifiers
     r"^[0-9_/+-]+$",  # no letter: numbers, dates and rules
     r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",  # UUID
-    r"^[A-Za-z]+(?:[/_-][A-Za-z]+)*[/_-]?[0-9]{1,4}$",  # a name with a short number
+    r"^[A-Za-z]++(?:[/_-][A-Za-z]++)*+[/_-]?[0-9]{1,4}$",  # a name with a short number; possessive, so that no length recurses
 )
 
 
@@ -184,24 +185,51 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     )
 
 
+def _running(items: Column, advance, emit) -> Column:
+    """emit(at, item) for every item, where at starts at 0 and becomes advance(at, item); items are taken BLOCK at a time, as every append copies its list."""
+    none = F.array().cast(SPANS)
+
+    def inner(block: Column, at: Column) -> Column:
+        step = lambda s, m: F.struct(advance(s["at"], m).alias("at"), F.concat(s["out"], F.array(emit(s["at"], m))).alias("out"))
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(items), F.lit(BLOCK)), lambda i: F.slice(items, i + 1, BLOCK))
+    outer = lambda s, b: _let(inner(b, s["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], r["out"]).alias("out")))
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), outer, lambda s: s["out"])
+
+
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every finding in text replaced by mark; of an assignment, only the value is. Null stays null.
 
     All spans are those of the text as it came; spans that overlap or touch are cut as one.
     """
-    text, named = F.col("text"), [f"__cuts_{kind}" for kind in KINDS]
+    text, named = F.col("text"), [spare(docs, f"__cuts_{kind}") for kind in KINDS]
     located = docs.withColumns({name: _cuts(text, kind, *_kept(text)[kind]) for name, kind in zip(named, KINDS, strict=True)})
-    cuts = F.sort_array(F.concat(*[F.coalesce(F.col(name), F.array().cast(SPANS)) for name in named]))
+    found = F.sort_array(F.concat(*[F.coalesce(F.col(name), F.array().cast(SPANS)) for name in named]))
+    # Each span from where those before it end: spans of one cut touch, and a span inside another is empty.
+    clear = lambda cuts: _running(cuts, lambda at, c: F.greatest(at, c["end"]), lambda at, c: _span(F.greatest(at, c["start"]), F.greatest(at, c["end"])))
 
-    def cut(state: Column, span: Column) -> Column:
-        shown = F.substr(text, F.greatest(state["at"], F.lit(0)) + 1, span["start"] - F.greatest(state["at"], F.lit(0)))
-        return F.struct(
-            F.when(span["start"] > state["at"], F.concat(state["out"], shown, F.lit(mark))).otherwise(state["out"]).alias("out"),
-            F.greatest(state["at"], span["end"]).alias("at"),
-        )
+    def shown(cuts: Column) -> Column:
+        size = F.size(cuts)
+
+        def block(i: Column) -> Column:
+            came = F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"])
+            part = F.substr(text, came + 1, F.get(cuts, F.least(i + BLOCK, size) - 1)["end"] - came)
+            return _let(F.struct(part.alias("text"), came.alias("came"), F.slice(cuts, i + 1, BLOCK).alias("cuts")), lambda b: F.array_join(F.transform(b["cuts"], lambda c, j: piece(b, c, i, j)), ""))
+
+        def piece(b: Column, c: Column, i: Column, j: Column) -> Column:
+            before = F.when(j == 0, b["came"]).otherwise(F.get(b["cuts"], j - 1)["end"])
+            begins = (c["start"] > before) | ((i + j == 0) & (c["start"] == 0))
+            return F.when(begins, F.concat(F.substr(b["text"], before - b["came"] + 1, c["start"] - before), F.lit(mark))).otherwise(F.lit(""))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(-1).alias("at"))
-    hidden = F.aggregate(cuts, start, cut, lambda state: F.concat(state["out"], F.substr(text, F.greatest(state["at"], F.lit(0)) + 1)))
+        pieces = F.transform(F.sequence(F.lit(0), size - 1, F.lit(BLOCK)), block)
+        return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(cuts, -1)["end"] + 1))
+
+    hidden = _let(found, lambda spans: F.when(F.size(spans) == 0, text).otherwise(_let(clear(spans), shown)))
     # Columns used twice keep their own projection, whose regular expressions run in generated code.
     return located.withColumn("text", F.when(F.coalesce(*named).isNull(), text).otherwise(hidden)).drop(*named)
 
@@ -212,14 +240,11 @@ def _cuts(text: Column, kind: str, pattern: str, keep) -> Column:
     if kind == "assign":
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
         pieces = F.zip_with(pieces, values, lambda m, v: m.withField("hide", F.char_length(v)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("cuts"))
-
-    def step(state: Column, m: Column) -> Column:
-        end = state["at"] + m["gap"] + m["len"]
-        one = F.struct((end - m["hide" if kind == "assign" else "len"]).alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(m["kept"], F.concat(state["cuts"], F.array(one))).otherwise(state["cuts"]).alias("cuts"))
-
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda state: state["cuts"]))
+    after = lambda at, m: at + m["gap"] + m["len"]
+    hide = lambda m: m["hide" if kind == "assign" else "len"]
+    # What is not kept becomes an empty span at its end, which is dropped.
+    spans = lambda found: _running(found, after, lambda at, m: _span(after(at, m) - F.when(m["kept"], hide(m)).otherwise(0), after(at, m)))
+    return F.when(text.rlike(pattern), F.filter(_let(pieces, spans), lambda c: c["end"] > c["start"]))
 
 
 def op10_secrets(spark, sf_dir):

@@ -408,6 +408,54 @@ def test_entropy_recall_per_class_and_length(spark):
     assert {r.s: r.found for r in answers} == cases
 
 
+def plain_entropy(text):
+    """The entropy spans by their rule, window by window."""
+    import math
+
+    def allowed(t):
+        words = t.replace("/", "-").replace("_", "-").split("-")
+        named = re.fullmatch(r"(.*?[^0-9])([0-9]{1,4})", t, re.S)
+        name = named and all(re.fullmatch("[A-Za-z]+", w) for w in re.sub("[/_-]$", "", named[1]).replace("/", "-").replace("_", "-").split("-"))
+        uuid = [len(w) for w in t.split("-")] == [8, 4, 4, 4, 12] and all(re.fullmatch("[0-9A-Fa-f]*", w) for w in words)
+        return not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t) or uuid or bool(name)
+
+    def high(window):
+        bits = -sum(c / 20 * math.log2(c / 20) for c in (window.count(x) for x in set(window)))
+        need = next((b for c, b in zip(secrets.CLASSES, secrets.BITS, strict=True) if set(window) <= set(c)), secrets.BASE64_BITS)
+        return bits >= need
+
+    spans = []
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+        parts = re.sub(r"(?i)example|0123456789|abcdefghij|(.)\1{7,}", "\0", m[0]).split("\0")
+        if not allowed(m[0]) and any(len(p) >= 20 and not allowed(p) and any(high(p[i : i + 20]) for i in range(len(p) - 19)) for p in parts):
+            spans.append((m.start(), 3, m.end(), "entropy"))
+    return spans
+
+
+def test_entropy_spans_match_a_plain_version(spark):
+    rng = random.Random(21)
+    alphabets = [*secrets.CLASSES, secrets.ALPHABET, "abcdefghijklmnopqrstuvwxyz-_/", "ab01", "0123456789-"]
+    token = lambda: "".join(rng.choice(rng.choice(alphabets[k : k + 2])) for k in [rng.randrange(len(alphabets) - 1)] for _ in range(rng.randint(15, 60)))
+    fixed = ["name-of-a-thing-with-number-42", "123e4567-e89b-12d3-a456-426614174000", "EXAMPLE", "aaaaaaaaaa", "0123456789"]
+    texts = [rng.choice([" ", "é ", "\n"]).join(token() + rng.choice(["", "", rng.choice(fixed)]) for _ in range(8)) for _ in range(120)]
+    got = {r.doc_id: r for r in secrets.find_secrets(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = sorted(plain_secrets(t) + plain_entropy(t))
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want) and got[i].n_entropy == sum(s[1] == 3 for s in want)
+    assert 100 < sum(r.n_entropy for r in got.values()) < 900
+
+
+def test_secrets_of_very_long_texts(spark):
+    rng = random.Random(2)
+    run = "".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(400_000))
+    texts = [run, "a-" * 200_000 + "12345", "a" * 400_000 + "12", "token=abcdefgh12 " * 20_000, "password" * 50_000]
+    docs = frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert got[0].spans == "entropy:0:400000" and got[1].spans == "" and got[3].n_assign == 20_000 and got[4].spans == ""
+    hidden = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert hidden[0] == "[SECRET]" and hidden[1] == texts[1] and hidden[3] == "token=[SECRET] " * 20_000
+
+
 def test_redaction(spark, docs):
     hidden = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     for i, t in corpus():
