@@ -9,10 +9,12 @@ cosine. Each task scores the codes of its vectors for a block of queries by tabl
 SHORTLIST best of every BLOCK_ROWS exactly in double precision, and hands on its k best; a window
 merges them.
 
-Every vector is indexed and scored, and the shortlists grow with the input.
+Every vector is indexed and scored, and the shortlists grow with the input. Queries are searched for
+a block at a time, and a block's answers are written before the next is read.
 
-Defined results: which vectors take part is said in `usable`; ties go to the smaller vec_id; fewer
-candidates than k give fewer rows; an empty table gives an empty result; other columns are ignored.
+Defined results: which vectors take part is said in `usable`, and vectors of different lengths are
+searched apart, with codebooks of their own; ties go to the smaller vec_id; fewer candidates than k
+give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import materialize, table
-from .vectors import best, matrix, query_blocks, union_all, usable
+from .vectors import Found, lengths, matrix, query_blocks, search_all, usable
 
 BOOKS = 16
 WORDS = 256
@@ -73,12 +75,13 @@ def encode(vectors, books):
     return codes[np.arange(n), first], ((x - rest) ** 2).sum(axis=1)
 
 
-def build_index(rows: DataFrame) -> tuple[DataFrame, object]:
-    """rows with codes and norm2 as a written table, and the codebooks."""
+def build_index(rows: DataFrame, n: int) -> tuple[DataFrame, object]:
+    """The vectors of length n with codes and norm2 as a written table, and the codebooks."""
     import numpy as np
 
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("v").collect()])
-    books = train(sample)
+    rows = rows.where(F.col("n") == n)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(TRAIN_ROWS).select("v").toArrow()
+    books = train(np.concatenate([matrix(c) for c in sample.column("v").chunks if len(c)]))
     sent = rows.sparkSession.sparkContext.broadcast(books)  # BOOKS * WORDS codewords, whatever the input
 
     def run(batches):
@@ -90,66 +93,63 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, object]:
                 part = b.slice(i, 2048)
                 codes, norm2 = encode(matrix(part.column("v")), sent.value)
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), packed, pa.array(norm2.astype(np.float64))], names=["vec_id", "v", "codes", "norm2"])
-
-    return materialize(rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, norm2 double"), "ann-index"), books
-
-
-def search(index: DataFrame, books, ids, queries, k: int, measure: str = "inner") -> DataFrame:
-    """The k best of each task's vectors for every query, exactly scored: query_id, vec_id, score."""
-    sent = index.sparkSession.sparkContext.broadcast((books, ids, queries))  # one block of queries
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        books, ids, queries = sent.value
-        asked = np.asarray(queries, np.float32)
-        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-        for b in (whole.slice(i, BLOCK_ROWS) for whole in batches for i in range(0, whole.num_rows, BLOCK_ROWS)):
-            vec_ids, v = b.column("vec_id").to_numpy(zero_copy_only=False), matrix(b.column("v"))
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(v), -1).T.copy()
-            norm2 = b.column("norm2").to_numpy(zero_copy_only=False).astype(np.float32)
-            exact2 = (v**2).sum(axis=1)
-            for at in range(0, len(ids), 32):
-                tables = np.einsum("qd,mwd->qmw", asked[at : at + 32], books, optimize=True)
-                for j, lookup in enumerate(tables):
-                    q = at + j
-                    near = lookup[0].take(codes[0])
-                    for m in range(1, len(codes)):
-                        near += lookup[m].take(codes[m])
-                    if measure == "l2":
-                        near = 2 * near - norm2
-                    elif measure == "cosine":
-                        near = near / np.sqrt(np.maximum(norm2, 1e-30))
-                    short = np.argpartition(-near, SHORTLIST)[: SHORTLIST + 1] if len(near) > SHORTLIST + 1 else np.arange(len(near))
-                    short = short[vec_ids[short] != ids[q]]
-                    score = v[short] @ queries[q]
-                    if measure == "l2":
-                        score = 2 * score - exact2[short] - (queries[q] ** 2).sum()
-                    elif measure == "cosine":
-                        score = score / np.sqrt(exact2[short] * (queries[q] ** 2).sum())
-                    known, values = np.append(found[q][0], vec_ids[short]), np.append(found[q][1], score)
-                    order = np.lexsort((known, -values))[:k]
-                    found[q] = (known[order], values[order])
-        for at in range(0, len(ids), 1024):
-            part = found[at : at + 1024]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[at : at + 1024], [len(f[0]) for f in part])), pa.array(np.concatenate([f[0] for f in part])), pa.array(np.concatenate([f[1] for f in part]))], names=["query_id", "vec_id", "score"]
-            )
-
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row", "vec_id", "v")], packed, pa.array(norm2.astype(np.float64))], names=["row", "vec_id", "v", "codes", "norm2"])
+
+    return materialize(rows.select("row", "vec_id", "v").mapInArrow(run, "row long, vec_id long, v array<double>, codes binary, norm2 double"), "ann-index"), books
+
+
+def search(measure: str = "inner"):
+    """The function that gives the k best of a task's vectors for every query, exactly scored."""
+
+    def task(sent, k: int):
+        def run(batches):
+            import numpy as np
+
+            (rows, ids, queries), books = sent.value
+            asked = np.asarray(queries, np.float32)
+            found = Found(len(ids), k, np.float64)
+            for b in (whole.slice(i, BLOCK_ROWS) for whole in batches for i in range(0, whole.num_rows, BLOCK_ROWS)):
+                row, vec_ids, v = (b.column("row").to_numpy(zero_copy_only=False), b.column("vec_id").to_numpy(zero_copy_only=False), matrix(b.column("v")))
+                codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(v), -1).T.copy()
+                norm2 = b.column("norm2").to_numpy(zero_copy_only=False).astype(np.float32)
+                exact2 = (v**2).sum(axis=1)
+                for at in range(0, len(ids), 32):
+                    tables = np.einsum("qd,mwd->qmw", asked[at : at + 32], books, optimize=True)
+                    for j, lookup in enumerate(tables):
+                        q = at + j
+                        near = lookup[0].take(codes[0])
+                        for m in range(1, len(codes)):
+                            near += lookup[m].take(codes[m])
+                        if measure == "l2":
+                            near = 2 * near - norm2
+                        elif measure == "cosine":
+                            near = near / np.sqrt(np.maximum(norm2, 1e-30))
+                        short = np.argpartition(-near, SHORTLIST)[: SHORTLIST + 1] if len(near) > SHORTLIST + 1 else np.arange(len(near))
+                        short = short[row[short] != rows[q]]
+                        score = v[short] @ queries[q]
+                        if measure == "l2":
+                            score = 2 * score - exact2[short] - (queries[q] ** 2).sum()
+                        elif measure == "cosine":
+                            score = score / np.sqrt(exact2[short] * (queries[q] ** 2).sum())
+                        found.add(q, vec_ids[short], score)
+            yield from found.batches(rows, ids)
+
+        return run
+
+    return task
 
 
 def nearest(vectors: DataFrame, k: int = 20, modulus: int = 20, measure: str = "inner") -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by modulus, the k nearest others found."""
-    spark = vectors.sparkSession
-    rows, _ = usable(vectors, False, "ann-rows")
-    if rows.isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, books = build_index(rows)
-    parts = [search(index, books, ids, queries, k, measure) for ids, queries in query_blocks(rows, modulus)]
-    return best(union_all(parts), k) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = usable(vectors, False, "ann-rows")
+
+    def searches():
+        for n, _ in lengths(rows):
+            index, books = build_index(rows, n)
+            for queries in query_blocks(rows.where(F.col("n") == n), n, modulus):
+                yield index, queries, books
+
+    return search_all(searches(), search(measure), k, "double", vectors.sparkSession)
 
 
 def op3_ann(spark, sf_dir):

@@ -119,30 +119,79 @@ def vectors(spark, n=300, d=16):
     v = rng.normal(size=(n, d)).round(3)
     v[50] = v[60]
     rows = [(i, v[i].tolist()) for i in range(n)]
-    odd = [(1000, None), (1020, [0.0] * d), (1040, [float("nan")] + [1.0] * (d - 1)), (1060, [None] + [1.0] * (d - 1)), (1080, [float("inf")] * d), (1100, []), (None, [1.0] * d), (1120, [1.0] * 3), (20, v[20].tolist())]
-    return spark.createDataFrame([(i, x, 3, 1) for i, x in rows + odd], "vec_id long, embedding array<double>, label int, rank int"), v
+    odd = [(1000, None), (1020, [0.0] * d), (1040, [float("nan")] + [1.0] * (d - 1)), (1060, [None] + [1.0] * (d - 1)), (1080, [float("inf")] * d), (1100, []), (None, [1.0] * d)]
+    # Another length, a vec_id with two vectors, and the same row twice.
+    odd += [(1200, [1.0, 2.0, 3.0]), (1201, [2.0, 2.0, 0.5]), (1250, [0.25, -1.0, 9.0]), (100, [0.5] * d), (20, v[20].tolist())]
+    return spark.createDataFrame([(i, x, 3, 1, 4) for i, x in rows + odd], "vec_id long, embedding array<double>, label int, rank int, row long"), v, rows + odd
 
 
-def test_ann(spark):
-    frame_, v = vectors(spark)
+def usable_rows(rows, zero_too):
+    return [(i, np.array(x)) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all() and (zero_too or any(x))]
+
+
+def expected_top(rows, k, modulus, product):
+    """Lists (query_id, [(vec_id, score)]) of every query row, brute force."""
+    out = []
+    for a, (q, x) in enumerate(rows):
+        if q % modulus == 0:
+            others = [(-product(x, y), i) for b, (i, y) in enumerate(rows) if a != b and len(x) == len(y)]
+            out.append((q, [(i, -s) for s, i in sorted(others)[:k]]))
+    return sorted(out)
+
+
+def by_query(df, k):
+    """The answers as lists; queries of equal id share a list, sorted by rank."""
     got = {}
-    for r in ann.nearest(frame_).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    scores = v @ v.T
-    assert sorted(got) == list(range(0, 300, 20))
-    found = 0
+    for r in df.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(a) for q, a in got.items()}
+
+
+def test_ann(spark):
+    frame_, _, rows = vectors(spark)
+    rows = usable_rows(rows, False)
+    want = {}
+    for q, answer in expected_top(rows, 20, 20, lambda x, y: float(x @ y)):
+        want.setdefault(q, []).extend((rank, i, s) for rank, (i, s) in enumerate(answer, 1))
+    got = by_query(ann.nearest(frame_), 20)
+    assert sorted(got) == sorted(q for q in want if want[q])
     for q, answer in got.items():
-        s = scores[q].copy()
-        s[q] = -np.inf
-        best = np.lexsort((np.arange(300), -s))[:20]
-        assert len(answer) == 20 and all(abs(s[i] - x) < 1e-9 for i, x in answer)
-        found += len({i for i, _ in answer} & set(best.tolist()))
-    assert found / (20 * len(got)) >= 0.9
+        assert [r for r, _, _ in answer] == [r for r, _, _ in sorted(want[q])]
+        assert np.allclose(sorted(s for *_, s in answer), sorted(s for *_, s in want[q]))
+    assert sorted((r, i) for r, i, _ in got[1200]) == [(1, 1250), (2, 1201)] and len(got[20]) == 40
     assert ann.nearest(frame_.limit(0)).count() == 0
     few = ann.nearest(frame_.where("vec_id in (0, 1, 2)"))
     assert sorted((r.query_id, r.vec_id) for r in few.collect()) == [(0, 1), (0, 2)]
 
 
+def test_ann_recall_on_many_vectors(spark, monkeypatch):
+    """20,000 vectors without clusters: codes of 64 words and a shortlist of 40 in 4096 have to do work."""
+    n, d = 20_000, 48
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(n, d))
+    monkeypatch.setattr(ann, "SHORTLIST", 80)
+    monkeypatch.setattr("graphloom.llm.vectors.QUERY_VALUES", 16 * d)  # several blocks of queries
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+    got = by_query(ann.nearest(df, modulus=400), 20)
+    assert sorted(got) == list(range(0, n, 400))
+    found = 0
+    for q, answer in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        found += len({i for _, i, _ in answer} & set(np.argsort(-s)[:20].tolist()))
+    assert found / (20 * len(got)) >= 0.9
+
+
+def test_plan_does_not_grow_with_queries(spark, monkeypatch):
+    frame_, _, _ = vectors(spark)
+    plain = by_query(impact.exact_top(frame_, modulus=10), 5)
+    monkeypatch.setattr("graphloom.llm.vectors.QUERY_VALUES", 64)
+    monkeypatch.setattr(impact, "BLOCK_VALUES", 1600)
+    cut = impact.exact_top(frame_, modulus=10)
+    assert by_query(cut, 5) == plain
+    assert "Union" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
 def test_codes_come_near():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 8))
@@ -152,27 +201,37 @@ def test_codes_come_near():
     assert ((back - x) ** 2).sum() < 0.02 * (x**2).sum() and np.allclose((back**2).sum(axis=1), norm2, rtol=1e-3)
 
 
-def test_exact_top(spark):
-    frame_, v = vectors(spark)
-    ids = [*range(300), 1020]
-    whole = np.floor(np.concatenate([v, np.zeros((1, 16))]) * 256).astype(int)
-    got = {}
-    for r in impact.exact_top(frame_, k=5, modulus=50).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert sorted(got) == [q for q in ids if q % 50 == 0]
-    for q, answer in got.items():
-        row = ids.index(q)
-        want = sorted(((int(whole[k] @ whole[row]), -i) for k, i in enumerate(ids) if i != q), reverse=True)[:5]
-        assert answer == [(-i, s) for s, i in want]
+@pytest.mark.parametrize("scale", [1, 1e6])
+def test_exact_top(spark, scale):
+    frame_, _, rows = vectors(spark)
+    frame_ = frame_.withColumn("embedding", F.transform("embedding", lambda x: x * scale))
+    whole = [(i, [int(np.floor(x * scale * 256)) for x in v]) for i, v in usable_rows(rows, True)]
+    want = {}
+    for q, answer in expected_top(whole, 5, 50, lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))):
+        want.setdefault(q, []).extend((rank, i, s) for rank, (i, s) in enumerate(answer, 1))
+    assert by_query(impact.exact_top(frame_), 5) == {q: sorted(a) for q, a in want.items() if a}
+    plain = frame_.select("vec_id", "embedding").toPandas()
+    con = duckdb.connect()
+    con.register("embeddings", plain)
+    sql = sorted(con.execute(registry.oracle_sql()["op6_topk"]).fetchall())
+    assert sql == sorted((q, *a) for q, answers in want.items() for a in answers)
     assert impact.exact_top(frame_.limit(0)).count() == 0
 
 
-def test_impact_stops_only_on_proof():
+def test_exact_top_beyond_64_bits(spark):
+    rows = [(0, [1e300, 1.0]), (1, [-1e300, 2.0]), (2, [3.0, 1e12]), (50, [1e9, 1e9]), (3, [40.0, 70.0])]
+    got = by_query(impact.exact_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), 5)
+    assert [(i, s) for _, i, s in got[50]][:2] == [(0, 2**63 - 1), (2, 2**63 - 1)] and got[50][2][1:] == (3, 256**2 * 110 * 10**9)
+    assert got[0][0][2] == 2**63 - 1 and got[0][-1] == (4, 1, -(2**63 - 1))
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 20, 1 << 24])
+def test_impact_stops_only_on_proof(scale):
     rng = np.random.default_rng(4)
-    v = rng.integers(-130, 130, size=(3000, 24))
-    index, ids = impact.ImpactIndex(v), np.arange(3000)
-    for q in rng.integers(-130, 130, size=(20, 24)):
-        found, scores = index.top(q, 5, -1, ids, -(1 << 62))
+    v = rng.integers(-130, 130, size=(3000, 24)) * scale + rng.integers(0, scale, size=(3000, 24))
+    index, ids = impact.ImpactIndex(v.astype(float)), np.arange(3000)
+    for q in rng.integers(-130, 130, size=(20, 24)) * scale + rng.integers(0, scale, size=(20, 24)):
+        found, scores = index.top(q.astype(float), 5, -1, -impact.LONG, ids)
         want = np.lexsort((ids, -(v @ q)))[:5]
         assert found.tolist() == want.tolist() and scores.tolist() == (v @ q)[want].tolist()
 
