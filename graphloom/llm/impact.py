@@ -32,7 +32,7 @@ from .vectors import Found, lengths, matrix, query_blocks, search_all, usable
 
 SCALE = 256
 LEVEL_BITS = 3
-CHECKPOINTS = (0.4, 0.55, 0.7, 0.85, 1.0)  # shares of the postings
+CHECKPOINTS = (0.5, 0.6, 0.7, 0.8, 1.0)  # shares of the postings
 BLOCK_ROWS = 8192  # of a block, or so many that it holds BLOCK_VALUES components
 BLOCK_VALUES = 1 << 22
 WIDE = 1 << 52  # components beyond are scored in unbounded integers
@@ -54,7 +54,7 @@ class ImpactIndex:
         self.order_down = np.argsort(-vectors, axis=0, kind="stable").T.astype(np.uint16) if order is None else order
         self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
         self.reach = np.maximum(np.abs(self.low), np.abs(self.high)).astype(float)
-        self.order, self.lead, self.stops, self.tops = [], [], [], []
+        self.order, self.lead, self.stops, self.tops, self.sizes = [], [], [], [], []
         for d in range(vectors.shape[1]):
             down = self.order_down[d].astype(np.intp)
             ranked = vectors[down, d]
@@ -65,20 +65,20 @@ class ImpactIndex:
                 self.lead.append(lead)
                 self.stops.append(np.append(starts[1:], len(order)))
                 self.tops.append(lead[starts])
+                self.sizes.append(self.stops[-1] - starts)
         self.places = np.empty(len(vectors) * vectors.shape[1], np.intp)
-        self.values = np.empty(len(self.places), np.int64)
+        self.values = np.empty(len(self.places))
 
     def _segments(self, query):
-        """The query's lists, and its segments in descending order of impact: (list, place in it, impact), and how many postings they come to."""
+        """The query's lists, and its segments in descending order of impact: list, impact, and how many postings they come to."""
         import numpy as np
 
         lists = np.array([2 * d + int(w < 0) for d, w in enumerate(query) if w], np.intp)
         of = np.repeat(lists, [len(self.tops[i]) for i in lists])
-        at = np.concatenate([np.arange(len(self.tops[i])) for i in lists])
-        size = np.concatenate([np.diff(self.stops[i], prepend=0) for i in lists])
+        size = np.concatenate([self.sizes[i] for i in lists])
         impact = np.concatenate([self.tops[i] * abs(int(query[i // 2])) for i in lists])
         rank = np.argsort(-impact, kind="stable")  # within a list impacts fall, so its segments stay in order
-        return lists, of[rank], at[rank], np.append(impact[rank], 0), np.cumsum(size[rank])
+        return lists, of[rank], np.append(impact[rank], 0), np.cumsum(size[rank])
 
     def top(self, query, k: int, own, floor: int, ids):
         """(ids, scores) of the k best rows of the block other than the row at place own (-1: none); rows certainly below floor may be missing.
@@ -110,15 +110,16 @@ class ImpactIndex:
 
         if not query.any() or len(rows) <= 4 * k:
             return answer(rows)
-        lists, of, at, impact, postings = self._segments(query)
+        lists, of, impact, postings = self._segments(query)
         offset = sum(int(w) * int(self.low[d] if w > 0 else self.high[d]) for d, w in enumerate(query))
         weight = np.abs(query)[lists // 2]
         sums, counts = np.full(n, offset, np.int64), np.zeros(n, np.int64)
+        narrow = widest < 2**52
+        values = self.values if narrow else self.values.view(np.int64)
         done, taken = np.zeros(2 * len(query), np.intp), 0
         for share in CHECKPOINTS:
             before, taken = taken, int(np.searchsorted(postings, share * postings[-1])) + 1
-            reached = done.copy()
-            np.maximum.at(reached, of[before:taken], at[before:taken] + 1)
+            reached = done + np.bincount(of[before:taken], minlength=len(done))
             used, bounds = 0, 0
             for i, w in zip(lists.tolist(), weight.tolist(), strict=True):
                 stops, r = self.stops[i], reached[i]
@@ -127,13 +128,13 @@ class ImpactIndex:
                 a, b = (int(stops[x - 1]) if x else 0 for x in (done[i], r))
                 if a < b:
                     self.places[used : used + b - a] = self.order[i][a:b]
-                    np.multiply(self.lead[i][a:b], w, out=self.values[used : used + b - a])
+                    np.multiply(self.lead[i][a:b], w, out=values[used : used + b - a])
                     used += b - a
             done = reached
-            if widest < 2**52:
-                sums += np.bincount(self.places[:used], self.values[:used], n).astype(np.int64)
+            if narrow:
+                sums += np.bincount(self.places[:used], values[:used], n).astype(np.int64)
             else:
-                np.add.at(sums, self.places[:used], self.values[:used])
+                np.add.at(sums, self.places[:used], values[:used])
             if share < CHECKPOINTS[-1]:
                 counts += np.bincount(self.places[:used], minlength=n)
                 upper = sums + (np.minimum((len(lists) - counts) * int(impact[taken]), bounds) if widest * len(lists) < 2**61 else bounds)
