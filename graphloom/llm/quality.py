@@ -7,21 +7,24 @@ model minimises the non-negative unbiased risk
 
 with the logistic loss: as long as the second term is positive it is descended as it stands, and
 when a step makes it negative its sign is turned, so that positives hidden among the unlabelled
-cannot drive the risk below zero. The class prior p is estimated from the labels of the training
-rows, as the share of trusted positives among labelled documents.
+cannot drive the risk below zero. The class prior p is estimated from positives and unlabelled rows
+alone: a first model, fitted with FIRST_PRIOR, ranks all rows; above a threshold there are at least p
+times as many of the unlabelled, by share, as of the positives, so p is the least ratio of the two
+shares over thresholds that nearly all positives pass (TAILS). Both shares count every row.
 
 A text's features are shares of character classes, word, line and repetition statistics of the whole
 text, expanded by hinges at the sample's quantiles, so that a linear score can follow a
-threshold. Labels, lang, source and doc_id are no inputs. The model is fitted on samples of at most
-SAMPLE positives and SAMPLE unlabelled rows, those with the smallest hash of their id; every row of
-the input is scored.
+threshold. Labels, lang, source and doc_id are no inputs. The weights are fitted on samples of at most
+SAMPLE positives and SAMPLE unlabelled rows, those with the smallest hash of id and features; every
+row of the input is scored.
 
-Scores are the logistic function of f. The cut in use is CUT; the offset is set on the training
+Scores are the logistic function of f. The cut in use is CUT; the offset is calibrated on the training
 sample so that all but KEEP_LOSS of the trusted positives score above it.
 
 Defined results: a null text counts as empty; a null doc_id is held out like any other by the CRC of
-its absent text (0, so it is); labels of rows that repeat a doc_id are taken as their greatest; with
-no positive to learn from every score is 1; an empty table gives an empty result.
+its absent text (0, so it is); labels of rows that repeat a doc_id are taken as their greatest; rows
+that repeat a doc_id with different texts are rows of their own, and rows alike in id and text count
+once in the samples; with no positive to learn from every score is 1; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import release_memory, table
+from .support import materialize, release_memory, table
 
 CUT = 0.3
 SAMPLE = 6000
 KEEP_LOSS = 0.002
+FIRST_PRIOR = 0.5
+TAILS = (0.002, 0.005, 0.01, 0.02, 0.03, 0.05)  # shares of positives below a threshold
 HINGES = (0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98)
 STEPS, RATE, RIDGE = 400, 0.05, 3.0  # the ridge counts as RIDGE / positives
 FEATURES = 26
@@ -102,10 +107,28 @@ class Model:
         return np.concatenate([x, *[np.maximum(0, x - k) for k in knots], *[(x > k).astype(float) for k in knots]], axis=1)
 
     def score(self, x):
-        import numpy as np
+        return sigmoid(((self.expand(x, self.knots) - self.mean) / self.scale) @ self.weights + self.offset)
+
+
+def sigmoid(z):
+    import numpy as np
+
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def risk_parts(w, p, u, prior: float):
+    """The two terms of the risk: p * E_pos[l(f)], and E_unl[l(-f)] - p * E_pos[l(-f)] before it is cut at 0."""
+    import numpy as np
+
+    fp, fu = p @ w, u @ w
+    return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
 
-        f = ((self.expand(x, self.knots) - self.mean) / self.scale) @ self.weights + self.offset
-        return 1 / (1 + np.exp(-np.clip(f, -50, 50)))
+def direction(w, p, u, prior: float):
+    """The gradient to descend: of both terms, or, where the second is negative, of its negative alone."""
+    gp, gu = sigmoid(p @ w), sigmoid(u @ w)
+    rest = gu @ u / len(u) - prior * (gp @ p) / len(p)
+    return rest - prior * ((1 - gp) @ p) / len(p) if risk_parts(w, p, u, prior)[1] >= 0 else -rest
 
 
 def fit(positive, unlabelled, prior: float) -> Model:
@@ -118,18 +141,13 @@ def fit(positive, unlabelled, prior: float) -> Model:
     knots = np.quantile(both, HINGES, axis=0)
     wide = Model.expand(both, knots)
     mean, scale = wide.mean(axis=0), wide.std(axis=0) + 1e-6
+    del wide
     p, u = ((Model.expand(x, knots) - mean) / scale for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1] + 1)
     p, u = (np.concatenate([x, np.ones((len(x), 1))], axis=1) for x in (p, u))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    soft = lambda z: np.logaddexp(0, z)
+    w = np.zeros(p.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
-        fp, fu = p @ w, u @ w
-        negative = soft(fu).mean() - prior * soft(fp).mean()
-        rest = (sigmoid(fu) @ u) / len(u) - prior * (sigmoid(fp) @ p) / len(p)
-        grad = rest - prior * ((1 - sigmoid(fp)) @ p) / len(p) if negative >= 0 else -rest
-        grad = grad + RIDGE / len(p) * np.append(w[:-1], 0)
+        grad = direction(w, p, u, prior) + RIDGE / len(p) * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     lowest = float(np.quantile(p @ w, KEEP_LOSS))
@@ -137,6 +155,12 @@ def fit(positive, unlabelled, prior: float) -> Model:
     return Model(knots, mean, scale, w[:-1], float(w[-1] + max(0.0, shift)))
 
 
+def prior_of(positive_above, unlabelled_above, positives: int, unlabelled: int) -> float:
+    """The class prior, from how many rows of either kind lie above each threshold."""
+    ratios = [(u / unlabelled) / (p / positives) for p, u in zip(positive_above, unlabelled_above, strict=True) if p]
+    return float(min(0.99, max(0.01, min(ratios, default=FIRST_PRIOR))))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
@@ -147,40 +171,53 @@ def _rows(texts):
     return np.array([features_of(t) for t in texts], float).reshape(-1, FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The classifier learnt from the rows that are not held out; None without trusted positives."""
-    known = labels.select(F.col("doc_id").alias("id"), "quality").where(F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("quality").alias("quality")).where("quality is not null")
-    labelled, good = known.agg(F.count(F.lit(1)), F.sum((F.col("quality") > 0).cast("int"))).first()
-    if not good:
-        return None
-    order = [F.xxhash64("id", F.lit(11)), F.col("id")]
-    ids = docs.select(F.col("doc_id").alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    trusted = known.where("quality > 0").select("id").orderBy(*order).limit(SAMPLE)
-    at_large = ids.orderBy(F.xxhash64("id", F.lit(12)), "id").limit(SAMPLE)
-    # Two samples of at most SAMPLE ids each.
-    wanted = trusted.withColumn("kind", F.lit(1)).unionByName(at_large.withColumn("kind", F.lit(0)))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(wanted), "id").select("kind", _features(F.col("text")).alias("x"))
-    rows = texts.collect()
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out and the features x of every row, as a written table."""
+    return materialize(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _features(F.col("text")).alias("x")), "quality-features")
+
+
+def train(rows: DataFrame, labels: DataFrame) -> Model | None:
+    """The classifier learnt from the rows of featured() that are not held out; None without trusted positives."""
     import numpy as np
 
-    x, kind = np.array([r[1] for r in rows], float).reshape(-1, FEATURES), np.array([r[0] for r in rows])
-    if not (kind == 1).any() or not (kind == 0).any():
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality")).where("quality > 0").select("id")
+    at_large = rows.where(~F.col("held_out")).select(F.col("doc_id").alias("id"), "x")
+    trusted = at_large.join(good, "id")
+
+    def sample(df: DataFrame, seed: int):
+        # Keys are distinct before they are limited, whatever ids repeat.
+        keyed = df.groupBy(F.xxhash64("id", "x", F.lit(seed)).alias("key")).agg(F.first("x").alias("x")).orderBy("key").limit(SAMPLE)
+        return np.array([r[0] for r in keyed.select("x").collect()], float).reshape(-1, FEATURES)
+
+    p, u = sample(trusted, 11), sample(at_large, 12)
+    if not len(p) or not len(u):
         return None
-    return fit(x[kind == 1], x[kind == 0], min(0.99, good / labelled))
+    first = fit(p, u, FIRST_PRIOR)
+    cuts = np.quantile(first.score(p), TAILS).tolist()
+
+    def above(df: DataFrame):
+        score = score_features(F.col("x"), first)
+        return df.select(score.alias("s")).agg(F.count("s"), *[F.sum((F.col("s") >= F.lit(c)).cast("long")) for c in cuts]).first()
+
+    positives, unlabelled = above(trusted), above(at_large)
+    return fit(p, u, prior_of(positives[1:], unlabelled[1:], positives[0], unlabelled[0]))
 
 
 def _features(text: Column) -> Column:
     import pandas as pd
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([features_of(t) for t in texts])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series([features_of(t) for t in texts])
+        finally:
+            release_memory()
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<double>")(text.cast("string"))
 
 
-def score_column(text: Column, model: Model | None) -> Column:
-    """The quality score of a text, from 0 to 1."""
+def _scored(column: Column, model: Model | None, matrix) -> Column:
     import pandas as pd
 
     if model is None:
@@ -188,24 +225,41 @@ def score_column(text: Column, model: Model | None) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
-            for texts in batches:
-                yield pd.Series(model.score(_rows(texts)))
+            for rows in batches:
+                yield pd.Series(model.score(matrix(rows)))
         finally:
             release_memory()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")(text.cast("string"))
+    return F.pandas_udf(run, "double")(column)
+
+
+def score_features(x: Column, model: Model | None) -> Column:
+    """The quality score of a row of features, from 0 to 1."""
+
+    def matrix(rows):
+        import numpy as np
+
+        return np.array(rows.tolist(), float).reshape(-1, FEATURES)
+
+    return _scored(x, model, matrix)
+
+
+def score_column(text: Column, model: Model | None) -> Column:
+    """The quality score of a text, from 0 to 1."""
+    return _scored(text.cast("string"), model, _rows)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(F.col("text"), train(docs, labels)).alias("score"))
+    rows = featured(docs)
+    scored = rows.select("doc_id", "held_out", score_features(F.col("x"), train(rows, labels)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    return docs.where(score_column(F.col("text"), train(docs, labels)) >= CUT)
+    return docs.where(score_column(F.col("text"), train(featured(docs), labels)) >= CUT)
 
 
 def op5_quality(spark, sf_dir):

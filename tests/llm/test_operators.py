@@ -304,6 +304,64 @@ def test_quality(spark, empty):
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {1.0}
 
 
+def test_quality_against_plain_scores(spark):
+    """The query's scores from a plain run of the same rule: features, first fit, prior from all rows, second fit."""
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choice(WORDS) for _ in range(rng.randint(20, 60))) + ("!! | " * 9 if i % 5 == 0 else ".")) for i in range(400)]
+    # An id with 300 texts, of which the labels know it as good, and 200 equal rows.
+    rows = [*enumerate(texts), *[(9, t + " x") for t in texts[:300]], *[(11, "the same text again")] * 200, (None, "n"), (401, None)]
+    quality_of = {i: int(i % 5 != 0) for i in range(0, 400, 3)}
+    labels = spark.createDataFrame([*quality_of.items(), (9, 1), (9, 0), (9, None)], "doc_id long, quality int")
+    good = {i for i, q in quality_of.items() if q} | {9}
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    training = [(i, t) for i, t in rows if not held(i)]
+    x = lambda pairs: np.array([quality.features_of(t) for _, t in pairs])
+    unique = sorted(set(training), key=lambda r: (r[0], r[1] or ""))
+    p, u = x([r for r in unique if r[0] in good]), x(unique)
+    first = quality.fit(p, u, quality.FIRST_PRIOR)
+    sp, su = first.score(x([r for r in training if r[0] in good])), first.score(x(training))
+    cuts = np.quantile(first.score(p), quality.TAILS)
+    prior = quality.prior_of([(sp >= c).sum() for c in cuts], [(su >= c).sum() for c in cuts], len(sp), len(su))
+    model = quality.fit(p, u, prior)
+    want = sorted((i if i is not None else -1, held(i), float(model.score(x([(i, t)]))[0])) for i, t in rows)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.score) for r in quality.classify(frame(spark, rows), labels).collect())
+    assert len(got) == len(want) and [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.abs(np.array([g[2] for g in got]) - np.array([w[2] for w in want])).max() < 1e-3
+
+
+def test_risk_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(0.5, 1, (40, 6)), rng.normal(0, 1, (60, 6))
+    seen = set()
+    for prior in (0.3, 0.9):
+        for scale in (0.1, 3.0):
+            w = rng.normal(size=6) * scale
+            first, rest = quality.risk_parts(w, p, u, prior)
+            sign = rest >= 0
+            seen.add(bool(sign))
+            value = lambda z, sign=sign, prior=prior: sum(quality.risk_parts(z, p, u, prior)) if sign else -quality.risk_parts(z, p, u, prior)[1]
+            numeric = [(value(w + e) - value(w - e)) / 2e-5 for e in np.eye(6) * 1e-5]
+            assert np.allclose(quality.direction(w, p, u, prior), numeric, atol=1e-6)
+    assert seen == {True, False}
+
+
+def test_prior_comes_near(spark):
+    rng = np.random.default_rng(8)
+    for share in (0.3, 0.7, 0.9):
+        p = rng.normal(2, 1, 5000)
+        u = np.concatenate([rng.normal(2, 1, int(20000 * share)), rng.normal(-3, 1, 20000 - int(20000 * share))])
+        cuts = np.quantile(p, quality.TAILS)
+        assert abs(quality.prior_of([(p >= c).sum() for c in cuts], [(u >= c).sum() for c in cuts], 5000, 20000) - share) < 0.03
+
+
+def test_quality_with_one_id_repeated(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(12))
+    rows = [(7, text()) for _ in range(10_000)] + [(i, text()) for i in range(100, 400)]
+    labels = spark.createDataFrame([(i, 1) for i in range(100, 300)] + [(7, 1)], "doc_id long, quality int")
+    assert quality.classify(frame(spark, rows), labels).count() == len(rows)
+
+
 def test_mixing_matches_sql(spark, docs, empty):
     got = mixing.mix(docs).toPandas()
     plain = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841  duckdb reads it by name
