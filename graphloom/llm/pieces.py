@@ -7,7 +7,8 @@ walk of their trie, and forward scores are kept on a stack: a word starts from t
 prefix that it shares with the word before it.
 
 For a unigram vocabulary the state of a prefix is its best score and last piece (Viterbi). A BPE
-vocabulary has no score to add up; its forward state is the last piece of the prefix's own encoding.
+vocabulary has no score to add up (on the tables of scale 0.1, adding its scores up encodes 66 % of the distinct
+words, 48 % of all, otherwise than the library); its forward state is the last piece of the prefix's own encoding.
 Encodings of prefixes nest: the encoding of a word is that of a shorter prefix and one more piece,
 and that piece is the only one which merging leaves beside its left neighbour. `joint` decides this
 for two pieces by undoing their merges step by step. Characters outside the vocabulary become their
@@ -72,6 +73,15 @@ def read_model(path: str) -> dict:
             pieces.append((data[slice(*one[1])].decode(), one.get(2, 0.0), one.get(3, 1)))
         elif number == 2:  # trainer: 3 model type (1 unigram, 2 BPE)
             trainer = dict(fields(*span))
+        elif number == 3:  # normaliser: 2 character map, 3 leading space, 4 extra spaces go, 5 spaces become marks
+            rule = dict(fields(*span))
+            mapped = rule.get(2, (0, 0))
+            if mapped[0] != mapped[1] or not rule.get(3, 1) or rule.get(4, 1) or not rule.get(5, 1):
+                raise ValueError("only a model that adds a leading space, keeps all spaces as marks and maps no characters is supported")
+    if trainer.get(3, 1) not in (1, 2):
+        raise ValueError("only unigram and BPE models are supported")
+    if any(kind == 4 for _, _, kind in pieces):
+        raise ValueError("pieces defined by the user are not supported")
     return {"pieces": pieces, "bpe": trainer.get(3, 1) == 2}
 
 
@@ -295,13 +305,19 @@ def _encode(model_path: str):
     return released(run)
 
 
-def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
+def model_path_of(df: DataFrame) -> str:
+    """The vocabulary file that the setting graphloom.pieces.model names, or else MODEL."""
+    return df.sparkSession.conf.get("graphloom.pieces.model", MODEL)
+
+
+def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, decoded_sha256 and round_trip (whether decoding gives the text back) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(model_path), "doc_id long, " + TOKENS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(model_path or model_path_of(docs)), "doc_id long, " + TOKENS)
 
 
-def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
+def decode(tokens: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id and text of every row of tokens (columns doc_id and ids)."""
+    model_path = model_path or model_path_of(tokens)
 
     def run(batches):
         import pyarrow as pa

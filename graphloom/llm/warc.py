@@ -11,8 +11,9 @@ the largest page_id; its payload is not stored. Payloads are compared by SHA-256
 is SHA-1, in base 32 as the format has it.
 
 Defined results: a null html is an empty payload; a null page_id is the smallest and written as
-`null`; rows that repeat the kept page_id and its payload are all responses; a null URL is written
-as the record's own id and read back as null; an empty table gives an empty archive; other columns
+`null`; rows that repeat the kept page_id and its payload are all responses. A record's id is made of page_id
+and payload digest, so rows equal in both share it. A null URL is written as the record's own id and
+read back as null; one with line breaks is written without them, and whole in a field of its own; an empty table gives an empty archive; other columns
 are not looked at.
 """
 
@@ -35,20 +36,23 @@ def record_bytes(page_id, url, payload: bytes, sha1_hex: str, refers_to, kind: s
     import base64
     import zlib
 
-    name = f"urn:page:{'null' if page_id is None else page_id}"
+    name = f"urn:page:{'null' if page_id is None else page_id}:{sha1_hex}"
+    plain = name if url is None else " ".join(url.split()) or "-"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <{name}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {name if url is None else url.replace(chr(13), ' ').replace(chr(10), ' ')}",
+        f"WARC-Target-URI: {plain}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1_hex)).decode()}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
     ]
+    if url is not None and (url != plain or url.startswith("urn:page:")):
+        head.append(f"X-Url: {base64.b64encode(url.encode()).decode()}")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:page:{refers_to}:{sha1_hex}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     else:
         block += payload
     head.append(f"Content-Length: {len(block)}")
@@ -66,16 +70,17 @@ def parse_record(member: bytes) -> dict:
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
-    number = lambda urn: None if urn == "<urn:page:null>" else int(urn[len("<urn:page:") : -1])
+    number = lambda urn: None if urn.startswith("<urn:page:null:") else int(urn.split(":")[2])
     digest = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
     kind, page_id = fields["WARC-Type"], number(fields["WARC-Record-ID"])
     payload = None if kind == "revisit" else block.partition(b"\r\n\r\n")[2]
     if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"payload of page {page_id} does not match its digest")
     url = fields["WARC-Target-URI"]
+    own = f"<{url}>" == fields["WARC-Record-ID"]
     return {
         "page_id": page_id,
-        "url": None if f"<{url}>" == fields["WARC-Record-ID"] else url,
+        "url": base64.b64decode(fields["X-Url"]).decode() if "X-Url" in fields else None if own else url,
         "record_type": kind,
         "refers_to": number(fields["WARC-Refers-To"]) if kind == "revisit" else None,
         "payload_bytes": int(fields["X-Payload-Length"]),

@@ -96,20 +96,21 @@ def test_windows_in_pieces(spark, docs, monkeypatch, pieces_of):
 
 def test_warc(spark):
     big = "<p>" + "x" * 1200 + "é</p>"
-    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (5, None, big), (5, None, big), (7, "http://a/7", "small"), (8, "http://a/8", "small"), (9, "u", None), (10, "u", ""), (None, "http://n", big), (11, "http://a/\r\n11", "y" * 999)]
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (5, None, big), (5, None, big), (7, "http://a/7", "small"), (8, "http://a/8", "small"), (9, "u", None), (10, "u", ""), (None, "http://n", big), (11, "http://a/\r\n11", "y" * 999), (12, "", "z"), (13, " u ", "z"), (14, "urn:page:14:" + hashlib.sha1(b"z").hexdigest(), "z"), (7, "again", "other")]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, same string, sha1 long")
     folder = support.scratch_path(spark, "warc-test")
     index = warc.write_archive(pages, folder)
     got = warc.read_archive(index, folder).collect()
     assert len(got) == len(rows)
     for r in got:
-        html = next((h or "") for p, _, h in rows if p == r.page_id)
+        html = next((h or "") for p, u, h in rows if p == r.page_id and u == r.url)
         assert r.payload_bytes == len(html.encode()) and r.payload_digest == hashlib.sha1(html.encode()).hexdigest()
         revisit = html == big and r.page_id != 5
         assert (r.record_type, r.refers_to) == (("revisit", 5) if revisit else ("response", None))
         assert r.payload is None if revisit else bytes(r.payload) == html.encode()
+    assert sorted((r.url or "") for r in got) == sorted((u or "") for _, u, _ in rows)
     only = warc.read_archive(index.where("page_id = 7"), folder).collect()
-    assert [bytes(r.payload) for r in only] == [b"small"]
+    assert sorted(bytes(r.payload) for r in only) == [b"other", b"small"]
     none = warc.write_archive(pages.limit(0), folder)
     assert warc.read_archive(none, folder).count() == 0
 
@@ -420,6 +421,21 @@ def test_viterbi_on_a_unigram_vocabulary():
     assert names("▁aba") == ["▁a", "ba"] and names("▁abz")[-1] == "<0x7A>"
 
 
+def test_models_of_other_kinds_are_refused(tmp_path):
+    data = open(pieces.MODEL, "rb").read()
+    assert len(pieces.read_model(pieces.MODEL)["pieces"]) == 32_000
+    for extra in (b"\x1a\x02\x18\x00", b"\x1a\x02\x20\x01", b"\x1a\x03\x12\x01x", b"\x12\x02\x18\x03", b"\x0a\x05\x0a\x01q\x18\x04"):
+        other = tmp_path / "other.model"
+        other.write_bytes(data + extra)
+        with pytest.raises(ValueError):
+            pieces.read_model(str(other))
+
+
+def test_pieces_of_repeated_and_null_rows(spark):
+    got = pieces.encode(frame(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, None)])).collect()
+    assert [(r.doc_id, r.n_tokens > 0) for r in got] == [(1, True), (1, True), (None, True), (2, False)] and len({tuple(r.ids) for r in got}) == 2
+
+
 def plain_fingerprint(text):
     import xxhash
 
