@@ -2,7 +2,7 @@
 
 They lie in the folder that spark.checkpoint.dir names, which all executors see, so that neither a
 long lineage nor the loss of an executor costs more than a step. A temporary folder is made only
-where none is named, as in tests.
+where none is named and the master is local, as in tests.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
