@@ -179,89 +179,110 @@ def import_cycles(pairs: DataFrame, max_length: int = 5, n: int = 20) -> DataFra
     return found.select(F.size("path").alias("length"), F.array_join("path", " -> ").alias("cycle")).orderBy("length", "cycle").limit(n)
 
 
-def _brandes(adjacency: dict, sources: list, nodes_of_edges: bool):
-    """Dependency sums over the given sources, of nodes or of edges."""
-    from collections import deque
-
-    total: dict = {}
-    for s in sources:
-        order, parents, paths, dist = [], {s: []}, {s: 1.0}, {s: 0}
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in adjacency.get(v, ()):
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    paths[w], parents[w] = 0.0, []
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    paths[w] += paths[v]
-                    parents[w].append(v)
-        owed = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in parents[w]:
-                share = paths[v] / paths[w] * (1 + owed[w])
-                owed[v] += share
-                if nodes_of_edges:
-                    key = (v, w) if v <= w else (w, v)
-                    total[key] = total.get(key, 0.0) + share
-            if w != s and not nodes_of_edges:
-                total[w] = total.get(w, 0.0) + owed[w]
-    return total
-
-
-def _centrality(nodes: DataFrame, edges: DataFrame, pivots: int | None, limit: int, of_edges: bool) -> tuple[DataFrame, int]:
-    spark = nodes.sparkSession
+SOURCES = 100  # whose paths are counted together, a column each
+
+
+def _counts(n: int) -> list[str]:
+    return [f"c{i}" for i in range(n)]
+
+
+def shortest_path_steps(arcs: DataFrame, sources: list[str]) -> list[DataFrame]:
+    """Written tables (v, c0, c1, ...) for distances 0, 1, ...: how many shortest paths from each source end at v there.
+
+    arcs (source, target) holds every pair in both directions, once. A neighbour of a node at
+    distance d is at d - 1, d or d + 1, so a step looks back at two tables only.
+    """
+    spark, names = arcs.sparkSession, _counts(len(sources))
+    start = spark.createDataFrame(list(zip(sources, range(len(sources)), strict=True)), "v string, i int")
+    steps = [written(start.select("v", *[F.when(F.col("i") == i, 1.0).otherwise(0.0).alias(c) for i, c in enumerate(names)]))]
+    while True:
+        grown = arcs.join(steps[-1], arcs["source"] == steps[-1]["v"]).groupBy(F.col("target").alias("v")).agg(*[F.sum(c).alias(c) for c in names])
+        for before in steps[-2:]:
+            had = before.select("v", *[F.col(c).alias(f"_{c}") for c in names])
+            grown = grown.join(had, "v", "left").select("v", *[F.when(F.coalesce(f"_{c}", F.lit(0.0)) > 0, 0.0).otherwise(F.col(c)).alias(c) for c in names])
+        grown = written(grown.where(F.exists(F.array(*names), lambda x: x > 0)))
+        if grown.isEmpty():
+            return steps
+        steps.append(grown)
+
+
+def path_shares(arcs: DataFrame, steps: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Going back over the steps: (v, owed), the dependency of all sources on every node, and (v, w, part) for the edges on their shortest paths."""
+    names = steps[0].columns[1:]
+    owed, parts = [], []
+    due = None  # per deeper node w and source, (1 + owed) / paths
+    for d in range(len(steps) - 1, -1, -1):
+        here = steps[d]
+        if due is None:
+            now = here.select("*", *[F.lit(0.0).alias(f"o_{c}") for c in names])
+        else:
+            onto = arcs.join(due, arcs["source"] == due["v"]).drop("v")
+            back = onto.groupBy(F.col("target").alias("v")).agg(*[F.sum(f"e_{c}").alias(f"o_{c}") for c in names])
+            now = here.join(back, "v", "left").select("v", *names, *[(F.col(c) * F.coalesce(f"o_{c}", F.lit(0.0))).alias(f"o_{c}") for c in names])
+            total = F.aggregate(F.array(*[F.col(c) * F.col(f"e_{c}") for c in names]), F.lit(0.0), lambda x, y: x + y)
+            parts.append(onto.join(here, onto["target"] == here["v"]).select("v", F.col("source").alias("w"), total.alias("part")).where("part > 0"))
+        now = written(now)
+        # A source owes itself nothing; it alone is at distance 0.
+        if d:
+            owed.append(now.select("v", F.aggregate(F.array(*[f"o_{c}" for c in names]), F.lit(0.0), lambda x, y: x + y).alias("owed")))
+        due = now.select("v", *[F.when(F.col(c) > 0, (1 + F.col(f"o_{c}")) / F.col(c)).otherwise(0.0).alias(f"e_{c}") for c in names])
+    return owed, parts
+
+
+def pivot_rule(n: int) -> int | None:
+    """How many sources betweenness takes: all up to 1000 nodes, else the first 100."""
+    return 100 if n > 1000 else None
+
+
+def _shares(nodes: DataFrame, edges: DataFrame, pivots: int | None, of_edges: bool) -> DataFrame | None:
+    """What path_shares finds for all nodes or the first `pivots` as sources, SOURCES at a time; None without paths."""
+    order = nodes.select("id", "_ord").orderBy("_ord", "id")
+    sources = [r[0] for r in (order.limit(pivots) if pivots else order).collect()]  # bounded by pivot_rule or edge_betweenness's limit
+    arcs, out = written(both_ways(edges).where("source <> target")), None
+    for at in range(0, len(sources), SOURCES):
+        for part in path_shares(arcs, shortest_path_steps(arcs, sources[at : at + SOURCES]))[of_edges]:
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = -1, reference_scale: bool = False) -> DataFrame:
+    """(id, betweenness) over shortest paths from all nodes or the first `pivots`; -1 leaves that to pivot_rule.
+
+    A textbook scale unless reference_scale doubles it. Paths of many sources are counted together,
+    a column each and a step at a time, and summed up on the way back; only tables grow with the graph.
+    """
     n = nodes.count()
-    if n > limit:
-        raise ValueError(f"{n} nodes: the exact method holds the adjacency in every worker and stops at {limit}")
-    pairs = [(r[0], r[1]) for r in both_ways(edges).where("source <> target").collect()]  # at most `limit` nodes
-    adjacency: dict = {}
-    for a, b in sorted(pairs):
-        adjacency.setdefault(a, []).append(b)
-    sent = spark.sparkContext.broadcast(adjacency)
-    order = nodes.select("id", "_ord").orderBy("_ord")
-    sources = (order.limit(pivots) if pivots else order).select("id").repartition(spark.sparkContext.defaultParallelism)
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            found = _brandes(sent.value, list(pdf["id"]), of_edges)
-            if of_edges:
-                yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["source", "target", "part"])
-            else:
-                yield pd.DataFrame(list(found.items()), columns=["id", "part"])
-
-    return sources.mapInPandas(run, "source string, target string, part double" if of_edges else "id string, part double"), n
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, reference_scale: bool = False, limit: int = 200_000) -> DataFrame:
-    """(id, betweenness), all sources or the first `pivots`; a textbook scale unless reference_scale doubles it."""
-    parts, n = _centrality(nodes, edges, pivots, limit, False)
+    pivots = pivot_rule(n) if pivots == -1 else pivots
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     scale *= (n / min(pivots, n) if pivots else 1.0) * (2.0 if reference_scale else 1.0)
-    return nodes.select("id").join(parts.groupBy("id").agg(F.sum("part").alias("s")), "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("betweenness"))
+    parts = _shares(nodes, edges, pivots, False)
+    if parts is None:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    owed = parts.groupBy(F.col("v").alias("id")).agg(F.sum("owed").alias("total"))
+    return nodes.select("id").join(owed, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def edge_betweenness(nodes: DataFrame, edges: DataFrame, reference_scale: bool = False, limit: int = 5000) -> DataFrame:
-    """(source, target, betweenness) of undirected edges."""
-    parts, n = _centrality(nodes, edges, None, limit, True)
+    """(source, target, betweenness) of undirected edges; no rows above `limit` nodes, as every node is a source."""
+    n = nodes.count()
+    parts = _shares(nodes, edges, None, True) if n <= limit else None
+    if parts is None:
+        return edges.select("source", "target", F.lit(0.0).alias("betweenness")).limit(0)
     scale = (1.0 / (n * (n - 1)) if n > 1 else 0.0) * (2.0 if reference_scale else 1.0)
-    return parts.groupBy("source", "target").agg((F.sum("part") * scale).alias("betweenness"))
+    return parts.groupBy(F.least("v", "w").alias("source"), F.greatest("v", "w").alias("target")).agg((F.sum("part") * scale).alias("betweenness"))
 
 
 def betweenness_surprises(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
     """The n edges most paths go through."""
-    return edge_betweenness(nodes, edges).orderBy(F.desc("betweenness"), "source", "target").limit(n)
+    return edge_betweenness(nodes, edges).orderBy(F.desc(F.round("betweenness", 12)), "source", "target").limit(n)
 
 
 def spring_layout(edges: DataFrame, limit: int = 5000, steps: int = 50, seed: int = 42) -> dict[str, tuple[float, float]]:
     """Positions of at most `limit` nodes by attraction along edges and repulsion between nodes."""
     import numpy as np
 
-    pairs = [(r[0], r[1]) for r in edges.select("source", "target").distinct().limit(limit * 4).collect()]
+    # A layout is a picture of a bounded part: the first edges in order of their ends, the same ones each time.
+    pairs = [(r[0], r[1]) for r in edges.select("source", "target").distinct().orderBy("source", "target").limit(limit * 4).collect()]
     names = sorted({x for p in pairs for x in p})[:limit]
     index = {x: i for i, x in enumerate(names)}
     e = np.array([(index[a], index[b]) for a, b in pairs if a in index and b in index], int).reshape(-1, 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import rank as W
 from ..operators import traverse as T
+from ..operators.scratch import written
 from ..sources.tables import edges, nodes, table
 from .catalog import query
 from .graph_queries import DEGREE_ALL, NOT_CONCEPT, NOT_STUB, members
@@ -259,49 +260,61 @@ def sorted_edges(spark, d):
     return W.sorted_edges(edges(spark, d)).select("source", "target", "relation", "_ord")
 
 
-def _small(spark, d):
-    n = nodes(spark, d).where("startswith(id, 'supplier') or startswith(id, 'nation') or startswith(id, 'region')")
-    return n, edges(spark, d).where("relation in ('part_of', 'located_in') and not startswith(source, 'customer')")
+def path_sql(n: str, a: str, sources: str, steps: int) -> str:
+    """Shortest paths as chained common table expressions, materialised: l0.. (s, v, paths) going out, d0.. (s, v, paths, owed) and p0.. (s, v, w, part) coming back."""
+    out = [f"arcs AS MATERIALIZED (SELECT DISTINCT a, b FROM ({a}) WHERE a <> b)", f"size AS (SELECT count(*) AS n FROM ({n}))", f"l0 AS MATERIALIZED (SELECT id AS s, id AS v, CAST(1.0 AS DOUBLE) AS paths FROM ({sources}))"]
+    for k in range(1, steps + 1):
+        seen = " ".join(f"ANTI JOIN l{j} USING (s, v)" for j in range(max(0, k - 2), k))
+        out.append(f"l{k} AS MATERIALIZED (SELECT s, v, paths FROM (SELECT s, b AS v, sum(paths) AS paths FROM l{k - 1} JOIN arcs ON v = a GROUP BY s, b) {seen})")
+    out.append(f"d{steps} AS MATERIALIZED (SELECT s, v, paths, CAST(0.0 AS DOUBLE) AS owed FROM l{steps})")
+    for k in range(steps - 1, -1, -1):
+        out.append(f"p{k} AS MATERIALIZED (SELECT h.s, h.v, w.v AS w, h.paths / w.paths * (1 + w.owed) AS part FROM d{k + 1} w JOIN arcs ON arcs.a = w.v JOIN l{k} h ON h.s = w.s AND h.v = arcs.b)")
+        out.append(f"d{k} AS MATERIALIZED (SELECT s, v, paths, coalesce(owed, 0.0) AS owed FROM l{k} LEFT JOIN (SELECT s, v, sum(part) AS owed FROM p{k} GROUP BY s, v) USING (s, v))")
+    out.append("owed AS (" + " UNION ALL ".join(f"SELECT s, v, owed FROM d{k}" for k in range(steps + 1)) + ")")
+    out.append("parts AS (" + " UNION ALL ".join(f"SELECT v, w, part FROM p{k}" for k in range(steps)) + ")")
+    return ", ".join(out)
 
 
-TREE = """leaf AS (SELECT n_nationkey, n_regionkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS k FROM nation),
-reg AS (SELECT n_regionkey, sum(k + 1) + 1 AS size FROM leaf GROUP BY 1),
-total AS (SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n)"""
+#: The graph's communities as nodes, joined where any of their members are.
+COMMUNITY_WAYS = """SELECT x.community::VARCHAR AS a, y.community::VARCHAR AS b FROM (SELECT source AS p, target AS q FROM edges UNION ALL SELECT target, source FROM edges) JOIN nodes x ON x.id = p JOIN nodes y ON y.id = q"""
+COMMUNITY_IDS = "SELECT DISTINCT community::VARCHAR AS id FROM nodes WHERE community IS NOT NULL"
+COMMUNITY_PATHS = path_sql(COMMUNITY_IDS, f"SELECT a, b FROM ({COMMUNITY_WAYS}) WHERE a IS NOT NULL AND b IS NOT NULL", COMMUNITY_IDS, 8)
 
 
-@query(
-    "betweenness",
-    f"""WITH {TREE},
-    v AS (SELECT 'supplier:' || s_suppkey AS id, 0 AS pairs FROM supplier
-      UNION ALL SELECT 'nation:' || n_nationkey, k * (k - 1) + 2 * k * (size - 1 - k) FROM leaf JOIN reg USING (n_regionkey)
-      UNION ALL SELECT 'region:' || r_regionkey, coalesce((SELECT sum((k + 1) * (size - 1 - (k + 1))) FROM leaf JOIN reg USING (n_regionkey) WHERE leaf.n_regionkey = r_regionkey), 0) FROM region)
-    SELECT id, round(pairs / CAST((n - 1) * (n - 2) AS DOUBLE), 12) AS betweenness FROM v, total""",
-    graph=False,
-)
+def community_graph(spark, d):
+    """The communities of the whole graph and the edges between them, as a graph of its own."""
+    m = written(members(spark, d))
+    n = m.select(F.col("cid").cast("string").alias("id"), F.col("cid").alias("_ord")).distinct()
+    e = A.meta_graph(edges(spark, d), m).select(F.col("cu").cast("string").alias("source"), F.col("cv").cast("string").alias("target"))
+    return n, e
+
+
+@query("betweenness")
 def betweenness(spark, d):
-    return T.betweenness(*_small(spark, d)).withColumn("betweenness", F.round("betweenness", 12))
+    return T.betweenness(nodes(spark, d), edges(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query(
-    "edge_betweenness",
-    f"""WITH {TREE},
-    v AS (SELECT 'nation:' || s_nationkey AS a, 'supplier:' || s_suppkey AS b, 2 * (size - 1) AS pairs FROM supplier JOIN leaf ON n_nationkey = s_nationkey JOIN reg USING (n_regionkey)
-      UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 2 * (k + 1) * (size - k - 1) FROM leaf JOIN reg USING (n_regionkey))
-    SELECT least(a, b) AS source, greatest(a, b) AS target, round(pairs / CAST(n * (n - 1) AS DOUBLE), 12) AS betweenness FROM v, total""",
-    graph=False,
-)
+@query("community_betweenness", f"{COMMUNITY_PATHS}, g AS (SELECT v AS id, sum(owed) AS total FROM owed WHERE s <> v GROUP BY v) SELECT c.id, round(coalesce(total, 0.0) / ((n - 1.0) * (n - 2.0)), 9) AS betweenness FROM ({COMMUNITY_IDS}) c LEFT JOIN g ON g.id = c.id, size")
+def community_betweenness(spark, d):
+    return T.betweenness(*community_graph(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
+
+
+EDGE_PARTS = f"{COMMUNITY_PATHS}, eb AS (SELECT least(v, w) AS source, greatest(v, w) AS target, round(sum(part) / (any_value(n) * (any_value(n) - 1.0)), 9) AS betweenness FROM parts, size GROUP BY 1, 2)"
+
+
+@query("edge_betweenness", f"{EDGE_PARTS} SELECT source, target, betweenness FROM eb")
 def edge_betweenness(spark, d):
-    return T.edge_betweenness(*_small(spark, d)).withColumn("betweenness", F.round("betweenness", 12))
+    return T.edge_betweenness(*community_graph(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query("betweenness_surprises")
+@query("betweenness_surprises", f"{EDGE_PARTS} SELECT source, target, betweenness FROM eb ORDER BY betweenness DESC, source, target LIMIT 5")
 def betweenness_surprises(spark, d):
-    return T.betweenness_surprises(*_small(spark, d))
+    return T.betweenness_surprises(*community_graph(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("questions_bridges")
 def questions_bridges(spark, d):
-    n, e = _small(spark, d)
+    n, e = nodes(spark, d), edges(spark, d)
     return W.questions_bridges(n, e, T.betweenness(n, e))
 
 

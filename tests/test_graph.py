@@ -157,6 +157,49 @@ def test_cycles(spark):
     assert [(r.length, r.cycle) for r in T.import_cycles(pairs).collect()] == [(1, "d"), (2, "a -> b"), (3, "a -> b -> c")]
 
 
+def test_betweenness_against_all_shortest_paths(spark):
+    """Random graphs with many shortest paths, a loop, parallel edges and two components; every path is listed."""
+    import random
+    from collections import Counter
+    from itertools import permutations
+
+    rng = random.Random(4)
+    for size in (6, 9):
+        names = [f"n{i}" for i in range(size)]
+        pairs = [(a, b) for a, b in permutations(names[:-2], 2) if rng.random() < 0.3] + [(names[-2], names[-1]), ("n0", "n0")]
+        pairs += pairs[:2]
+        near = {v: {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} - {v} for v in names}
+
+        def shortest(s, t, near=near):
+            found, front = [], [[s]]
+            while front and not found:
+                front = [[*p, w] for p in front for w in sorted(near[p[-1]]) if w not in p]
+                found = [p for p in front if p[-1] == t]
+            return found
+
+        node, edge = Counter(), Counter()
+        for s, t in permutations(names, 2):
+            paths = shortest(s, t)
+            for p in paths:
+                node.update({v: 1 / len(paths) for v in p[1:-1]})
+                edge.update({tuple(sorted(q)): 1 / len(paths) for q in zip(p, p[1:], strict=False)})
+        n = spark.createDataFrame([(v, i) for i, v in enumerate(names)], "id string, _ord long")
+        e = spark.createDataFrame(pairs, "source string, target string")
+        got = {r.id: r.betweenness for r in T.betweenness(n, e).collect()}
+        assert got.keys() == set(names) and all(abs(got[v] - node[v] / ((size - 1) * (size - 2))) < 1e-12 for v in names)
+        of_edges = {(r.source, r.target): r.betweenness for r in T.edge_betweenness(n, e).collect()}
+        assert of_edges.keys() == edge.keys() and all(abs(of_edges[k] - edge[k] / (size * (size - 1))) < 1e-12 for k in edge)
+        some = {r.id: r.betweenness for r in T.betweenness(n, e, pivots=2).collect()}
+        part = Counter()
+        for s in names[:2]:
+            for t in names:
+                if s != t and (paths := shortest(s, t)):
+                    for p in paths:
+                        part.update({v: 1 / len(paths) for v in p[1:-1]})
+        assert all(abs(some[v] - part[v] / ((size - 1) * (size - 2)) * size / 2) < 1e-12 for v in names)
+    assert T.edge_betweenness(n, e, limit=3).count() == 0 and T.pivot_rule(1000) is None and T.pivot_rule(1001) == 100
+
+
 def test_betweenness_of_a_path(spark):
     e, n = edges(spark, [("a", "b"), ("b", "c")]), nodes(spark, [("a",), ("b",), ("c",)])
     assert {r.id: r.betweenness for r in T.betweenness(n, e).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
