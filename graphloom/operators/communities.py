@@ -1,10 +1,11 @@
 """Community detection (T13-T23) and stable labels.
 
-A component is handed to one worker whole, which runs sequential local moves with the graph's total
-weight, level by level. Where the largest component has more than LOCAL edges, all components go to
-label propagation on tables instead: a fixed number of synchronous rounds that does not maximise
-modularity, has no test of convergence and ignores resolution and refine. The result therefore
-changes at that size; level-by-level moves on tables are not built.
+One algorithm at every size, on tables. A phase of local moves is a number of rounds in which nodes
+move to the community of greatest gain in modularity; a round lets about half of the nodes move, by
+a hash, so that neighbours do not swap for ever. With refine, moves within the communities found so
+far, from single nodes, give smaller ones (as in Leiden), which are contracted, while the next level
+starts from the greater ones. In the end communities fall apart into their connected parts. Nothing
+but tables grows with the graph: no component or community has to fit one worker.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-LOCAL = 2_000_000  # edges of a component that one worker partitions
-SMALL = 1_000_000  # pairs that one task joins up
+ROUNDS, LEVELS = 6, 6
+SETTLED = 0.002  # a phase ends when a round moves a smaller share of the nodes
+SMALL = 1_000_000  # pairs that one task joins up; the result is the same either way
+COHESION_FLOOR, COHESION_LEAST = 0.05, 50  # fixed values: communities this large and less cohesive are split
 
 
 def undirected_weights(edges: DataFrame) -> DataFrame:
@@ -30,83 +33,6 @@ def induced(pairs: DataFrame, subset: DataFrame) -> DataFrame:
     return pairs.join(ids, pairs["a"] == ids["id"], "left_semi").join(ids, pairs["b"] == ids["id"], "left_semi")
 
 
-def louvain_pass(neighbours: dict, strength: dict, total: float, resolution: float, order: list) -> dict:
-    """Local moves until none gains; community ids are nodes."""
-    home = {v: v for v in order}
-    mass = dict(strength)
-    moved, passes = True, 0
-    while moved and passes < 100:
-        moved, passes = False, passes + 1
-        for v in order:
-            links: dict = {}
-            for u, w in neighbours[v].items():
-                if u != v:
-                    links[home[u]] = links.get(home[u], 0.0) + w
-            mine = home[v]
-            mass[mine] -= strength[v]
-            gain = lambda c: links.get(c, 0.0) - resolution * strength[v] * mass[c] / (2 * total)  # noqa: E731, B023
-            best = mine
-            for c in sorted(links):
-                if gain(c) > gain(best) + 1e-12:
-                    best = c
-            mass[best] += strength[v]
-            if best != mine:
-                home[v], moved = best, True
-    return home
-
-
-def contract(neighbours: dict, home: dict) -> dict:
-    """The weights between communities; what lies inside one becomes its loop."""
-    out: dict = {c: {} for c in set(home.values())}
-    for v, near in neighbours.items():
-        for u, w in near.items():
-            a, b = home[v], home[u]
-            out[a][b] = out[a].get(b, 0.0) + w
-    return out
-
-
-def louvain(pairs: list[tuple], total: float | None = None, resolution: float = 1.0, levels: int = 10, refine: bool = True) -> dict:
-    """Node to community. With refine, communities that are not connected fall apart after a level, as in Leiden."""
-    neighbours: dict = {}
-    for a, b, w in pairs:
-        neighbours.setdefault(a, {})
-        neighbours.setdefault(b, {})
-        neighbours[a][b] = neighbours[a].get(b, 0.0) + w
-        if a != b:
-            neighbours[b][a] = neighbours[b].get(a, 0.0) + w
-        else:
-            neighbours[a][a] += w  # a loop counts at both ends
-    total = total or sum(w for _, _, w in pairs) or 1.0
-    member = {v: v for v in neighbours}
-    for _ in range(levels):
-        order = sorted(neighbours)
-        strength = {v: sum(near.values()) for v, near in neighbours.items()}
-        home = louvain_pass(neighbours, strength, total, resolution, order)
-        if refine:
-            home = connected_parts(neighbours, home, order)
-        if all(home[v] == v for v in order):
-            break
-        member = {v: home[c] for v, c in member.items()}
-        neighbours = contract(neighbours, home)
-    return member
-
-
-def connected_parts(neighbours: dict, home: dict, order: list) -> dict:
-    """Splits every community into its connected parts, each named after its smallest node."""
-    out: dict = {}
-    for v in order:
-        if v in out:
-            continue
-        out[v], stack = v, [v]
-        while stack:
-            x = stack.pop()
-            for u in neighbours[x]:
-                if u not in out and home[u] == home[v]:
-                    out[u] = v
-                    stack.append(u)
-    return out
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component), the smallest id reachable.
 
@@ -152,43 +78,90 @@ def _join_up(pdf):
     return pd.DataFrame([(x, find(x)) for x in list(root)], columns=["id", "component"])
 
 
-def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True) -> DataFrame:
-    """(id, community): each component in one worker, with the weight of the whole graph."""
-    import pandas as pd
+def local_moves(pairs: DataFrame, start: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(v, c, h) after rounds of moves from the communities of start (v, c, h); pairs (a, b, weight) may hold loops (a = b).
+
+    h is a hash that, with the round, decides which nodes may move; of equal gains the smallest community counts.
+    """
+    arcs = written(pairs.where("a <> b").select("a", "b", "weight").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "arcs")
+    loops = pairs.where("a = b").select("a", (2 * F.col("weight")).alias("weight"))
+    strength = written(arcs.select("a", "weight").unionByName(loops).groupBy(F.col("a").alias("v")).agg(F.sum("weight").alias("k")), "strength")
+    labels, nodes, quiet = start, strength.count(), 0
+    for turn in range(ROUNDS):
+        known = labels.join(strength, "v", "left").select("v", "c", "h", F.coalesce("k", F.lit(0.0)).alias("k"))
+        mass = known.groupBy("c").agg(F.sum("k").alias("mass"))
+        links = arcs.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("weight").alias("link"))
+        # Every node also weighs staying where it is, with no links to show for it if need be.
+        stay = known.select("v", "c", F.lit(0.0).alias("link"))
+        choices = links.unionByName(stay).groupBy("v", "c").agg(F.sum("link").alias("link")).join(mass, "c")
+        choices = choices.join(known.select("v", F.col("c").alias("own"), "k", "h"), "v")
+        others = F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.col("link") - F.lit(resolution) * F.col("k") * others / F.lit(2 * total)
+        best = choices.groupBy("v").agg(
+            F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.round(gain, 9))).alias("now"), F.first("own").alias("own"), F.first("h").alias("h")
+        )
+        moves = (F.col("best.gain") > F.col("now")) & (F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(2)) == 0)
+        after = written(best.select("v", F.when(moves, -F.col("best.c")).otherwise(F.col("own")).alias("c"), "h", moves.alias("moved")), "labels")
+        moved = after.where("moved").count()
+        labels = after.select("v", "c", "h")
+        quiet = quiet + 1 if moved <= SETTLED * nodes else 0
+        if quiet == 2:
+            break
+    return labels
+
+
+def contract(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The weights between communities; what lies inside one becomes its loop."""
+    side = lambda end: labels.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    return written(j.groupBy(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).agg(F.sum("weight").alias("weight")), "contracted")
 
+
+def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True) -> DataFrame:
+    """T13 (refine) and T14: (id, community), a community being named after its smallest member."""
     total = pairs.agg(F.sum("weight")).first()[0]
     if not total:
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("community")).limit(0)
-    whole = written(components(pairs))
-    j = pairs.join(whole, pairs["a"] == whole["id"]).select("component", "a", "b", "weight")
-    largest = j.groupBy("component").count().agg(F.max("count")).first()[0]
-    if largest > LOCAL:
-        return label_propagation(pairs)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[["a", "b", "weight"]].itertuples(index=False, name=None))
-        return pd.DataFrame(list(louvain(rows, total, resolution, refine=refine).items()), columns=["id", "community"])
-
-    return j.groupBy("component").applyInPandas(run, "id string, community string")
-
-
-def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """The way for components beyond one worker: nodes take the label of greatest weight around them, the smallest on ties."""
-    arcs = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight"))
-    labels = arcs.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
-    for _ in range(rounds):
-        votes = arcs.join(labels, arcs["b"] == labels["id"]).groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        own = labels.select(F.col("id").alias("a"), "community", F.lit(1e-9).alias("w"))
-        best = votes.unionByName(own).groupBy("a", "community").agg(F.sum("w").alias("w")).groupBy("a").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
-        labels = written(best.withColumnRenamed("a", "id"))
-    return labels
+    # Numbers in the order of ids, so that ties fall alike however the table is partitioned.
+    ids = pairs.select("a").union(pairs.select("b")).distinct().orderBy("a")
+    ids = written(ids.select(F.col("a").alias("id"), F.monotonically_increasing_id().alias("v")), "ids")
+    number = lambda end: ids.select(F.col("id").alias(end), F.col("v").alias(f"v_{end}"))
+    level = whole = written(pairs.join(number("a"), "a").join(number("b"), "b").select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), F.col("weight").cast("double").alias("weight")), "pairs")
+    member = ids.select("v", F.col("v").alias("c"))  # the node of the level that a node of the graph lies in
+    start = ids.select("v", F.col("v").alias("c"), F.xxhash64("id").alias("h"))
+    home, before = None, None
+    for _ in range(LEVELS):
+        found = local_moves(level, start, total, resolution)
+        home = written(member.select(F.col("v").alias("x"), F.col("c").alias("v")).join(found.select("v", "c"), "v").select(F.col("x").alias("v"), "c"), "home")
+        size = home.select("c").distinct().count()
+        if size == before:
+            break
+        before, parts = size, found
+        if refine:
+            side = lambda end, found=found: found.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}"))
+            inside = level.join(side("a"), "a").join(side("b"), "b").where("c_a = c_b").select("a", "b", "weight")
+            parts = local_moves(inside, found.select("v", F.col("v").alias("c"), "h"), total, resolution)
+        member = written(member.select(F.col("v").alias("x"), F.col("c").alias("v")).join(parts.select("v", "c"), "v").select(F.col("x").alias("v"), "c"), "member")
+        # Contracted nodes start in the communities that their parts were found in.
+        start = written(parts.join(found.select("v", F.col("c").alias("whole")), "v").groupBy("c").agg(F.min("whole").alias("whole"), F.min("h").alias("h")).select(F.col("c").alias("v"), F.col("whole").alias("c"), "h"), "start")
+        level = contract(level, parts)
+    return connected_parts(whole, home, ids)
+
+
+def connected_parts(pairs: DataFrame, home: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, community): the connected parts of the communities of home (v, c), each named after its smallest id."""
+    side = lambda end: home.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}"))
+    named = lambda end: ids.select(F.col("v").alias(end), F.col("id").alias(f"id_{end}"))
+    inside = pairs.join(side("a"), "a").join(side("b"), "b").where("c_a = c_b").join(named("a"), "a").join(named("b"), "b")
+    joined = written(components(inside.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
+    return ids.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
 
 def total_order(members: DataFrame) -> DataFrame:
-    """Community numbers by size, greatest first, then by the sorted list of members: (cid, node_id)."""
-    groups = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    """Community numbers by size, greatest first, then by the smallest member: (cid, node_id)."""
+    groups = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     # One row per community.
-    ranked = groups.withColumn("cid", (F.row_number().over(Window.orderBy(F.desc("n"), "ids")) - 1).cast("bigint"))
+    ranked = groups.withColumn("cid", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("bigint"))
     return members.join(ranked.select("community", "cid"), "community").select("cid", F.col("id").alias("node_id"))
 
 
@@ -201,19 +174,35 @@ def reattach_hubs(members: DataFrame, pairs: DataFrame, hubs: DataFrame) -> Data
     return members.unionByName(placed)
 
 
-def split_large(members: DataFrame, pairs: DataFrame, share: float = 0.25, least: int = 10, resolution: float = 1.5) -> DataFrame:
-    """Communities above max(least, share of all) are partitioned again on their own."""
-    n = members.count()
-    limit = max(least, int(n * share))
-    big = members.groupBy("community").count().where(F.col("count") > limit).select("community")
-    inside = members.join(big, "community", "left_semi")
-    again = written(partition(induced(pairs, inside), resolution))
+def split(members: DataFrame, pairs: DataFrame, which: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """The communities of which (community) are partitioned again on their own; what has no edges inside falls apart."""
+    which = written(which.select("community"))
+    if which.isEmpty():
+        return members.select("id", "community")
+    inside = members.join(which, "community", "left_semi")
+    side = lambda end: inside.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))
+    own = pairs.join(side("a"), "a").join(side("b"), "b").where("c_a = c_b").select("a", "b", "weight")
+    again = written(partition(own, resolution))
     parts = inside.join(again.select("id", F.col("community").alias("part")), "id", "left").select("id", F.concat_ws("/", "community", F.coalesce("part", "id")).alias("community"))
-    return members.join(big, "community", "left_anti").select("id", "community").unionByName(parts)
+    return members.join(which, "community", "left_anti").select("id", "community").unionByName(parts)
+
+
+def split_large(members: DataFrame, pairs: DataFrame, share: float = 0.25, least: int = 10, resolution: float = 1.0) -> DataFrame:
+    """Communities above max(least, share of all) are split."""
+    limit = max(least, int(members.count() * share))
+    return split(members, pairs, members.groupBy("community").count().where(F.col("count") > limit), resolution)
+
+
+def split_loose(members: DataFrame, pairs: DataFrame, floor: float = COHESION_FLOOR, least: int = COHESION_LEAST) -> DataFrame:
+    """Communities of `least` members or more whose cohesion is below floor are split."""
+    from .aggregate import cohesion
+
+    scores = cohesion(pairs.where("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target")), members.select(F.col("community").alias("cid"), F.col("id").alias("node_id")))
+    return split(members, pairs, scores.where((F.col("members") >= least) & (F.col("cohesion") < floor)).select(F.col("cid").alias("community")))
 
 
 def cluster(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, hub_percentile: float | None = None) -> DataFrame:
-    """(cid, node_id): hubs out, partition, isolated nodes alone, hubs back, large ones split, numbered."""
+    """(cid, node_id): hubs out, partition, isolated nodes alone, hubs back, large and loose ones split, numbered."""
     from .aggregate import degree_endpoints, hub_nodes
 
     pairs = written(undirected_weights(edges))
@@ -222,7 +211,7 @@ def cluster(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, hub_per
     found = written(partition(rest, resolution))
     alone = nodes.select("id").join(found, "id", "left_anti").join(hubs, "id", "left_anti").withColumn("community", F.col("id"))
     members = written(reattach_hubs(found.unionByName(alone), pairs, hubs) if hub_percentile is not None else found.unionByName(alone))
-    return total_order(split_large(members, pairs))
+    return total_order(written(split_loose(written(split_large(members, pairs)), pairs)))
 
 
 def overlap(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -232,19 +221,26 @@ def overlap(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def keep_labels(new: DataFrame, old: DataFrame) -> DataFrame:
-    """New communities take the number of the old one they share most with, each once; others get fresh numbers."""
-    rows = sorted(((r.shared, r.old_cid, r.new_cid) for r in overlap(new, old).collect()), key=lambda r: (-r[0], r[1], r[2]))  # pairs of communities
-    taken, mapping = set(), {}
-    for _, o, n in rows:
-        if o not in taken and n not in mapping:
-            mapping[n] = o
-            taken.add(o)
-    sizes = sorted(((-r["count"], r.cid) for r in new.groupBy("cid").count().collect() if r.cid not in mapping))
-    fresh = max([-1, *[r[0] for r in old.select("cid").distinct().collect()]]) + 1
-    for i, (_, cid) in enumerate(sizes):
-        mapping[cid] = fresh + i
-    table = new.sparkSession.createDataFrame(list(mapping.items()), "cid long, to long")
-    return new.join(table, "cid").select(F.col("to").alias("cid"), "node_id")
+    """New communities take the number of the old one they share most with, each once; others get fresh numbers by size.
+
+    The greedy matching, greatest overlap first, goes on in rounds on tables: a pair that is the best
+    one left for both its communities is taken, as nothing can come before it.
+    """
+    left = written(overlap(new, old))
+    taken = None
+    while not left.isEmpty():
+        rank = [F.desc("shared"), F.col("old_cid"), F.col("new_cid")]
+        first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(*rank)) == 1
+        picked = written(left.select("*", first("old_cid").alias("_o"), first("new_cid").alias("_n")).where("_o and _n").select("old_cid", "new_cid"))
+        taken = picked if taken is None else written(taken.unionByName(picked))
+        left = written(left.join(picked.select("old_cid"), "old_cid", "left_anti").join(picked.select("new_cid"), "new_cid", "left_anti"))
+    none = new.select(F.col("cid").alias("old_cid"), F.col("cid").alias("new_cid")).limit(0)
+    mapping = (none if taken is None else taken).select(F.col("new_cid").alias("cid"), F.col("old_cid").alias("to"))
+    fresh = new.join(mapping.select("cid"), "cid", "left_anti").groupBy("cid").count()
+    # One row per community that has no number yet, and one with the greatest number in use.
+    top = old.agg(F.coalesce(F.max("cid"), F.lit(-1)).alias("top"))
+    numbered = fresh.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("count"), "cid"))).join(F.broadcast(top)).select("cid", (F.col("top") + F.col("_k")).alias("to"))
+    return new.join(mapping.unionByName(numbered), "cid").select(F.col("to").cast("long").alias("cid"), "node_id")
 
 
 def communities_of(nodes: DataFrame) -> DataFrame:

@@ -74,14 +74,16 @@ def jaccard(a: Column, b: Column) -> Column:
 def candidate_pairs(labels: DataFrame, floor: float = JACCARD_FLOOR) -> DataFrame:
     """(a, b) of labels (key, norm) whose shingles are at least floor alike, by exact Jaccard after banding.
 
-    Labels are distinct, so a band that many share holds labels that differ; a band's rows are keys
-    and shingles of short strings.
+    Labels with different numbers never merge (`numeric_tokens_differ`), so the numbers are part of a
+    band's key: labels of one pattern that differ by a serial number alone share no band. The join is
+    between written tables, so that adaptive execution can split a band that is hot all the same.
     """
-    prepared = labels.withColumn("_sh", S.shingles(F.col("norm")))
+    prepared = written(labels.withColumn("_sh", S.shingles(F.col("norm"))), "labels")
     rows = PERMUTATIONS // BANDS
     signed = prepared.withColumn("_sig", minhash(F.col("_sh")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("no"), F.xxhash64(F.slice(F.col("_sig"), i * rows + 1, rows)).alias("h")))
-    banded = signed.select("key", F.explode(bands).alias("band")).select("key", "band.no", "band.h")
+    numbers = F.xxhash64(F.array_join(S.numeric_tokens(F.col("norm")), ","))
+    banded = written(signed.select("key", F.explode(bands).alias("band"), numbers.alias("numbers")).select("key", "band.no", F.xxhash64("band.h", "numbers").alias("h")), "bands")
     pairs = banded.withColumnRenamed("key", "a").join(banded.withColumnRenamed("key", "b"), ["no", "h"]).where("a < b").select("a", "b").distinct()
     side = lambda p: prepared.select(F.col("key").alias(p), F.col("_sh").alias(f"_{p}_sh"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(jaccard(F.col("_a_sh"), F.col("_b_sh")) >= floor).select("a", "b")

@@ -11,7 +11,7 @@ from ..operators import filters as X
 from ..operators import incremental as U
 from ..operators import rank as W
 from ..schema import Graph
-from ..sources.tables import edges, graph, nodes, table
+from ..sources.tables import GRAPH_SQL, edges, graph, nodes, table
 from .catalog import query
 
 NOT_STUB = """NOT (label <> '' AND ((source_file <> '' AND label = split_part(source_file, '/', -1)) OR (starts_with(label, '.') AND ends_with(label, '()')) OR (ends_with(label, '()') AND degree <= 1)))"""
@@ -128,9 +128,9 @@ def validate_errors(spark, d):
     return X.validate(n, e).groupBy("kind", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("endpoint_resolve", "SELECT source, target, relation, _ord FROM edges WHERE relation IN ('references', 'located_in', 'part_of')")
+@query("endpoint_resolve", "SELECT source, target, relation, _ord FROM edges")
 def endpoint_resolve(spark, d):
-    loose = edges(spark, d).where("relation in ('references', 'located_in', 'part_of')").withColumn("source", F.upper(F.replace("source", F.lit(":"), F.lit("--")))).withColumn("target", F.concat(F.lit("_"), F.replace("target", F.lit(":"), F.lit(" ")), F.lit("_")))
+    loose = edges(spark, d).withColumn("source", F.upper(F.replace("source", F.lit(":"), F.lit("--")))).withColumn("target", F.concat(F.lit("_"), F.replace("target", F.lit(":"), F.lit(" ")), F.lit("_")))
     return B.resolve_endpoints(loose, nodes(spark, d), ascii_ids=True).select("source", "target", "relation", "_ord")
 
 
@@ -432,20 +432,30 @@ def induced_subgraph(spark, d):
 
 @query(
     "connected_components",
-    "nd AS (SELECT n_nationkey, n_regionkey, 'region:' || n_regionkey AS r FROM nation), x AS (SELECT 'customer:' || c_custkey AS id, r FROM customer JOIN nd ON c_nationkey = n_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, r FROM supplier JOIN nd ON s_nationkey = n_nationkey UNION ALL SELECT 'nation:' || n_nationkey, r FROM nd UNION ALL SELECT DISTINCT r, r FROM nd) SELECT id, min(id) OVER (PARTITION BY r) AS component FROM x",
+    f"""WITH RECURSIVE {GRAPH_SQL},
+    nd AS (SELECT n_nationkey, 'region:' || n_regionkey AS r FROM nation),
+    rg AS (SELECT 'customer:' || c_custkey AS id, r FROM customer JOIN nd ON c_nationkey = n_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, r FROM supplier JOIN nd ON s_nationkey = n_nationkey UNION ALL SELECT 'nation:' || n_nationkey, r FROM nd UNION ALL SELECT DISTINCT r, r FROM nd),
+    od AS (SELECT source AS id, r FROM edges JOIN rg ON id = target WHERE relation = 'references'),
+    pr AS (SELECT source AS id, min(r) AS r FROM edges JOIN rg ON id = target WHERE relation = 'uses' GROUP BY source),
+    v AS (SELECT * FROM rg UNION ALL SELECT * FROM od UNION ALL SELECT * FROM pr),
+    lk AS (SELECT DISTINCT x.r AS a, y.r AS b FROM edges JOIN v x ON x.id = source JOIN v y ON y.id = target),
+    reach AS (SELECT DISTINCT r AS a, r AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN (SELECT a, b FROM lk UNION SELECT b, a FROM lk) l ON l.a = reach.b),
+    root AS (SELECT a AS r, min(b) AS root FROM reach GROUP BY a)
+    SELECT id, min(id) OVER (PARTITION BY root) AS component FROM v JOIN root USING (r)""",
+    graph=False,
 )
 def connected_components(spark, d):
-    return C.components(C.undirected_weights(edges(spark, d).where("relation in ('part_of', 'located_in')")))
+    return C.components(C.undirected_weights(edges(spark, d)))
 
 
 @query("clusters")
 def clusters(spark, d):
-    return C.cluster(nodes(spark, d).where("startswith(id, 'customer') or startswith(id, 'supplier') or startswith(id, 'nation') or startswith(id, 'region')"), edges(spark, d).where("relation in ('part_of', 'located_in')"))
+    return C.cluster(nodes(spark, d), edges(spark, d))
 
 
 @query("louvain_communities")
 def louvain_communities(spark, d):
-    return C.partition(C.undirected_weights(edges(spark, d).where("relation in ('part_of', 'located_in', 'uses')")), refine=False)
+    return C.partition(C.undirected_weights(edges(spark, d)), refine=False)
 
 
 @query("stable_labels", f"{MEMBERS} SELECT CAST(cid AS BIGINT) AS cid, node_id FROM c")

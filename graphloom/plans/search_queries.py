@@ -134,7 +134,7 @@ def affected(spark, d):
 )
 def shortest_path(spark, d):
     region = table(spark, d, "customer").where("c_custkey = 1").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey").first()[0]
-    return T.shortest_path(edges(spark, d).where("relation in ('part_of', 'located_in')"), "customer:1", f"region:{region}", 6)
+    return T.shortest_path(edges(spark, d), "customer:1", f"region:{region}", 6)
 
 
 SUCCESSION = """
@@ -172,9 +172,9 @@ def import_cycles(spark, d):
     return T.import_cycles(brand_graph(spark, d), 5, 20)
 
 
-@query("token_budget_render", "l AS (SELECT id, 'NODE ' || label || ' [src=' || source_file || ' loc=' || source_location || ' community=' || coalesce(CAST(community AS VARCHAR), '') || ']' AS line, _ord FROM nodes WHERE file_type = 'concept') SELECT line, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY _ord ROWS UNBOUNDED PRECEDING) AS used FROM l) WHERE used - 1 <= 300 * 3")
+@query("token_budget_render", "l AS (SELECT id, 'NODE ' || label || ' [src=' || source_file || ' loc=' || source_location || ' community=' || coalesce(CAST(community AS VARCHAR), '') || ']' AS line, _ord FROM nodes) SELECT line, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY _ord ROWS UNBOUNDED PRECEDING) AS used FROM l) WHERE used - 1 <= 300 * 3")
 def token_budget_render(spark, d):
-    lines = nodes(spark, d).where("file_type = 'concept'").select(W.node_lines(nodes(spark, d)).alias("line"), "_ord")
+    lines = nodes(spark, d).select(W.node_lines(nodes(spark, d)).alias("line"), "_ord")
     return W.within_budget(lines, ["_ord"], 300).select("line", "used")
 
 
@@ -224,14 +224,13 @@ def questions_inferred(spark, d):
 
 @query(
     "questions_isolated",
-    f"""few AS (SELECT * FROM edges WHERE relation IN ('part_of', 'located_in')), deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM few UNION ALL SELECT target FROM few WHERE source <> target) GROUP BY id),
+    f"""{DEGREE_ALL},
     alone AS (SELECT id, label, _ord FROM (SELECT n.*, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN deg USING (id)) WHERE degree <= 1 AND {NOT_STUB} AND {NOT_CONCEPT}),
     first AS (SELECT string_agg('`' || label || '`', ', ' ORDER BY _ord) AS names FROM (SELECT * FROM alone ORDER BY _ord LIMIT 3))
-    SELECT 'isolated_nodes' AS type, 'What connects ' || names || ' to the rest of the system?' AS question, (SELECT count(*) FROM alone) || ' weakly-connected nodes found - possible documentation gaps or missing edges.' AS why, CAST(0 AS BIGINT) AS position FROM first""",
+    SELECT 'isolated_nodes' AS type, 'What connects ' || names || ' to the rest of the system?' AS question, (SELECT count(*) FROM alone) || ' weakly-connected nodes found - possible documentation gaps or missing edges.' AS why, CAST(0 AS BIGINT) AS position FROM first WHERE names IS NOT NULL""",
 )
 def questions_isolated(spark, d):
-    n = nodes(spark, d)
-    return W.questions_isolated(n, edges(spark, d).where("relation in ('part_of', 'located_in')"))
+    return W.questions_isolated(nodes(spark, d), edges(spark, d))
 
 
 @query("questions_low_cohesion")

@@ -98,37 +98,37 @@ def content_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"), F.md5("text").alias("md5"))
 
 
-@query("search_words", "SELECT doc_id, CAST(len(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+')) AS BIGINT) AS words FROM documents WHERE lang IN ('en', 'fr', 'es')", graph=False)
+@query("search_words", "SELECT doc_id, CAST(len(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+')) AS BIGINT) AS words FROM documents", graph=False)
 def search_words(spark, d):
-    return table(spark, d, "documents").where("lang in ('en', 'fr', 'es')").select("doc_id", F.size(S.search_tokens(F.col("text"))).cast("bigint").alias("words"))
+    return table(spark, d, "documents").select("doc_id", F.size(S.search_tokens(F.col("text"))).cast("bigint").alias("words"))
 
 
-def part_names(spark, d):
-    """Distinct part names and types as labels of documents."""
-    p = table(spark, d, "part")
-    return p.select(F.lower("p_name").alias("norm")).union(p.select(F.lower("p_type"))).distinct()
+def labels(spark, d):
+    """The distinct labels of all nodes, in lower case."""
+    return nodes(spark, d).select(F.lower("label").alias("norm")).distinct()
 
 
-NAMES = "WITH l AS (SELECT DISTINCT lower(p_name) AS norm FROM part UNION SELECT DISTINCT lower(p_type) FROM part), pr AS (SELECT a.norm AS a, b.norm AS b FROM l a JOIN l b ON a.norm < b.norm)"
+def name_pairs(spark, d):
+    """The distinct labels at the two ends of every edge."""
+    n = nodes(spark, d)
+    side = lambda end, name: n.select(F.col("id").alias(end), F.lower("label").alias(name))
+    return edges(spark, d).select("source", "target").join(side("source", "x"), "source").join(side("target", "y"), "target").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def name_pairs(spark, d):
-    """All pairs of the few dozen distinct names."""
-    n = part_names(spark, d)
-    return F.broadcast(n.withColumnRenamed("norm", "a")).join(n.withColumnRenamed("norm", "b"), F.col("a") < F.col("b"))
+NAMES = "l AS (SELECT DISTINCT lower(label) AS norm FROM nodes), pr AS (SELECT DISTINCT least(lower(x.label), lower(y.label)) AS a, greatest(lower(x.label), lower(y.label)) AS b FROM edges JOIN nodes x ON x.id = source JOIN nodes y ON y.id = target)"
 
 
-@query("label_entropy", f"{NAMES}, c AS (SELECT norm, unnest(string_split(norm, '')) AS ch FROM l), p AS (SELECT norm, count(*) AS k FROM c GROUP BY norm, ch), t AS (SELECT norm, sum(k) AS n FROM p GROUP BY norm) SELECT norm, round(-sum((k / n) * log2(k / n)), 9) AS entropy FROM p JOIN t USING (norm) GROUP BY norm", graph=False)
+@query("label_entropy", f"{NAMES}, c AS (SELECT norm, unnest(string_split(norm, '')) AS ch FROM l), p AS (SELECT norm, count(*) AS k FROM c GROUP BY norm, ch), t AS (SELECT norm, sum(k) AS n FROM p GROUP BY norm) SELECT norm, round(-sum((k / n) * log2(k / n)), 9) AS entropy FROM p JOIN t USING (norm) GROUP BY norm")
 def label_entropy(spark, d):
-    return part_names(spark, d).select("norm", F.round(S.entropy(F.col("norm")), 9).alias("entropy"))
+    return labels(spark, d).select("norm", F.round(S.entropy(F.col("norm")), 9).alias("entropy"))
 
 
-@query("shingle_jaccard", f"{NAMES}, s AS (SELECT norm, list_distinct(list_transform(range(1, length(replace(norm, ' ', '')) - 1), lambda i: substr(replace(norm, ' ', ''), i, 3))) AS sh FROM l) SELECT a, b, round(len(list_intersect(x.sh, y.sh)) / len(list_distinct(list_concat(x.sh, y.sh))), 9) AS jaccard FROM pr JOIN s x ON x.norm = a JOIN s y ON y.norm = b", graph=False)
+@query("shingle_jaccard", f"{NAMES}, s AS (SELECT norm, list_distinct(list_transform(range(1, length(replace(norm, ' ', '')) - 1), lambda i: substr(replace(norm, ' ', ''), i, 3))) AS sh FROM l) SELECT a, b, round(len(list_intersect(x.sh, y.sh)) / len(list_distinct(list_concat(x.sh, y.sh))), 9) AS jaccard FROM pr JOIN s x ON x.norm = a JOIN s y ON y.norm = b")
 def shingle_jaccard(spark, d):
     return name_pairs(spark, d).select("a", "b", F.round(E.jaccard(S.shingles(F.col("a")), S.shingles(F.col("b"))), 9).alias("jaccard"))
 
 
-@query("jaro_scores", f"{NAMES} SELECT a, b, round(jaro_similarity(a, b) * 100, 6) AS jaro, round(jaro_winkler_similarity(a, b) * 100, 6) AS jaro_winkler FROM pr", graph=False)
+@query("jaro_scores", f"{NAMES} SELECT a, b, round(jaro_similarity(a, b) * 100, 6) AS jaro, round(jaro_winkler_similarity(a, b) * 100, 6) AS jaro_winkler FROM pr")
 def jaro_scores(spark, d):
     a, b = F.col("a"), F.col("b")
     return name_pairs(spark, d).select("a", "b", F.round(S.jaro_score(a, b), 6).alias("jaro"), F.round(S.jaro_winkler_score(a, b), 6).alias("jaro_winkler"))
@@ -136,44 +136,48 @@ def jaro_scores(spark, d):
 
 @query(
     "entity_guards",
-    r"""WITH l AS (SELECT c_name AS norm FROM customer WHERE c_custkey < 60), pr AS (SELECT a.norm AS a, b.norm AS b FROM l a JOIN l b ON a.norm < b.norm),
+    rf"""{NAMES},
     t AS (SELECT *, list_sort(list_transform(regexp_extract_all(a, '\d+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS ta, list_sort(list_transform(regexp_extract_all(b, '\d+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) AS tb FROM pr)
-    SELECT a, b, ta <> tb AS numbers, starts_with(b, a) OR starts_with(a, b) AS extension FROM t""",
-    graph=False,
+    SELECT a, b, ta <> tb AS numbers, (starts_with(b, a) OR starts_with(a, b)) AND a <> b AS extension FROM t""",
 )
 def entity_guards(spark, d):
-    n = table(spark, d, "customer").where("c_custkey < 60").select("c_name")
-    j = F.broadcast(n.toDF("a")).join(n.toDF("b"), F.col("a") < F.col("b"))
-    return j.select("a", "b", S.numeric_tokens_differ(F.col("a"), F.col("b")).alias("numbers"), S.is_prefix_extension(F.col("a"), F.col("b")).alias("extension"))
+    return name_pairs(spark, d).select("a", "b", S.numeric_tokens_differ(F.col("a"), F.col("b")).alias("numbers"), S.is_prefix_extension(F.col("a"), F.col("b")).alias("extension"))
 
 
 def _entities(spark, d):
-    """Part names as document entities, each also with a slip in it."""
-    n = nodes(spark, d).where("startswith(id, 'part:')").withColumn("file_type", F.lit("document"))
-    slips = n.dropDuplicates(["label"]).withColumn("id", F.concat("id", F.lit("_c1"))).withColumn("label", F.concat("label", F.lit("e")))
+    """All nodes, and those with a `t` in their label once more with it doubled, as a slip of another chunk."""
+    n = nodes(spark, d)
+    slips = n.where("contains(label, 't')").withColumn("id", F.concat("id", F.lit("_c1"))).withColumn("label", F.regexp_replace("label", "^([^t]*)t", "$1tt"))
     return n.unionByName(slips)
 
 
-@query("fuzzy_pairs")
+@query(
+    "fuzzy_pairs",
+    """e AS (SELECT id AS a, id || '_c1' AS b, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS a_norm, trim(regexp_replace(lower(regexp_replace(label, 't', 'tt')), '[^a-z0-9]+', ' ', 'g')) AS b_norm FROM nodes WHERE contains(label, 't') AND file_type <> 'code')
+    SELECT a, b, a_norm, b_norm, round(jaro_winkler_similarity(a_norm, b_norm) * 100, 6) AS score, FALSE AS blocked FROM e""",
+)
 def fuzzy_pairs(spark, d):
-    return E.fuzzy_scores(_entities(spark, d), S.entity_norm_ascii(F.col("label")))
+    return E.fuzzy_scores(_entities(spark, d), S.entity_norm_ascii(F.col("label"))).withColumn("score", F.round("score", 6))
 
 
-@query("exact_entities", "e AS (SELECT id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS norm, source_file FROM nodes WHERE starts_with(id, 'part:')), w AS (SELECT *, first_value(id) OVER (PARTITION BY norm, source_file ORDER BY length(id), id) AS new FROM e) SELECT id AS old, new FROM w WHERE id <> new")
+@query("exact_entities", "e AS (SELECT id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS norm, source_file FROM nodes WHERE source_file <> ''), w AS (SELECT *, first_value(id) OVER (PARTITION BY norm, source_file ORDER BY length(id), id) AS new FROM e WHERE norm <> '') SELECT id AS old, new FROM w WHERE id <> new")
 def exact_entities(spark, d):
-    return E.exact_pairs(nodes(spark, d).where("startswith(id, 'part:')").withColumn("file_type", F.lit("document")), S.entity_norm_ascii(F.col("label")))
+    return E.exact_pairs(nodes(spark, d).withColumn("file_type", F.lit("document")), S.entity_norm_ascii(F.col("label")))
 
 
-@query("id_collisions", "x AS (SELECT 'part_' || split_part(id, ':', 2) AS id, label, source_file FROM nodes WHERE starts_with(id, 'part:') UNION ALL SELECT 'part_' || split_part(id, ':', 2), label || ' copy', 'lib/part.py' FROM nodes WHERE starts_with(id, 'part:')) SELECT id, label, source_file FROM x WHERE source_file = 'lib/part.py'")
+@query("id_collisions", "SELECT replace(id, ':', '_') AS id, CASE WHEN starts_with(id, 'part:') THEN label || ' copy' ELSE label END AS label, CASE WHEN starts_with(id, 'part:') THEN 'lib/part.py' ELSE source_file END AS source_file FROM nodes")
 def id_collisions(spark, d):
-    n = nodes(spark, d).where("startswith(id, 'part:')").withColumn("id", F.replace("id", F.lit(":"), F.lit("_")))
+    n = nodes(spark, d).withColumn("id", F.replace("id", F.lit(":"), F.lit("_")))
     copies = n.withColumn("label", F.concat("label", F.lit(" copy"))).withColumn("source_file", F.lit("lib/part.py"))
     return E.resolve_id_collisions(n.unionByName(copies)).select("id", "label", "source_file")
 
 
-@query("entity_resolution")
+@query(
+    "entity_resolution",
+    "SELECT id, label FROM nodes UNION ALL SELECT id || '_c1', regexp_replace(label, 't', 'tt') FROM nodes WHERE contains(label, 't') AND file_type = 'code'",
+)
 def entity_resolution(spark, d):
-    g = Graph(_entities(spark, d), edges(spark, d).where("relation = 'uses'"))
+    g = Graph(_entities(spark, d), edges(spark, d))
     out = E.deduplicate_entities(g, norm=S.entity_norm_ascii(F.col("label")))
     return out.nodes.select("id", "label")
 

@@ -226,7 +226,59 @@ def test_communities(spark, monkeypatch):
     one = {r.id: r.component for r in C.components(pairs).collect()}
     monkeypatch.setattr(C, "SMALL", 1)
     assert {r.id: r.component for r in C.components(pairs).collect()} == one == dict.fromkeys(one, "00")
-    assert {r.community for r in C.label_propagation(pairs).collect()}
+
+
+def test_partition_of_planted_groups(spark):
+    """Thirty groups with noise between them: high modularity, connected communities, the same result for any partitioning."""
+    import random
+
+    rng = random.Random(6)
+    names = [f"g{i // 12:02d}_{i:03d}" for i in range(360)]
+    rows = {tuple(sorted((a, b))) for a in names for b in names if a != b and rng.random() < (0.5 if a[:3] == b[:3] else 0.004)}
+    pairs = C.undirected_weights(edges(spark, sorted(rows)))
+    found = C.partition(pairs)
+    home = {r.id: r.community for r in found.collect()}
+    assert set(home) == {x for r in rows for x in r} and all(home[c] == c and c <= x for x, c in home.items())
+    planted = spark.createDataFrame([(x, x[:3]) for x in home], "id string, community string")
+    assert C.modularity(pairs, found) >= 0.95 * C.modularity(pairs, planted)
+    inside = [(a, b) for a, b in rows if home[a] == home[b]]
+    reached = {r.id: r.component for r in C.components(C.undirected_weights(edges(spark, inside))).collect()}
+    assert all(reached[x] == c for x, c in home.items() if sum(d == c for d in home.values()) > 1)
+    again = C.partition(pairs.repartition(7, "b"))
+    assert {r.id: r.community for r in again.collect()} == home
+
+
+def test_loose_and_large_communities_split(spark):
+    rows = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(59)]
+    pairs = C.undirected_weights(edges(spark, rows))
+    one = spark.createDataFrame([(f"a{i:02d}", "a00") for i in range(60)] + [("z1", "z1")], "id string, community string")
+    loose = C.split_loose(one, pairs)
+    assert loose.count() == 61 and loose.select("community").distinct().count() > 4
+    assert C.split_loose(one, pairs, least=61).select("community").distinct().count() == 2
+    large = C.split_large(one, pairs)
+    assert large.count() == 61 and large.select("community").distinct().count() > 4
+
+
+def test_labels_are_kept_by_greatest_overlap(spark):
+    import random
+
+    rng = random.Random(3)
+    old = [(f"n{i}", rng.randrange(9)) for i in range(200)]
+    new = [(f"n{i}", rng.randrange(11) + 100) for i in range(220)]
+    frame = lambda rows: spark.createDataFrame([(c, n) for n, c in rows], "cid long, node_id string")
+    got = dict({(r.node_id, r.cid) for r in C.keep_labels(frame(new), frame(old)).collect()})
+    before, shared = dict(old), {}
+    for n, c in new:
+        if n in before:
+            shared[before[n], c] = shared.get((before[n], c), 0) + 1
+    mapping: dict = {}
+    for (o, c), _ in sorted(shared.items(), key=lambda x: (-x[1], *x[0])):
+        if o not in mapping.values() and c not in mapping:
+            mapping[c] = o
+    sizes = {c: sum(x == c for _, x in new) for _, c in new}
+    for c in sorted(set(sizes) - set(mapping), key=lambda c: (-sizes[c], c)):
+        mapping[c] = max(8, *mapping.values()) + 1
+    assert got == {n: mapping[c] for n, c in new}
 
 
 def test_labels_merge_transitively(spark):
