@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension, file_stem
 from .joins import remap, unique_matches
+from .scratch import written
 
 # Extensions by family of languages that call one another, as the extraction stage has them.
 CALL_FAMILIES = {
@@ -140,7 +141,9 @@ def resolve_reexports(reexports: DataFrame, definitions: DataFrame, depth: int =
     front = known
     for _ in range(depth):
         step = reexports.join(front.select(F.col("module").alias("from_module"), F.col("name").alias("from_name"), "target"), ["from_module", "from_name"]).select("module", "name", "target")
-        front = step.join(known.select("module", "name"), ["module", "name"], "left_anti").distinct()
+        front = written(step.join(known.select("module", "name"), ["module", "name"], "left_anti").distinct(), "reexports")
+        if front.isEmpty():
+            break
         known = known.unionByName(front)
     return known
 

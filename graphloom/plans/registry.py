@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, search_queries, text_queries  # noqa: F401  they register themselves
+from . import code_queries, graph_queries, search_queries, text_queries  # noqa: F401  they register themselves
 from .catalog import QUERIES, SQL
 
 

@@ -1,8 +1,9 @@
 """Extraction of nodes, edges and raw calls from source files (X00-X57), as one table function.
 
-Python is parsed with its own grammar and Markdown and JSON by theirs. The other languages have no
-parser here; they are read by line patterns that state what a definition, an import and a base class
-look like, and their edges say so by the confidence INFERRED where a pattern can err.
+Python is parsed with its own grammar and Markdown and JSON by theirs. Languages with nested blocks
+are walked block by block (`scopes`), so that a definition belongs to what is around it. The rest have
+no parser here; they are read by line patterns that state what a definition, an import and a base
+class look like, and their edges say so by the confidence INFERRED where a pattern can err.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scopes
+
 RECORD = (
     "kind string, id string, label string, file_type string, source_file string, source_location string, source string, target string, relation string, "
     "confidence string, callee string, is_member_call boolean, receiver string"
@@ -47,6 +50,10 @@ LANGUAGES = {
 }
 
 
+# Of the languages of `scopes`, files whose definitions have no braces of their own, or are markup around code.
+LINE_READ = (".m", ".mm", ".xaml", ".razor", ".cshtml", ".toc")
+
+
 def language_of(path: str, text: str = "") -> str | None:
     """The language of a file by compound suffix, name, extension or first line."""
     import re
@@ -348,6 +355,8 @@ def file_records(path: str, text: str) -> list[dict]:
         scripts = re.findall(r"(?is)<script[^>]*>(.*?)</script>", text) or re.findall(r"(?s)\A---\n(.*?)\n---", text)
         text = "\n".join(scripts)
     try:
+        if language in scopes.LANGUAGES and not path.lower().endswith(LINE_READ):
+            return scopes.scope_records(Records(path), text, language, slug)
         return EXTRACTORS[language](path, text) if language in EXTRACTORS else pattern_records(path, text, language)
     except (SyntaxError, ValueError, KeyError, RecursionError, AttributeError) as e:
         return [{"kind": "error", "source_file": path, "label": f"{type(e).__name__}: {e}"[:200]}]
