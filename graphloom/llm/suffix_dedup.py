@@ -13,8 +13,10 @@ that holds one suffix is never refined:
 
 In every pass the map side sorts its own share first: what has an earlier equal in the same share is
 marked there and not sent, so a passage in any number of documents sends one row per share, however
-hot it is. Fingerprints are 128 bits for runs (two independent 64-bit polynomials) and 96 bits for
-windows; texts themselves move once, for the joins by document.
+hot it is. Digits are compared by fingerprints, of 128 bits for runs (two 64-bit polynomials in
+different bases, over different random values of the bytes) and 96 bits for windows, not byte by byte:
+a row with its bytes for every suffix would be a hundred times the input. Texts themselves move once,
+for the joins by document. The number of tasks follows the bytes of the texts (TASK_BYTES).
 
 Of equal windows the one with the smallest (doc_id, start) stays; all bytes that the others cover go.
 
@@ -37,6 +39,7 @@ CHUNK_BYTES = 1 << 20  # of text hashed at once
 SHARE_BYTES = 12 << 20  # of text that is sorted together on the map side
 SHARE_WINDOWS = 1 << 20
 RUNS_PER_BUCKET = 1_000_000
+TASK_BYTES = 12 << 20  # of text for every task of an exchange
 ROUTED = "kind int, bucket int, doc binary, pos binary, len binary, one binary, two binary"
 FOUND = "block int, kind int, doc binary, pos binary, len binary"
 BY_DOC = "doc long, kind int, pos binary, len binary"
@@ -45,12 +48,13 @@ RUN, MARK, SPLIT = 0, 1, 2  # kinds: runs under way to their bucket, windows to
 
 
 class Hasher:
-    """Polynomial hashes modulo 2**64 of substrings of a byte array, all at once."""
+    """Polynomial hashes modulo 2**64 of substrings of a byte array, all at once; every byte value stands for a random number of its own."""
 
     def __init__(self, seed: int):
         import numpy as np
 
         self.np, self.base = np, (0x9E3779B97F4A7C15 + 2 * seed * 0xC2B2AE3D27D4EB4F) % 2**64 | 1
+        self.value = np.random.default_rng(seed).integers(1, 2**64, 256, dtype=np.uint64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int, base: int):
@@ -69,7 +73,7 @@ class Hasher:
             size = max(n + 1, 2 * CHUNK_BYTES)
             self.up, self.down = self._powers(size, self.base), self._powers(size, pow(self.base, -1, 2**64))
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
+        np.cumsum(self.value[data] * self.up[:n], out=sums[1:])
         return sums
 
     def of(self, sums, start, length):
@@ -509,18 +513,19 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
 def dedup_windows(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     keyed, total = _keyed(docs)
-    buckets = max(partitions(docs.sparkSession), -(-total * 2 // ((DEPTH - GRAM + 1) * RUNS_PER_BUCKET)))
+    tasks = max(partitions(docs.sparkSession), -(-total // TASK_BYTES))
+    buckets = max(tasks, -(-total * 2 // ((DEPTH - GRAM + 1) * RUNS_PER_BUCKET)))
     # What needs no bucket travels with the runs, spread at random.
     spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.pmod(F.xxhash64("doc", "pos"), F.lit(1 << 40)))
 
     def routed(df: DataFrame, emit, decide) -> DataFrame:
         """One row per document and kind, through the buckets and then through blocks of documents."""
-        sent = df.mapInArrow(released(emit), ROUTED).withColumn("to", spread).repartition("to").sortWithinPartitions("to", "bucket").drop("to")
-        return sent.mapInArrow(released(decide), FOUND).repartition("block").sortWithinPartitions("block").mapInArrow(released(_regroup), BY_DOC)
+        sent = df.mapInArrow(released(emit), ROUTED).withColumn("to", spread).repartition(tasks, "to").sortWithinPartitions("to", "bucket").drop("to")
+        return sent.mapInArrow(released(decide), FOUND).repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(released(_regroup), BY_DOC)
 
     first = materialize(routed(keyed.select("doc", "text"), _first_pass(buckets), _second_pass(buckets)), "dedup-runs")
-    texts = keyed.select("doc", "doc_id", "text")
-    packed = lambda df: df.groupBy("doc").agg(F.collect_list("pos").alias("pos"), F.collect_list("len").alias("len"))
+    texts = keyed.select("doc", "doc_id", "text").repartition(tasks, "doc")
+    packed = lambda df: df.repartition(tasks, "doc").groupBy("doc").agg(F.collect_list("pos").alias("pos"), F.collect_list("len").alias("len"))
     # The same columns as below, so that both joins can read one exchange of the texts.
     refined = texts.join(packed(first.where(F.col("kind") == SPLIT)), "doc").select("doc", "doc_id", "text", "pos", "len")
     marks = routed(refined, _window_pass(buckets), _last_pass(buckets)).unionByName(first.where(F.col("kind") == MARK))
