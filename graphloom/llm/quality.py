@@ -182,12 +182,18 @@ def train(rows: DataFrame, labels: DataFrame) -> Model | None:
 
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality")).where("quality > 0").select("id")
     at_large = rows.where(~F.col("held_out")).select(F.col("doc_id").alias("id"), "x")
-    trusted = at_large.join(good, "id")
+    trusted = materialize(at_large.join(good, "id"), "quality-trusted")
 
     def sample(df: DataFrame, seed: int):
-        # Keys are distinct before they are limited, whatever ids repeat.
-        keyed = df.groupBy(F.xxhash64("id", "x", F.lit(seed)).alias("key")).agg(F.first("x").alias("x")).orderBy("key").limit(SAMPLE)
-        return np.array([r[0] for r in keyed.select("x").collect()], float).reshape(-1, FEATURES)
+        # Keys are distinct before they are limited, whatever ids repeat. Of many rows only the smallest
+        # keys are looked at, which hold the sample unless very many rows are alike.
+        keyed = df.select(F.xxhash64("id", "x", F.lit(seed)).alias("key"), "x")
+        share = 8 * SAMPLE / max(1, df.count())
+        for some in [keyed.where(F.col("key") < int(2**64 * share) - 2**63)] * (share < 1) + [keyed]:
+            found = some.groupBy("key").agg(F.first("x").alias("x")).orderBy("key").limit(SAMPLE).select("x").toArrow()
+            if found.num_rows == SAMPLE:
+                break
+        return np.array(found.column("x").to_pylist(), float).reshape(-1, FEATURES)
 
     p, u = sample(trusted, 11), sample(at_large, 12)
     if not len(p) or not len(u):

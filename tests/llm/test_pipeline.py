@@ -12,9 +12,9 @@ from .test_operators import corpus, plain_fingerprint, plain_secrets
 
 
 def tables(spark, folder, rows):
-    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i, t in rows if t and len(t) > 60], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, t in rows if t and len(t) > 60 and i is not None], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return docs
 
 
