@@ -189,7 +189,8 @@ def train(rows: DataFrame, labels: DataFrame) -> Model | None:
         # keys are looked at, which hold the sample unless very many rows are alike.
         keyed = df.select(F.xxhash64("id", "x", F.lit(seed)).alias("key"), "x")
         share = 8 * SAMPLE / max(1, df.count())
-        for some in [keyed.where(F.col("key") < int(2**64 * share) - 2**63)] * (share < 1) + [keyed]:
+        for bound in [int(2**64 * share) - 2**63] * (share < 1) + [None]:
+            some = keyed if bound is None else keyed.where(F.col("key") < F.lit(bound))
             found = some.groupBy("key").agg(F.first("x").alias("x")).orderBy("key").limit(SAMPLE).select("x").toArrow()
             if found.num_rows == SAMPLE:
                 break
