@@ -113,3 +113,162 @@ def suppression_sites(files: DataFrame) -> DataFrame:
 def worktree_prs(trees: DataFrame, prs: DataFrame) -> DataFrame:
     """Worktrees with the PR of their branch, if any."""
     return trees.join(prs.select("branch", "number", "title"), "branch", "left")
+
+
+def display_community(name: Column, number: Column) -> Column:
+    """A community's name, or its number."""
+    return F.coalesce(F.nullif(F.trim(name), F.lit("")), number.cast("string"))
+
+
+def community_header(name: Column, number: Column, members: Column) -> Column:
+    """The line above a community's members."""
+    named = F.nullif(F.trim(name), F.lit(""))
+    title = F.when(named.isNull(), F.concat(F.lit("Community "), number.cast("string"))).otherwise(F.concat(F.lit("Community "), number.cast("string"), F.lit(" - "), named))
+    return F.concat(title, F.lit(" ("), members.cast("string"), F.lit(" nodes)"))
+
+
+def with_learning(lines: DataFrame, lessons: DataFrame) -> DataFrame:
+    """Node lines (id, line) with what is known about the node (id, standing, stale) behind them."""
+    known = lessons.select("id", "standing", F.coalesce("stale", F.lit(False)).alias("stale"))
+    suffix = F.concat(F.lit(" learning="), "standing", F.when(F.col("stale"), F.lit(" (stale)")).otherwise(F.lit("")))
+    return lines.join(known, "id", "left").select("id", F.concat("line", F.coalesce(suffix, F.lit(""))).alias("line"))
+
+
+def prefer_file_node(matches: DataFrame) -> DataFrame:
+    """Of matches (key, id, source_file, source_location) within one file, the one on its first line; several files stay several."""
+    per_file = matches.groupBy("key", "source_file").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("source_location") == "L1", 1)).alias("_first"))
+    files = matches.groupBy("key").agg(F.count_distinct(F.coalesce("source_file", F.lit(""))).alias("_files"))
+    j = matches.join(per_file, ["key", "source_file"]).join(files, "key")
+    alone = (F.col("_files") == 1) & (F.col("_n") > 1) & (F.col("_first") == 1)
+    return j.where(~alone | (F.col("source_location") == "L1")).select(matches.columns)
+
+
+def chunk_sources(chunks: DataFrame) -> DataFrame:
+    """(source_file) of the files that new chunks speak about."""
+    return chunks.where("coalesce(source_file, '') <> ''").select("source_file").distinct()
+
+
+def merge_root(roots: list[str | None]) -> str | None:
+    """The root that merged graphs share: the one all of them name, else the folder above all; None if one names none."""
+    if not roots or any(r is None for r in roots):
+        return None
+    if len(set(roots)) == 1:
+        return roots[0]
+    return common_root([r.rstrip("/") + "/x" for r in roots]) or None
+
+
+def resolves_under(path: str, root: str) -> bool:
+    """Whether a path, its dots resolved, lies in root."""
+    import posixpath
+
+    base = posixpath.normpath(root)
+    whole = posixpath.normpath(posixpath.join(base, path))
+    return whole == base or whole.startswith(base.rstrip("/") + "/")
+
+
+def known_nodes(nodes: DataFrame) -> DataFrame:
+    """Every id and label by which a node may be cited (name)."""
+    return nodes.select(F.col("id").alias("name")).union(nodes.select("label")).where("coalesce(name, '') <> ''").distinct()
+
+
+def node_community_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node_id, label) of the community each node is in; one without a label goes by its number."""
+    return members.join(labels.select("cid", "label"), "cid", "left").select("node_id", display_community(F.col("label"), F.col("cid")).alias("label"))
+
+
+def flat_calls(files: DataFrame) -> DataFrame:
+    """Z111: calls of files (source_file, raw_calls array of structs) as rows."""
+    return files.select("source_file", F.explode("raw_calls").alias("call")).select("source_file", "call.*")
+
+
+def source_key(path: Column) -> Column:
+    """Z108: the identifier of a file that sets apart equal ids: its path without extension, in lower case, joined by underscores."""
+    stem = F.regexp_replace(F.coalesce(path, F.lit("")), r"\.[^./]*$", "")
+    return F.lower(F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def resolve_link(source: Column, target: Column) -> Column:
+    """Z112: a relative link of a document as a path from the root; null for addresses, anchors and what leaves the root."""
+    clean = F.regexp_replace(target, "[#?].*$", "")
+    whole = F.when(F.startswith(clean, F.lit("/")), F.regexp_replace(clean, "^/+", "")).otherwise(F.concat(F.regexp_replace(source, "[^/]*$", ""), clean))
+    parts = F.filter(F.split(whole, "/"), lambda p: (p != "") & (p != "."))
+    none = F.array().cast("array<string>")
+    step = lambda done, p: F.when(p != "..", F.concat(done, F.array(p))).when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array(F.lit("..")))
+    path = F.aggregate(parts, none, step)
+    return F.when((clean != "") & ~target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~F.array_contains(path, ".."), F.array_join(path, "/"))
+
+
+def relativise(df: DataFrame, root: str) -> DataFrame:
+    """Records whose source_file lies under root, relative to it; others stay as they are."""
+    base = root.rstrip("/") + "/"
+    inside = F.startswith("source_file", F.lit(base))
+    return df.withColumn("source_file", F.when(inside, F.expr(f"substring(source_file, {len(base) + 1})")).otherwise(F.col("source_file")))
+
+
+def word_counts(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, words) of files (path, text) through a cache (hash, words), and the cache with the new ones."""
+    from .incremental import content_hash
+
+    hashed = files.select("path", "text", content_hash(F.col("text")).alias("hash"))
+    missing = hashed.join(cache.select("hash"), "hash", "left_anti")
+    fresh = missing.select("hash", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("long").alias("words")).dropDuplicates(["hash"])
+    known = cache.select("hash", "words").unionByName(fresh)
+    return hashed.select("path", "hash").join(known, "hash").select("path", "words"), known
+
+
+def cached_files(cache: DataFrame) -> DataFrame:
+    """(source_file) of what a cache holds rows of."""
+    return cache.select("source_file").distinct()
+
+
+def clear_cache(spark, path: str) -> None:
+    """A cache's folder is dropped through Spark's file system; a missing one is no error."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def load_fragment(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Z102: nodes and edges of a fragment that pass validation, and the errors (kind, error) of the rest."""
+    from ..schema import CONFIDENCES, FILE_TYPES
+    from .filters import validate
+
+    lacks = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    good = nodes.where(~lacks("id") & ~lacks("label") & F.col("file_type").isin(*FILE_TYPES))
+    ids = good.select("id").distinct()
+    kept = edges.where(F.col("confidence").isin(*CONFIDENCES) & ~lacks("relation"))
+    for end in ("source", "target"):
+        kept = kept.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return good, kept.select(edges.columns), validate(nodes, edges)
+
+
+def name_communities(communities: DataFrame, backend, batch: int = 20) -> DataFrame:
+    """(cid, label) from a backend that names batches of communities (cid, members array); what it leaves unnamed gets a placeholder."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                named = backend([(int(c), list(m)) for c, m in zip(part["cid"], part["members"], strict=True)]) or {}
+                yield pd.DataFrame([(c, (named.get(int(c)) or "").strip() or f"Community {c}") for c in part["cid"]], columns=["cid", "label"])
+
+    return communities.select("cid", "members").mapInPandas(run, "cid long, label string")
+
+
+# What a section is about, by words of its members' names.
+ARCHETYPES = {
+    "api": "api route handler endpoint controller request response server", "data": "model schema table entity record database query store", "ui": "view page component widget render template style",
+    "test": "test spec fixture mock assert", "config": "config setting option env", "util": "util helper common shared", "io": "read write file load save parse export import",
+}
+
+
+def community_archetypes(nodes: DataFrame) -> DataFrame:
+    """(community, section) by the archetype most words of its labels and files belong to; `other` where none does."""
+    words = F.split(F.lower(F.concat_ws(" ", "label", "source_file")), "[^a-z]+")
+    spoken = nodes.where("community is not null").select("community", F.explode(words).alias("word"))
+    rows = [(w, k, i) for i, (k, ws) in enumerate(ARCHETYPES.items()) for w in ws.split()]
+    known = nodes.sparkSession.createDataFrame(rows, "word string, section string, rank int")
+    votes = spoken.join(F.broadcast(known), "word").groupBy("community", "section", "rank").agg(F.count(F.lit(1)).alias("n"))  # ARCHETYPES' words
+    best = votes.groupBy("community").agg(F.min_by("section", F.struct(-F.col("n"), F.col("rank"))).alias("section"))
+    return nodes.where("community is not null").select("community").distinct().join(best, "community", "left").select("community", F.coalesce("section", F.lit("other")).alias("section"))
