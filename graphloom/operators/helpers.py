@@ -120,17 +120,17 @@ def display_community(name: Column, number: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(name), F.lit("")), number.cast("string"))
 
 
-def community_header(name: Column, number: Column, members: Column) -> Column:
-    """The line above a community's members."""
-    named = F.nullif(F.trim(name), F.lit(""))
-    title = F.when(named.isNull(), F.concat(F.lit("Community "), number.cast("string"))).otherwise(F.concat(F.lit("Community "), number.cast("string"), F.lit(" - "), named))
-    return F.concat(title, F.lit(" ("), members.cast("string"), F.lit(" nodes)"))
+def community_header(name: Column, number: Column) -> Column:
+    """The line above a community's members; a name that only repeats the number is left out."""
+    base = F.concat(F.lit("Community "), number.cast("string"))
+    clean = F.trim(F.coalesce(name, F.lit("")))
+    return F.when((clean != "") & (clean != base), F.concat(base, F.lit(" \u2014 "), clean)).otherwise(base)
 
 
 def with_learning(lines: DataFrame, lessons: DataFrame) -> DataFrame:
     """Node lines (id, line) with what is known about the node (id, standing, stale) behind them."""
     known = lessons.select("id", "standing", F.coalesce("stale", F.lit(False)).alias("stale"))
-    suffix = F.concat(F.lit(" learning="), "standing", F.when(F.col("stale"), F.lit(" (stale)")).otherwise(F.lit("")))
+    suffix = F.concat(F.lit(" learning="), "standing", F.when(F.col("stale"), F.lit(":stale")).otherwise(F.lit("")))
     return lines.join(known, "id", "left").select("id", F.concat("line", F.coalesce(suffix, F.lit(""))).alias("line"))
 
 
@@ -256,19 +256,33 @@ def name_communities(communities: DataFrame, backend, batch: int = 20) -> DataFr
     return communities.select("cid", "members").mapInPandas(run, "cid long, label string")
 
 
-# What a section is about, by words of its members' names.
+# Sections in order of priority and the words that speak for them.
 ARCHETYPES = {
-    "api": "api route handler endpoint controller request response server", "data": "model schema table entity record database query store", "ui": "view page component widget render template style",
-    "test": "test spec fixture mock assert", "config": "config setting option env", "util": "util helper common shared", "io": "read write file load save parse export import",
-}
-
-
-def community_archetypes(nodes: DataFrame) -> DataFrame:
-    """(community, section) by the archetype most words of its labels and files belong to; `other` where none does."""
-    words = F.split(F.lower(F.concat_ws(" ", "label", "source_file")), "[^a-z]+")
-    spoken = nodes.where("community is not null").select("community", F.explode(words).alias("word"))
+    "extract-pipeline": "extract extractor tree sitter parser language python javascript typescript rust java go ast calls imports multilang",
+    "build-graph": "build graph merge dedup node edge hyperedge json schema normalize confidence",
+    "analysis-clustering": "cluster community leiden cohesion analyze god surprise question query path explain benchmark",
+    "outputs-docs": "export html wiki obsidian canvas svg graphml report callflow mermaid tree documentation",
+    "cli-skills": "main install uninstall skill agent claude codex opencode aider copilot kiro vscode hook command",
+    "ingest-cache-update": "ingest fetch download url html markdown cache manifest watch update incremental transcribe video audio google",
+    "serve-api": "serve api request response endpoint router handle upload search delete enrich",
+    "security-global": "security safe ssrf xss path traversal global prefix prune repo clone",
+    "tests-fixtures": "test tests fixture fixtures sample assert pytest mock",
+}
+SPOKEN = 80  # nodes of a community whose words count, by the rule; a description, not a filter
+
+
+def community_archetypes(nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(community, section): the section that most words of its label and its first SPOKEN nodes speak for, two at least, else `other`."""
+    from pyspark.sql import Window
+
+    own = nodes.where("community is not null")
+    first = own.withColumn("_rn", F.row_number().over(Window.partitionBy("community").orderBy("_ord", "id"))).where(F.col("_rn") <= SPOKEN)
+    texts = first.select("community", F.concat_ws(" ", "label", "source_file", "file_type").alias("text"))
+    if labels is not None:
+        texts = texts.unionByName(labels.select(F.col("cid").alias("community"), F.col("label").alias("text")))
+    spoken = texts.select("community", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word"))
     rows = [(w, k, i) for i, (k, ws) in enumerate(ARCHETYPES.items()) for w in ws.split()]
-    known = nodes.sparkSession.createDataFrame(rows, "word string, section string, rank int")
-    votes = spoken.join(F.broadcast(known), "word").groupBy("community", "section", "rank").agg(F.count(F.lit(1)).alias("n"))  # ARCHETYPES' words
-    best = votes.groupBy("community").agg(F.min_by("section", F.struct(-F.col("n"), F.col("rank"))).alias("section"))
-    return nodes.where("community is not null").select("community").distinct().join(best, "community", "left").select("community", F.coalesce("section", F.lit("other")).alias("section"))
+    known = nodes.sparkSession.createDataFrame(rows, "word string, section string, priority int")
+    votes = spoken.join(F.broadcast(known), "word").groupBy("community", "section", "priority").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")  # the words of ARCHETYPES
+    best = votes.groupBy("community").agg(F.min_by("section", F.struct(-F.col("n"), F.col("priority"))).alias("section"))
+    return own.select("community").distinct().join(best, "community", "left").select("community", F.coalesce("section", F.lit("other")).alias("section"))

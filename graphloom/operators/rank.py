@@ -313,8 +313,8 @@ def within_budget(lines: DataFrame, order: list[str], token_budget: int) -> Data
 def pack_chunks(units: DataFrame, budget: int, images_per_chunk: int = 20) -> DataFrame:
     """Units (path, tokens, is_image) in order of directory and path to chunks, greedily.
 
-    The rule resets at every chunk, so it is sequential; it runs per directory group in one worker,
-    over the units' sizes only.
+    The rule is one pass over all units and resets at every chunk, so it is sequential: the sizes of
+    all units (a path, a number and a flag each, no texts) go through one worker.
     """
     import pandas as pd
 

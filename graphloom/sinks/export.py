@@ -151,10 +151,10 @@ def push(rows: DataFrame, connect, statement: str, batch: int = 500) -> None:
 
 
 def view_rows(graph: Graph, limit: int = VIEW_LIMIT) -> tuple[list, list, bool]:
-    """The rows a picture shows: the graph, or that of its communities if it has more than limit nodes."""
+    """The rows a picture shows: the graph, or that of its communities if it has more than limit nodes; of very many edges the first ones."""
     if graph.nodes.limit(limit + 1).count() <= limit:
         n = graph.nodes.select("id", "label", F.coalesce("community", F.lit(-1)).alias("community")).orderBy("_ord").collect()
-        return n, graph.edges.select("source", "target", "relation").limit(limit * 10).collect(), False
+        return n, graph.edges.orderBy("_ord", "source", "target", "relation").select("source", "target", "relation").limit(limit * 10).collect(), False
     from ..operators.aggregate import meta_graph
     from ..operators.communities import communities_of
 

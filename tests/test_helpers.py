@@ -37,11 +37,11 @@ def test_texts(spark):
 
 def test_lookups_and_names(spark):
     one = spark.createDataFrame([("n", 3, 2, ""), (" ", 4, 1, "x")], "name string, number long, members long, other string")
-    got = one.select(H.display_community(F.col("name"), F.col("number")).alias("d"), H.community_header(F.col("name"), F.col("number"), F.col("members")).alias("h")).collect()
-    assert [(r.d, r.h) for r in got] == [("n", "Community 3 - n (2 nodes)"), ("4", "Community 4 (1 nodes)")]
+    got = one.select(H.display_community(F.col("name"), F.col("number")).alias("d"), H.community_header(F.col("name"), F.col("number")).alias("h")).collect()
+    assert [(r.d, r.h) for r in got] == [("n", "Community 3 \u2014 n"), ("4", "Community 4")]
     lines = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "id string, line string")
     lessons = spark.createDataFrame([("a", "preferred", False), ("b", "avoid", True)], "id string, standing string, stale boolean")
-    assert {r.line for r in H.with_learning(lines, lessons).collect()} == {"A learning=preferred", "B learning=avoid (stale)", "C"}
+    assert {r.line for r in H.with_learning(lines, lessons).collect()} == {"A learning=preferred", "B learning=avoid:stale", "C"}
     m = spark.createDataFrame([("k", "f", "a.py", "L1"), ("k", "x", "a.py", "L9"), ("q", "y", "a.py", "L2"), ("q", "z", "b.py", "L1")], "key string, id string, source_file string, source_location string")
     assert sorted(r.id for r in H.prefer_file_node(m).collect()) == ["f", "y", "z"]
     assert sorted(r.source_file for r in H.chunk_sources(m).collect()) == ["a.py", "b.py"]
@@ -86,5 +86,8 @@ def test_names_and_archetypes(spark):
     c = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, [])], "cid long, members array<string>")
     named = H.name_communities(c, lambda part: {cid: f"about {m[0]}" for cid, m in part if m}, batch=2)
     assert {(r.cid, r.label) for r in named.collect()} == {(1, "about a"), (2, "about b"), (3, "Community 3")}
-    n = spark.createDataFrame([(1, "user route handler", "api/x.py"), (1, "table", "x.py"), (2, "zzz", "y.py"), (None, "test", "t.py")], "community long, label string, source_file string")
-    assert {(r.community, r.section) for r in H.community_archetypes(n).collect()} == {(1, "api"), (2, "other")}
+    rows = [(1, "api_request", "api/x.py"), (1, "tree", "x.py"), (2, "tree", "y.py"), (3, "html", "a/html.py"), (3, "cache", "url.py"), (None, "test", "test.py")]
+    n = spark.createDataFrame([(*r, "code", i, str(i)) for i, r in enumerate(rows)], "community long, label string, source_file string, file_type string, _ord long, id string")
+    assert {(r.community, r.section) for r in H.community_archetypes(n).collect()} == {(1, "serve-api"), (2, "other"), (3, "ingest-cache-update")}
+    told = spark.createDataFrame([(2, "Parser of calls")], "cid long, label string")
+    assert {(r.community, r.section) for r in H.community_archetypes(n, told).collect()} >= {(2, "extract-pipeline")}
