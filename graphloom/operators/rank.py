@@ -259,7 +259,7 @@ def questions_low_cohesion(scores: DataFrame) -> DataFrame:
     low = scores.where("cohesion < 0.15 and members >= 5")
     return _question(
         low, "low_cohesion", F.concat(F.lit("Should `Community "), F.col("cid"), F.lit("` be split into smaller, more focused modules?")),
-        F.concat(F.lit("Cohesion score "), F.round("cohesion", 6), F.lit(" - nodes in this community are weakly interconnected.")), F.col("cid").cast("bigint"),
+        F.concat(F.lit("Cohesion score "), F.regexp_replace(F.round("cohesion", 6).cast("decimal(12,6)").cast("string"), r"\.?0+$", ""), F.lit(" - nodes in this community are weakly interconnected.")), F.col("cid").cast("bigint"),
     )
 
 

@@ -9,8 +9,8 @@ from ..operators import rank as W
 from ..operators import traverse as T
 from ..operators.scratch import written
 from ..sources.tables import edges, nodes, table
-from .catalog import query
-from .graph_queries import DEGREE_ALL, NOT_CONCEPT, NOT_STUB, members
+from .catalog import SQL, query
+from .graph_queries import DEGREE_ALL, MEMBERS, NOT_CONCEPT, NOT_STUB, members
 
 QUESTION = ["blue", "steel", "customer"]
 
@@ -233,12 +233,25 @@ def questions_isolated(spark, d):
     return W.questions_isolated(nodes(spark, d), edges(spark, d))
 
 
-@query("questions_low_cohesion")
+LOW = f"""{MEMBERS}, i AS (SELECT cid, count(*) AS k FROM (SELECT DISTINCT s.cid, least(source, target) AS a, greatest(source, target) AS b FROM edges JOIN c s ON s.node_id = source JOIN c t ON t.node_id = target WHERE s.cid = t.cid) GROUP BY cid),
+low AS (SELECT CAST(m.cid AS BIGINT) AS cid, coalesce(k, 0) / (n * (n - 1) / 2.0) AS cohesion FROM (SELECT cid, count(*) AS n FROM c GROUP BY cid) m LEFT JOIN i USING (cid) WHERE n >= 5)"""
+
+
+@query(
+    "questions_low_cohesion",
+    f"{LOW} SELECT 'low_cohesion' AS type, 'Should `Community ' || cid || '` be split into smaller, more focused modules?' AS question, 'Cohesion score ' || regexp_replace(CAST(CAST(round(cohesion, 6) AS DECIMAL(12, 6)) AS VARCHAR), '\\.?0+$', '') || ' - nodes in this community are weakly interconnected.' AS why, cid AS position FROM low WHERE cohesion < 0.15",
+)
 def questions_low_cohesion(spark, d):
     return W.questions_low_cohesion(A.cohesion(edges(spark, d), members(spark, d)))
 
 
-@query("suggest_questions")
+SUGGESTED = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT {i} AS section, type, question, why, position FROM ({SQL[q]}) ORDER BY position, question LIMIT 7)"
+    for i, q in enumerate(("questions_ambiguous", "questions_inferred", "questions_isolated", "questions_low_cohesion"))
+)
+
+
+@query("suggest_questions", f"SELECT CAST(section AS INTEGER) AS section, type, question, why FROM ({SUGGESTED}) ORDER BY section, position, question LIMIT 7", graph=False)
 def suggest_questions(spark, d):
     e = edges(spark, d)
     return W.suggest_questions(nodes(spark, d), e, A.cohesion(e, members(spark, d)))

@@ -207,7 +207,30 @@ def note_names(spark, d):
     return K.note_names(nodes(spark, d))
 
 
-@query("graphml")
+ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def data_sql(domain: str, columns: dict[str, str]) -> str:
+    """The data elements of a node or an edge, in order; columns that are null are left out."""
+    return " || ".join(f"coalesce('<data key=\"{domain}_{c}\">' || {e} || '</data>', '')" for c, e in columns.items())
+
+
+GRAPHML_NODE = data_sql("n", {"label": ESCAPED.format("label"), "file_type": "file_type", "source_file": ESCAPED.format("source_file"), "source_location": "source_location", "community": "CAST(community AS VARCHAR)"})
+GRAPHML_EDGE = data_sql("e", {"relation": "relation", "confidence": "confidence", "weight": "CAST(weight AS VARCHAR)", "context": "context", "source_file": ESCAPED.format("source_file")})
+GRAPHML_HEAD = [
+    *[f'<key id="n_{c}" for="node" attr.name="{c}" attr.type="{t}"/>' for c, t in (("label", "string"), ("file_type", "string"), ("source_file", "string"), ("source_location", "string"), ("community", "long"))],
+    *[f'<key id="e_{c}" for="edge" attr.name="{c}" attr.type="{t}"/>' for c, t in (("relation", "string"), ("confidence", "string"), ("weight", "double"), ("context", "string"), ("source_file", "string"))],
+    '<graph edgedefault="directed">',
+]
+GRAPHML_FRAME = [(0, 0, '<?xml version="1.0" encoding="UTF-8"?>'), (0, 1, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), *[(1, i, h) for i, h in enumerate(GRAPHML_HEAD)], (4, 0, "</graph>"), (4, 1, "</graphml>")]
+
+
+@query(
+    "graphml",
+    f"""SELECT 2 AS section, _ord, '<node id="' || {ESCAPED.format("id")} || '">' || {GRAPHML_NODE} || '</node>' AS line FROM nodes
+    UNION ALL SELECT 3, _ord, '<edge source="' || {ESCAPED.format("source")} || '" target="' || {ESCAPED.format("target")} || '">' || {GRAPHML_EDGE} || '</edge>' FROM edges
+    UNION ALL SELECT * FROM (VALUES {", ".join(f"({a}, {b}, '{c}')" for a, b, c in GRAPHML_FRAME)}) f(section, _ord, line)""",
+)
 def graphml(spark, d):
     return K.graphml_lines(graph(spark, d))
 
