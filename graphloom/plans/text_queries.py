@@ -16,6 +16,7 @@ from ..sources import files as FS
 from ..sources.tables import edges, graph, nodes, table
 from ..streaming import watch as ST
 from .catalog import query
+from .graph_queries import DEGREE_ALL
 
 
 @query(
@@ -235,12 +236,24 @@ def graphml(spark, d):
     return K.graphml_lines(graph(spark, d))
 
 
-@query("obsidian_notes")
+NAMED = "named AS (SELECT id, CASE WHEN n = 1 THEN base ELSE base || '_' || (n - 1) END AS name FROM (SELECT id, base, row_number() OVER (PARTITION BY lower(base) ORDER BY _ord, id) AS n FROM (SELECT *, replace(label, '#', '_') AS base FROM nodes)))"
+
+
+@query(
+    "obsidian_notes",
+    f"""{NAMED}, link AS (SELECT source AS id, string_agg(line, chr(10) ORDER BY line) AS links FROM (SELECT DISTINCT source, '- ' || relation || ': [[' || name || ']]' AS line FROM edges JOIN named ON named.id = target) GROUP BY source)
+    SELECT name || '.md' AS path, '---' || chr(10) || 'id: ' || id || chr(10) || 'source: ' || source_file || chr(10) || 'tags: [' || file_type || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || label || chr(10) || chr(10) || coalesce(links, '') AS text
+    FROM nodes JOIN named USING (id) LEFT JOIN link USING (id)""",
+)
 def obsidian_notes(spark, d):
     return K.obsidian_notes(graph(spark, d))
 
 
-@query("wiki_pages")
+@query(
+    "wiki_pages",
+    f"""{DEGREE_ALL}, r AS (SELECT community, label, coalesce(degree, 0) AS degree, count(*) OVER (PARTITION BY community) AS n, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, id) AS k FROM nodes LEFT JOIN deg USING (id) WHERE community IS NOT NULL)
+    SELECT 'community_' || community || '.md' AS path, '# Community ' || community || chr(10) || chr(10) || any_value(n) || ' nodes' || chr(10) || chr(10) || string_agg('- ' || label || ' (' || degree || ')', chr(10) ORDER BY k) AS text FROM r WHERE k <= 20 GROUP BY community""",
+)
 def wiki_pages(spark, d):
     return K.wiki_pages(graph(spark, d))
 
