@@ -71,17 +71,16 @@ def collapse_undirected(edges: DataFrame) -> DataFrame:
     rows = marked.groupBy("_a", "_b").agg(
         last(forward).alias("fwd"),
         last(~forward).alias("bwd"),
-        F.max(F.when(forward, F.col("relation"))).alias("fwd_last"),
-        F.collect_set(F.when(~forward, F.col("relation"))).alias("bwd_relations"),
-        F.min_by(_packed(edges), F.struct(F.col("source") != F.col("_a"), F.col("relation"), F.col("_ord"))).alias("head"),
+        F.min(F.when(~forward, F.col("relation"))).alias("bwd_first"),
         F.max_by(_packed(edges), F.when(F.col("source") == F.col("target"), F.struct(F.col("relation"), -F.col("_ord")))).alias("loop"),
     )
-    differs = F.exists("bwd_relations", lambda r: r != F.col("fwd_last"))
+    # Relations of the other direction are all r if the least and the greatest are.
+    differs = (F.col("bwd_first") != F.col("fwd.relation")) | (F.col("bwd.relation") != F.col("fwd.relation"))
     kept = F.when(F.col("_a") == F.col("_b"), F.col("loop")).when(F.col("fwd").isNull(), F.col("bwd")).when(F.col("bwd").isNotNull() & differs, F.col("bwd")).otherwise(F.col("fwd"))
-    flat = rows.select("_a", "_b", kept.alias("e"), F.col("fwd").isNotNull().alias("has_fwd"), F.col("head._ord").alias("_first"))
-    out = flat.select("e.*", F.when(F.col("has_fwd"), F.col("_a")).otherwise(F.col("_b")).alias("_s"), F.when(F.col("has_fwd"), F.col("_b")).otherwise(F.col("_a")).alias("_t"), "_first")
+    flat = rows.select("_a", "_b", kept.alias("e"), F.col("fwd").isNotNull().alias("has_fwd"))
+    out = flat.select("e.*", F.when(F.col("has_fwd"), F.col("_a")).otherwise(F.col("_b")).alias("_s"), F.when(F.col("has_fwd"), F.col("_b")).otherwise(F.col("_a")).alias("_t"))
     out = out.withColumn("_src", F.col("source")).withColumn("_tgt", F.col("target")).withColumn("source", F.col("_s")).withColumn("target", F.col("_t"))
-    return out.drop("_s", "_t", "_first")
+    return out.drop("_s", "_t")
 
 
 def endpoint_index(nodes: DataFrame, aliases: DataFrame | None = None, ascii_ids: bool = False) -> DataFrame:

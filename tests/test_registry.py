@@ -9,7 +9,7 @@ from graphloom.plans import registry
 from graphloom.sources.tables import TABLES
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"clusters", "louvain_communities", "entity_resolution"}
+SLOW = {"clusters", "louvain_communities", "betweenness", "questions_bridges"}  # their operators have tests of their own
 
 
 def canon(df):
@@ -31,7 +31,7 @@ def test_matches_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, DATA).count() >= 0
+    assert registry.queries()[name](spark, DATA).count() > 0
 
 
 def test_entry_works_without_the_optional_subpackage(monkeypatch):
