@@ -243,8 +243,12 @@ def html_text(html: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, href): the links of each page, each once."""
-    return pages.select("url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"""<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1)))).alias("href"))
+    """(url, href): the links of each page, each once, also where several rows have one url.
+
+    White space and the end of the tag's name are spelt out: Java's \\b, unlike other engines', takes letters beyond ASCII for parts of a word.
+    """
+    links = F.regexp_extract_all("html", F.lit(r"""<a(?![0-9A-Za-z_])[^>]*?(?<![0-9A-Za-z_])href[\t\n\f\r ]*=[\t\n\f\r ]*["']([^"']*)["']"""), F.lit(1))
+    return pages.select("url", F.explode(F.array_distinct(links)).alias("href")).distinct()
 
 
 def ingest_pages(pages: DataFrame, captured: str = "1970-01-01") -> DataFrame:

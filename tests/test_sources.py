@@ -200,3 +200,9 @@ def test_budget_and_chunks(spark):
     assert chunks == {"d/0": 0, "d/1": 0, "d/2": 1, "d/3": 1, "d/4": 2, "e/big": 3}
     parts = W.slices("# a\n" + "x" * 50 + "\n# b\n" + "y" * 50, 60)
     assert parts[0] == (0, 55) and parts[-1][1] == 109
+
+
+def test_page_links_once_for_a_url_of_several_rows(spark):
+    rows = [("u", '<a href="x">'), ("u", "<a href='x'><a href=\"y\">"), ("v", '<aé href="z">'), ("w", '<a\x0bhref\x0b="q">'), ("n", None), (None, '<a href="x">')]
+    got = FS.page_links(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [("u", "x"), ("u", "y"), ("v", "z"), (None, "x")]))
