@@ -1,7 +1,8 @@
 """Entity resolution (E01-E23): exact labels, fuzzy labels behind blocking and guards, a judge, and rewriting.
 
-Candidate pairs come from MinHash bands, so labels are compared only if they share a band; a pair
-counts once, scores are taken in Arrow batches, and the merges' components by label propagation.
+Labels are compared only if they name the same numbers, all with all where few do, else if they
+share a MinHash band; a pair counts once, scores are taken in Arrow batches, and the merges'
+components by label propagation.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ ENTROPY_FLOOR, JACCARD_FLOOR, MERGE_SCORE, COMMUNITY_BOOST = 2.5, 0.7, 92.0, 5.0
 JUDGE_BAND = (75.0, 92.0)
 PERMUTATIONS, BANDS = 128, 32
 PRIME = (1 << 31) - 1
+FEW = 32  # labels that name the same numbers: so many are compared all with all, more by their bands
 
 
 def id_prefixes(path: Column) -> Column:
@@ -37,9 +39,11 @@ def defines_id(id_: Column, path: Column) -> Column:
 
 
 def resolve_id_collisions(nodes: DataFrame) -> DataFrame:
-    """One node per id: a definer, then the shorter label, then label and file in order."""
+    """One node per id: a definer, then the shorter label, then label and file in order. Only ids that occur again are ranked."""
+    again = written(nodes.groupBy("id").count().where("count > 1").select("id"), "again")
     rank = [(~defines_id(F.col("id"), F.col("source_file"))).asc(), F.char_length("label").asc(), F.col("label").asc(), F.col("source_file").asc()]
-    return nodes.withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy(*rank))).where("_rn = 1").drop("_rn")
+    best = nodes.join(again, nodes["id"].eqNullSafe(again["id"]), "left_semi").withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy(*rank))).where("_rn = 1").drop("_rn")
+    return nodes.join(again, nodes["id"].eqNullSafe(again["id"]), "left_anti").unionByName(best)
 
 
 def winner_rank(id_: Column) -> Column:
@@ -50,7 +54,7 @@ def winner_rank(id_: Column) -> Column:
 def exact_pairs(nodes: DataFrame, norm: Column) -> DataFrame:
     """(old, new) among nodes of one normalised label and one file that are not code."""
     keyed = nodes.withColumn("_norm", norm).where("_norm <> '' and coalesce(source_file, '') <> '' and file_type <> 'code'")
-    best = keyed.groupBy("_norm", "source_file").agg(F.min_by("id", winner_rank(F.col("id"))).alias("new"))
+    best = keyed.groupBy("_norm", "source_file").agg(F.min_by("id", winner_rank(F.col("id"))).alias("new"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return keyed.join(best, ["_norm", "source_file"]).where("id <> new").select(F.col("id").alias("old"), "new")
 
 
@@ -71,22 +75,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def number_key(norm: Column) -> Column:
+    """A hash of the numbers that a label names. Labels with different numbers never merge (`numeric_tokens_differ`)."""
+    return F.xxhash64(F.array_join(S.numeric_tokens(norm), ","))
+
+
+def not_alone(labels: DataFrame) -> DataFrame:
+    """The labels (norm) that name the same numbers as another one, with the key and size of their group (numbers, crowd); the others have no partner."""
+    keyed = labels.withColumn("numbers", number_key(F.col("norm")))
+    crowds = keyed.groupBy("numbers").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    return keyed.join(crowds, "numbers")
+
+
 def candidate_pairs(labels: DataFrame, floor: float = JACCARD_FLOOR) -> DataFrame:
-    """(a, b) of labels (key, norm) whose shingles are at least floor alike, by exact Jaccard after banding.
+    """(a, b) of labels (key, norm) whose shingles are at least floor alike, by exact Jaccard.
 
-    Labels with different numbers never merge (`numeric_tokens_differ`), so the numbers are part of a
-    band's key: labels of one pattern that differ by a serial number alone share no band. The join is
-    between written tables, so that adaptive execution can split a band that is hot all the same.
+    Where at most FEW labels name the same numbers they are compared all with all; of larger groups
+    (such as labels without numbers) only labels that share a band are. The join is between written
+    tables, so that adaptive execution can split a band that is hot all the same.
     """
-    prepared = written(labels.withColumn("_sh", S.shingles(F.col("norm"))), "labels")
+    prepared = written(not_alone(labels.select("key", "norm")), "labels")
+    few = prepared.where(F.col("crowd") <= FEW).select("key", "norm", "numbers")
+    near = few.toDF("a", "a_norm", "numbers").join(few.toDF("b", "b_norm", "numbers"), "numbers").where("a < b")
+    near = near.where(jaccard(S.shingles(F.col("a_norm")), S.shingles(F.col("b_norm"))) >= floor).select("a", "b")
+    many = written(prepared.where(F.col("crowd") > FEW).withColumn("_sh", S.shingles(F.col("norm"))), "crowded")
     rows = PERMUTATIONS // BANDS
-    signed = prepared.withColumn("_sig", minhash(F.col("_sh")))
+    signed = many.withColumn("_sig", minhash(F.col("_sh")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("no"), F.xxhash64(F.slice(F.col("_sig"), i * rows + 1, rows)).alias("h")))
-    numbers = F.xxhash64(F.array_join(S.numeric_tokens(F.col("norm")), ","))
-    banded = written(signed.select("key", F.explode(bands).alias("band"), numbers.alias("numbers")).select("key", "band.no", F.xxhash64("band.h", "numbers").alias("h")), "bands")
+    banded = written(signed.select("key", F.explode(bands).alias("band"), "numbers").select("key", "band.no", F.xxhash64("band.h", "numbers").alias("h")), "bands")
     pairs = banded.withColumnRenamed("key", "a").join(banded.withColumnRenamed("key", "b"), ["no", "h"]).where("a < b").select("a", "b").distinct()
-    side = lambda p: prepared.select(F.col("key").alias(p), F.col("_sh").alias(f"_{p}_sh"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(jaccard(F.col("_a_sh"), F.col("_b_sh")) >= floor).select("a", "b")
+    side = lambda p: many.select(F.col("key").alias(p), F.col("_sh").alias(f"_{p}_sh"))
+    return near.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").where(jaccard(F.col("_a_sh"), F.col("_b_sh")) >= floor).select("a", "b"))
 
 
 def crossfile_anchored(prefix: str = "") -> Column:
@@ -99,7 +118,8 @@ def fuzzy_scores(nodes: DataFrame, norm: Column, communities: DataFrame | None =
     """Scored pairs of nodes that are not code, with distinct labels of enough entropy, and whether a guard blocks them."""
     keyed = nodes.where("file_type <> 'code'").withColumn("norm", norm).where("norm <> ''")
     one = keyed.groupBy("norm").agg(F.min_by(F.struct("id", "file_type", "source_file"), winner_rank(F.col("id"))).alias("n")).select(F.col("n.id").alias("key"), "norm", F.col("n.file_type").alias("type"), F.col("n.source_file").alias("file"))
-    one = one.where(S.entropy(F.col("norm")) >= ENTROPY_FLOOR)
+    # Written first, else the dear entropy is pushed down to labels that have no partner; what follows reads them several times.
+    one = written(written(not_alone(one).drop("numbers", "crowd"), "partnered").where(S.entropy(F.col("norm")) >= ENTROPY_FLOOR), "labels")
     side = lambda p: one.select(F.col("key").alias(p), F.col("norm").alias(f"{p}_norm"), F.col("type").alias(f"{p}_type"), F.col("file").alias(f"{p}_file"))
     pairs = candidate_pairs(one.select("key", "norm")).join(side("a"), "a").join(side("b"), "b")
     a, b = F.col("a_norm"), F.col("b_norm")
@@ -141,7 +161,7 @@ def deduplicate_entities(graph: Graph, communities: DataFrame | None = None, jud
     if "repo" in graph.nodes.columns and graph.nodes.where("repo is not null").select("repo").distinct().limit(2).count() > 1:
         raise ValueError("entities of several repositories are not merged")
     norm = S.entity_norm(F.col("label")) if norm is None else norm
-    nodes = resolve_id_collisions(graph.nodes)
+    nodes = written(resolve_id_collisions(graph.nodes), "nodes")
     pairs = exact_pairs(nodes, norm).toDF("a", "b")
     scored = written(fuzzy_scores(nodes, norm, communities))
     pairs = pairs.unionByName(fuzzy_pairs(scored))

@@ -293,6 +293,24 @@ def test_entity_guards(spark):
     assert (S.damerau("abcd", "acbd"), S.damerau("ca", "abc")) == (1, 3) and round(S.jaro_winkler("martha", "marhta"), 4) == 0.9611
 
 
+def test_candidate_pairs_band_only_crowds_of_one_number(spark, monkeypatch):
+    seen, write = {}, E.written
+    monkeypatch.setattr(E, "written", lambda df, label="step": seen.setdefault(label, []).append(write(df, label)) or seen[label][-1])
+    labels = [(f"{kind}:{i}", f"{word} {i:06}") for i in range(40) for kind, word in (("c", "customer"), ("s", "custtomer"), ("o", "order"))]
+    found = E.candidate_pairs(spark.createDataFrame([*labels, ("x", "order 999999")], "key string, norm string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"c:{i}", f"s:{i}") for i in range(40))
+    assert seen["bands"][0].count() == 0  # 32 a label before
+    crowd = [(f"k{i}", f"label number of {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(E.FEW + 8)]
+    pairs = {tuple(r) for r in E.candidate_pairs(spark.createDataFrame(crowd, "key string, norm string")).collect()}
+    assert ("k0", "k1") in pairs and all(a < b for a, b in pairs) and seen["bands"][1].count() == 32 * len(crowd)
+
+
+def test_id_collisions_rank_only_what_occurs_again(spark):
+    rows = [("a_x", "x", "a.py"), ("a_x", "longer", "a.py"), ("b", "one", "b.py"), (None, "p", "q"), (None, "pp", "q")]
+    got = E.resolve_id_collisions(spark.createDataFrame(rows, "id string, label string, source_file string")).collect()
+    assert sorted(str(r.label) for r in got) == ["one", "p", "x"]
+
+
 def test_entity_resolution(spark):
     n = nodes(spark, [("n1", "authentication service", "document", "a.md"), ("n2", "authentication servise", "document", "a.md"), ("n3", "authentication service 2", "document", "a.md"), ("n4", "payments", "concept", "b.md"), ("n5", "Payments", "concept", "b.md")])
     g = Graph(n, edges(spark, [("n2", "n4"), ("n1", "n2"), ("n5", "n3")]))
