@@ -5,7 +5,8 @@ move to the community of greatest gain in modularity; a round lets about half of
 a hash, so that neighbours do not swap for ever. With refine, moves within the communities found so
 far, from single nodes, give smaller ones (as in Leiden), which are contracted, while the next level
 starts from the greater ones. In the end communities fall apart into their connected parts. Nothing
-but tables grows with the graph: no component or community has to fit one worker.
+but tables grows with the graph: no component or community has to fit one worker. Once a level has at
+most LEVEL pairs, one task makes the same moves on it and on all that follow, with the same result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .scratch import written
 ROUNDS, LEVELS = 6, 6
 SETTLED = 0.002  # a phase ends when a round moves a smaller share of the nodes
 SMALL = 1_000_000  # pairs that one task joins up; the result is the same either way
+LEVEL = 10_000_000  # pairs of a level that one task partitions to the end, in some 60 bytes each; the result is the same either way
+SLICE = 200_000  # arcs that such a task sorts at a time
 COHESION_FLOOR, COHESION_LEAST = 0.05, 50  # fixed values: communities this large and less cohesive are split
 
 
@@ -81,7 +84,7 @@ def _join_up(pdf):
 def local_moves(pairs: DataFrame, start: DataFrame, total: float, resolution: float) -> DataFrame:
     """(v, c, h) after rounds of moves from the communities of start (v, c, h); pairs (a, b, weight) may hold loops (a = b).
 
-    h is a hash that, with the round, decides which nodes may move; of equal gains the smallest community counts.
+    h is a hash whose bit for the round decides which nodes may move; of equal gains the smallest community counts.
     """
     arcs = written(pairs.where("a <> b").select("a", "b", "weight").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "arcs")
     loops = pairs.where("a = b").select("a", (2 * F.col("weight")).alias("weight"))
@@ -100,7 +103,7 @@ def local_moves(pairs: DataFrame, start: DataFrame, total: float, resolution: fl
         best = choices.groupBy("v").agg(
             F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.round(gain, 9))).alias("now"), F.first("own").alias("own"), F.first("h").alias("h")
         )
-        moves = (F.col("best.gain") > F.col("now")) & (F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(2)) == 0)
+        moves = (F.col("best.gain") > F.col("now")) & (F.shiftright("h", turn).bitwiseAND(F.lit(1)) == 0)
         after = written(best.select("v", F.when(moves, -F.col("best.c")).otherwise(F.col("own")).alias("c"), "h", moves.alias("moved")), "labels")
         moved = after.where("moved").count()
         labels = after.select("v", "c", "h")
@@ -117,20 +120,37 @@ def contract(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(j.groupBy(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).agg(F.sum("weight").alias("weight")), "contracted")
 
 
-def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True) -> DataFrame:
-    """T13 (refine) and T14: (id, community), a community being named after its smallest member."""
+def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True, split_of: int | None = None) -> DataFrame:
+    """T13 (refine) and T14: (id, community), a community being named after its smallest member.
+
+    With split_of, how many nodes there are in all, the large and loose communities are split as well;
+    the pairs must not be more than LEVEL then.
+    """
     total = pairs.agg(F.sum("weight")).first()[0]
     if not total:
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("community")).limit(0)
     # Numbers in the order of ids, so that ties fall alike however the table is partitioned.
     ids = pairs.select("a").union(pairs.select("b")).distinct().orderBy("a")
     ids = written(ids.select(F.col("a").alias("id"), F.monotonically_increasing_id().alias("v")), "ids")
+    start = ids.select("v", F.col("v").alias("c"), F.xxhash64("id").alias("h"))
+    small = pairs.count() <= LEVEL
+    if split_of is not None and not small:
+        raise ValueError("more pairs than one task splits")
+    if small and start.select("h").distinct().count() == start.count():
+        # No two ids of one hash, so the task finds the numbers of a pair's ends by their hashes.
+        hashed = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "weight")
+        return by_name(finished(hashed, start, total, resolution, refine, LEVELS, None, True, True, split_of), ids)
     number = lambda end: ids.select(F.col("id").alias(end), F.col("v").alias(f"v_{end}"))
     level = whole = written(pairs.join(number("a"), "a").join(number("b"), "b").select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), F.col("weight").cast("double").alias("weight")), "pairs")
     member = ids.select("v", F.col("v").alias("c"))  # the node of the level that a node of the graph lies in
-    start = ids.select("v", F.col("v").alias("c"), F.xxhash64("id").alias("h"))
-    home, before = None, None
-    for _ in range(LEVELS):
+    before = None
+    for turn in range(LEVELS):
+        if level.count() <= LEVEL:
+            found = finished(level, start, total, resolution, refine, LEVELS - turn, before, turn == 0, False, split_of)
+            if turn == 0:
+                return by_name(found, ids)
+            home = written(member.select(F.col("v").alias("x"), F.col("c").alias("v")).join(found, "v").select(F.col("x").alias("v"), "c"), "home")
+            break
         found = local_moves(level, start, total, resolution)
         home = written(member.select(F.col("v").alias("x"), F.col("c").alias("v")).join(found.select("v", "c"), "v").select(F.col("x").alias("v"), "c"), "home")
         size = home.select("c").distinct().count()
@@ -148,6 +168,165 @@ def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True) ->
     return connected_parts(whole, home, ids)
 
 
+def by_name(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, community) of numbers (v, c)."""
+    return found.join(ids, "v").select("id", "c").join(ids.select(F.col("v").alias("c"), F.col("id").alias("community")), "c").select("id", "community")
+
+
+def finished(level: DataFrame, start: DataFrame, total: float, resolution: float, refine: bool, levels: int, before: int | None, connected: bool, hashed: bool, split_of: int | None) -> DataFrame:
+    """(v, c) for the nodes of start (v, c, h): the last home of each after so many levels, in one task; its connected part if connected.
+
+    If hashed, the ends of pairs are given by h instead of v. With split_of the parts are split as split_large and split_loose do.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        pairs, nodes = [], []
+        for batch in batches:
+            a, b, w, c, h, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            if node.any():
+                nodes.append((a[node], c[node], h[node]))
+            if not node.all():
+                pairs.append((a[~node], b[~node], w[~node]))
+        if not nodes:
+            return
+        v, c, h = (np.concatenate(x) for x in zip(*nodes, strict=True))
+        # Numbers without gaps, in the same order; communities may be named after numbers that are no node of this level.
+        names = np.unique(np.concatenate([v, c]))
+        at = np.searchsorted(names, v)
+        community, bits = np.arange(len(names), dtype=np.int32), np.zeros(len(names), np.int64)
+        community[at], bits[at] = np.searchsorted(names, c), h
+        order = np.argsort(h)
+        number = (lambda x: at[order[np.searchsorted(h[order], x)]]) if hashed else (lambda x: np.searchsorted(names, x))
+        ends = [np.concatenate([number(p[i]).astype(np.int32) for p in pairs]) if pairs else np.zeros(0, np.int32) for i in (0, 1)]
+        weights = np.concatenate([p[2] for p in pairs]) if pairs else np.zeros(0)
+        del pairs, nodes
+        home = _levels(ends[0], ends[1], weights, at, community, bits, total, resolution, refine, levels, before)
+        if connected:
+            home = _parts(ends[0], ends[1], home)
+        if split_of is not None:
+            size = np.bincount(home, minlength=len(home))
+            home = _split(ends[0], ends[1], weights, home, size > max(10, int(split_of * 0.25)), bits, resolution)
+            size = np.bincount(home, minlength=len(home))
+            apart = (home[ends[0]] == home[ends[1]]) & (ends[0] != ends[1])
+            share = np.bincount(home[ends[0][apart]], minlength=len(home)) / np.maximum(size * (size - 1.0) / 2, 1.0)
+            home = _split(ends[0], ends[1], weights, home, (size >= COHESION_LEAST) & (share < COHESION_FLOOR), bits, resolution)
+        for i in range(0, len(v), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000]), pa.array(names[home[at[i : i + 100_000]]])], ["v", "c"])
+
+    none = F.lit(0).cast("long")
+    rows = level.select("a", "b", F.col("weight").cast("double").alias("weight"), none.alias("c"), none.alias("h"), F.lit(False).alias("node"))
+    rows = rows.unionByName(start.select(F.col("v").alias("a"), none.alias("b"), F.lit(0.0).alias("weight"), "c", "h", F.lit(True).alias("node")))
+    return written(rows.coalesce(1).mapInArrow(run, "v long, c long"), "finished")
+
+
+def _levels(a, b, w, nodes, community, bits, total: float, resolution: float, refine: bool, levels: int, before: int | None):
+    """The levels of partition() on arrays: per number its last home. Only `nodes` (numbers) are nodes of the first level."""
+    import numpy as np
+
+    n = len(community)
+    member, home, real = np.arange(n), community, nodes
+    for _ in range(levels):
+        found = _moves(a, b, w, community, bits, total, resolution)
+        home = found[member]
+        size = len(np.unique(home[nodes]))
+        if size == before:
+            break
+        before, parts = size, found
+        if refine:
+            inside = found[a] == found[b]
+            parts = _moves(a[inside], b[inside], w[inside], np.arange(n, dtype=np.int32), bits, total, resolution)
+        member = parts[member]
+        # The contracted nodes: the least whole and the least hash of their parts.
+        whole, least = np.full(n, n, np.int32), np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(whole, parts[real], found[real])
+        np.minimum.at(least, parts[real], bits[real])
+        real = np.unique(parts[real])
+        community, bits = np.arange(n, dtype=np.int32), np.zeros(n, np.int64)
+        community[real], bits[real] = whole[real], least[real]
+        low, high = np.minimum(parts[a], parts[b]).astype(np.int64), np.maximum(parts[a], parts[b])
+        key, where = np.unique(low * n + high, return_inverse=True)
+        a, b, w = (key // n).astype(np.int32), (key % n).astype(np.int32), np.bincount(where, w, len(key))
+    return home
+
+
+def _moves(a, b, w, community, bits, total: float, resolution: float):
+    """local_moves() on arrays, SLICE arcs at a time."""
+    import numpy as np
+
+    n, loop = len(community), a == b
+    mine, other, link = np.concatenate([a[~loop], b[~loop]]), np.concatenate([b[~loop], a[~loop]]), np.concatenate([w[~loop], w[~loop]])
+    k = np.bincount(mine, link, n) + np.bincount(a[loop], 2 * w[loop], n)
+    there = (np.bincount(mine, minlength=n) + np.bincount(a[loop], minlength=n)) > 0
+    order = np.argsort(mine, kind="stable")
+    other, link = other[order], link[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(mine, minlength=n))])
+    del mine, order
+    cuts, quiet = [0], 0
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, min(n, int(np.searchsorted(first, first[cuts[-1]] + SLICE, "right")) - 1)))
+    for turn in range(ROUNDS):
+        mass, after, moved = np.bincount(community, k, n), community.copy(), 0
+        may = (bits >> turn) & 1 == 0
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            arcs = slice(first[lo], first[hi])
+            v = np.repeat(np.arange(lo, hi, dtype=np.int64), np.diff(first[lo : hi + 1]))
+            # Every node also weighs staying where it is, with no links to show for it if need be.
+            key = np.concatenate([v * n + community[other[arcs]], np.arange(lo, hi, dtype=np.int64) * n + community[lo:hi]])
+            value = np.concatenate([link[arcs], np.zeros(hi - lo)])
+            order = np.argsort(key)
+            key = key[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            v, c = key[start] // n, key[start] % n
+            own = c == community[v]
+            gain = np.round(np.add.reduceat(value[order], start) - resolution * k[v] * (mass[c] - np.where(own, k[v], 0.0)) / (2 * total), 9)
+            heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            best, now = np.maximum.reduceat(gain, heads), gain[own]
+            top = np.flatnonzero(gain == best[v - lo])  # in order of v and c, so the first of a node is its smallest
+            target = c[top[np.concatenate([[True], v[top[1:]] != v[top[:-1]]])]]
+            go = (best > now) & may[lo:hi]
+            after[lo:hi] = np.where(go, target, community[lo:hi])
+            moved += int((go & there[lo:hi]).sum())
+        community = after
+        quiet = quiet + 1 if moved <= SETTLED * there.sum() else 0
+        if quiet == 2:
+            break
+    return community
+
+
+def _split(a, b, w, home, which, bits, resolution: float):
+    """split() on arrays: the communities for which `which` holds, partitioned again on their own."""
+    import numpy as np
+
+    inside = (home[a] == home[b]) & which[home[a]]
+    a, b, w = a[inside], b[inside], w[inside]
+    again = np.where(which[home], np.arange(len(home), dtype=np.int32), home)
+    if w.sum():
+        nodes = np.unique(np.concatenate([a, b]))
+        parts = _parts(a, b, _levels(a, b, w, nodes, np.arange(len(home), dtype=np.int32), bits, w.sum(), resolution, True, LEVELS, None))
+        again[nodes] = parts[nodes]
+    return again
+
+
+def _parts(a, b, home):
+    """The connected parts of communities, named after their smallest number."""
+    import numpy as np
+
+    name, inside = np.arange(len(home), dtype=np.int32), home[a] == home[b]
+    a, b = a[inside], b[inside]
+    while len(a):
+        p, q = name[a], name[b]
+        np.minimum.at(name, p, q)
+        np.minimum.at(name, q, p)
+        while (name[name] != name).any():
+            name = name[name]
+        apart = name[a] != name[b]
+        a, b = a[apart], b[apart]
+    return name
+
+
 def connected_parts(pairs: DataFrame, home: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, community): the connected parts of the communities of home (v, c), each named after its smallest id."""
     side = lambda end: home.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}"))
@@ -206,11 +385,19 @@ def cluster(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, hub_per
     from .aggregate import degree_endpoints, hub_nodes
 
     pairs = written(undirected_weights(edges))
-    hubs = hub_nodes(degree_endpoints(edges, nodes), hub_percentile).select("id") if hub_percentile is not None else nodes.limit(0).select("id")
-    rest = pairs.join(hubs, pairs["a"] == hubs["id"], "left_anti").join(hubs, pairs["b"] == hubs["id"], "left_anti")
+    if hub_percentile is None and pairs.count() <= LEVEL:
+        ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        alone = nodes.select("id").join(ends, "id", "left_anti")
+        found = partition(pairs, resolution, split_of=ends.count() + alone.count())
+        known = ends.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+        return total_order(written(known.unionByName(alone.withColumn("community", F.col("id")))))
+    hubs, rest = None, pairs
+    if hub_percentile is not None:
+        hubs = hub_nodes(degree_endpoints(edges, nodes), hub_percentile).select("id")
+        rest = pairs.join(hubs, pairs["a"] == hubs["id"], "left_anti").join(hubs, pairs["b"] == hubs["id"], "left_anti")
     found = written(partition(rest, resolution))
-    alone = nodes.select("id").join(found, "id", "left_anti").join(hubs, "id", "left_anti").withColumn("community", F.col("id"))
-    members = written(reattach_hubs(found.unionByName(alone), pairs, hubs) if hub_percentile is not None else found.unionByName(alone))
+    alone = nodes.select("id").join(found, "id", "left_anti").withColumn("community", F.col("id"))
+    members = written(found.unionByName(alone) if hubs is None else reattach_hubs(found.unionByName(alone.join(hubs, "id", "left_anti")), pairs, hubs))
     return total_order(written(split_loose(written(split_large(members, pairs)), pairs)))
 
 

@@ -373,3 +373,26 @@ def test_order_of_rows_does_not_matter(spark):
     e, n = cliques(spark)
     for op in (lambda x: B.collapse_directed(x), lambda x: B.collapse_undirected(x), lambda x: W.god_nodes(n, x)):
         assert sorted(map(str, op(e).collect())) == sorted(map(str, op(e.orderBy(F.desc("target"), F.rand(3))).collect()))
+
+
+def test_one_task_clusters_as_its_steps_do(spark, monkeypatch):
+    links = {tuple(sorted((g * 25 + i, (g if i % 7 else (g + 1) % 3) * 25 + (i * k) % 25))) for g in range(3) for i in range(25) for k in (2, 3)} | {(75, 75 + i) for i in range(1, 61)}
+    n = nodes(spark, [(f"n{i:03}", "x", "code", "f.py") for i in range(140)])
+    e = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", float(1 + (a * b) % 3)) for a, b in sorted(links)], "source string, target string, weight double")
+    calls, tables = [], C.local_moves
+    monkeypatch.setattr(C, "SLICE", 50)
+    monkeypatch.setattr(C, "local_moves", lambda *x: calls.append(1) or tables(*x))
+    one = {r.node_id: r.cid for r in C.cluster(n, e).collect()}
+    assert not calls and len(one) == 140  # hundreds of jobs before
+    pairs = C.written(C.undirected_weights(e))
+    found = C.written(C.partition(pairs))
+    members = found.unionByName(n.select("id").join(found, "id", "left_anti").withColumn("community", F.col("id")))
+    steps = C.split_loose(C.written(C.split_large(C.written(members), pairs)), pairs)
+    assert {r.node_id: r.cid for r in C.total_order(C.written(steps)).collect()} == one and not calls
+
+
+def test_one_task_partitions_as_tables_do(spark, monkeypatch):
+    pairs = spark.createDataFrame([(f"n{g}{i}", f"n{g}{j}", 1.0 + (i * j) % 3) for g in range(4) for i in range(6) for j in range(i)] + [(f"n{g}0", f"n{g + 1}1", 1.0) for g in range(3)], "a string, b string, weight double")
+    one = {r.id: r.community for r in C.partition(pairs, refine=False).collect()}
+    monkeypatch.setattr(C, "LEVEL", 0)
+    assert {r.id: r.community for r in C.partition(pairs, refine=False).collect()} == one
