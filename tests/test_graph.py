@@ -207,6 +207,56 @@ def test_betweenness_of_a_path(spark):
     assert {(r.source, r.target): round(r.betweenness, 9) for r in T.edge_betweenness(n, e).collect()} == {("a", "b"): round(4 / 6, 9), ("b", "c"): round(4 / 6, 9)}
 
 
+def test_betweenness_of_a_long_chain(spark, monkeypatch):
+    """300 steps, a table each before; the last end is no node, an edge is given twice, one has no end, and at first two ids share a hash."""
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import paths
+
+    m, real = 301, paths._hashes
+    n = spark.createDataFrame([(f"v{i}", i) for i in range(m - 1)], "id string, _ord long")
+    e = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(m - 1)] + [("v3", "v2"), ("v3", "v3"), ("v4", None)], "source string, target string")
+    monkeypatch.setattr(paths, "_hashes", lambda c, salt: real(c, salt) if salt else (F.length(c).cast("long"), real(c, 0)[1]))
+    got = {r.id: r.betweenness for r in T.betweenness(n, e, pivots=2).collect()}
+    scale = 1 / ((m - 2) * (m - 3)) * (m - 1) / 2
+    want = {f"v{i}": scale * (m - 1 - i) * (2 if i > 1 else i) for i in range(m - 1)}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+
+
+def test_dependencies_in_small_pieces_and_files(spark):
+    """A hub's arcs shared out, levels over many parts and vectors in files, against plain counting."""
+    import random
+    from collections import Counter
+
+    from graphloom.operators.paths import dependencies
+
+    rng = random.Random(8)
+    names = [f"x{i}" for i in range(300)]
+    pairs = [(rng.choice(names[:290]), rng.choice(names[:290])) for _ in range(500)] + [("x0", v) for v in names[1:120]]
+    near = {v: set() for v in names}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b), near[b].add(a)
+    want, sources = Counter(), ["x0", "x7", "x7", "x299", "missing"]
+    for s in sources[:-1]:
+        levels, paths = [[s]], Counter({s: 1.0})
+        while levels[-1]:
+            step = Counter()
+            for v in levels[-1]:
+                step.update({w: paths[v] for w in near[v] if w not in paths})
+            paths.update(step)
+            levels.append(sorted(step))
+        owed = Counter()
+        for front, back in zip(levels[-2::-1], levels[:0:-1], strict=True):
+            for v in front:
+                owed[v] = sum(paths[v] / paths[w] * (1 + owed[w]) for w in back if w in near[v])
+        want.update({v: x for v, x in owed.items() if v != s})
+    n = spark.createDataFrame([(v,) for v in names], "id string")
+    got = {r.id: r.total or 0.0 for r in dependencies(n, spark.createDataFrame(pairs, "source string, target string"), sources, piece=5, held=0).collect()}
+    assert got.keys() == set(names) and all(abs(got[v] - want[v]) < 1e-9 for v in names)
+    assert dependencies(n, spark.createDataFrame([], "source string, target string"), []) is None
+
+
 def cliques(spark, k=3, size=5):
     rows = [(f"{c}{i}", f"{c}{j}") for c in range(k) for i in range(size) for j in range(i)] + [(f"{c}0", f"{c + 1}0") for c in range(k - 1)]
     return edges(spark, rows), nodes(spark, [(f"{c}{i}",) for c in range(k) for i in range(size)] + [("alone",)])
