@@ -257,6 +257,23 @@ def test_dependencies_in_small_pieces_and_files(spark):
     assert dependencies(n, spark.createDataFrame([], "source string, target string"), []) is None
 
 
+def test_bridges_find_the_top_nodes_once(spark):
+    """What stands behind the few top nodes, here counted as it is read, is not found again for their neighbours."""
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    n = spark.createDataFrame([(f"n{i}", f"N{i}", "code", "a.py", i // 2, i) for i in range(6)], "id string, label string, file_type string, source_file string, community long, _ord long")
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)], "source string, target string")
+    central = T.betweenness(n, e).coalesce(1).mapInPandas(rows, "id string, betweenness double")
+    got = {r.question for r in W.questions_bridges(n, e, central).collect()}
+    assert got == {"Why does `N1` connect `Community 0` to `Community 1`?", "Why does `N2` connect `Community 1` to `Community 0`?", "Why does `N3` connect `Community 1` to `Community 2`?"}
+    assert read.value == 6
+
+
 def cliques(spark, k=3, size=5):
     rows = [(f"{c}{i}", f"{c}{j}") for c in range(k) for i in range(size) for j in range(i)] + [(f"{c}0", f"{c + 1}0") for c in range(k - 1)]
     return edges(spark, rows), nodes(spark, [(f"{c}{i}",) for c in range(k) for i in range(size)] + [("alone",)])
