@@ -1,12 +1,12 @@
 """Community detection (T13-T23) and stable labels.
 
-One algorithm at every size, on tables. A phase of local moves is a number of rounds in which nodes
+One algorithm at every size. A phase of local moves is a number of rounds in which nodes
 move to the community of greatest gain in modularity; a round lets about half of the nodes move, by
 a hash, so that neighbours do not swap for ever. With refine, moves within the communities found so
 far, from single nodes, give smaller ones (as in Leiden), which are contracted, while the next level
-starts from the greater ones. In the end communities fall apart into their connected parts. Nothing
-but tables grows with the graph: no component or community has to fit one worker. Once a level has at
-most LEVEL pairs, one task makes the same moves on it and on all that follow, with the same result.
+starts from the greater ones. In the end communities fall apart into their connected parts. Levels of
+more than LEVEL pairs lie in mapped files and are moved in parts (partitions.py); once a level has at
+most so many, one task makes the same moves on it and on all that follow, with the same result.
 """
 
 from __future__ import annotations
@@ -19,15 +19,14 @@ from .scratch import written
 ROUNDS, LEVELS = 6, 6
 SETTLED = 0.002  # a phase ends when a round moves a smaller share of the nodes
 SMALL = 1_000_000  # pairs that one task joins up; the result is the same either way
-LEVEL = 10_000_000  # pairs of a level that one task partitions to the end, in some 60 bytes each; the result is the same either way
-SLICE = 200_000  # arcs that such a task sorts at a time
+LEVEL = 1_000_000  # pairs of a level that one task partitions to the end, in some 60 bytes each; the result is the same either way
+SLICE = 200_000  # arcs that a task sorts at a time
 COHESION_FLOOR, COHESION_LEAST = 0.05, 50  # fixed values: communities this large and less cohesive are split
 
 
 def undirected_weights(edges: DataFrame) -> DataFrame:
     """(a, b, weight) per unordered pair, the greatest weight (1 where absent)."""
-    w = F.coalesce("weight", F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    return edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), w.alias("weight")).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    return _ends(edges).groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
 def induced(pairs: DataFrame, subset: DataFrame) -> DataFrame:
@@ -123,49 +122,44 @@ def contract(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def partition(pairs: DataFrame, resolution: float = 1.0, refine: bool = True, split_of: int | None = None) -> DataFrame:
     """T13 (refine) and T14: (id, community), a community being named after its smallest member.
 
-    With split_of, how many nodes there are in all, the large and loose communities are split as well;
-    the pairs must not be more than LEVEL then.
+    With split_of, how many nodes there are in all, the large and loose communities are split as well.
     """
     total = pairs.agg(F.sum("weight")).first()[0]
     if not total:
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("community")).limit(0)
+    if pairs.count() > LEVEL:
+        return _partition_files(pairs, "sum", resolution, refine, split_of)
     # Numbers in the order of ids, so that ties fall alike however the table is partitioned.
     ids = pairs.select("a").union(pairs.select("b")).distinct().orderBy("a")
     ids = written(ids.select(F.col("a").alias("id"), F.monotonically_increasing_id().alias("v")), "ids")
     start = ids.select("v", F.col("v").alias("c"), F.xxhash64("id").alias("h"))
-    small = pairs.count() <= LEVEL
-    if split_of is not None and not small:
-        raise ValueError("more pairs than one task splits")
-    if small and start.select("h").distinct().count() == start.count():
-        # No two ids of one hash, so the task finds the numbers of a pair's ends by their hashes.
-        hashed = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "weight")
-        return by_name(finished(hashed, start, total, resolution, refine, LEVELS, None, True, True, split_of), ids)
-    number = lambda end: ids.select(F.col("id").alias(end), F.col("v").alias(f"v_{end}"))
-    level = whole = written(pairs.join(number("a"), "a").join(number("b"), "b").select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), F.col("weight").cast("double").alias("weight")), "pairs")
-    member = ids.select("v", F.col("v").alias("c"))  # the node of the level that a node of the graph lies in
-    before = None
-    for turn in range(LEVELS):
-        if level.count() <= LEVEL:
-            found = finished(level, start, total, resolution, refine, LEVELS - turn, before, turn == 0, False, split_of)
-            if turn == 0:
-                return by_name(found, ids)
-            home = written(member.select(F.col("v").alias("x"), F.col("c").alias("v")).join(found, "v").select(F.col("x").alias("v"), "c"), "home")
-            break
-        found = local_moves(level, start, total, resolution)
-        home = written(member.select(F.col("v").alias("x"), F.col("c").alias("v")).join(found.select("v", "c"), "v").select(F.col("x").alias("v"), "c"), "home")
-        size = home.select("c").distinct().count()
-        if size == before:
-            break
-        before, parts = size, found
-        if refine:
-            side = lambda end, found=found: found.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}"))
-            inside = level.join(side("a"), "a").join(side("b"), "b").where("c_a = c_b").select("a", "b", "weight")
-            parts = local_moves(inside, found.select("v", F.col("v").alias("c"), "h"), total, resolution)
-        member = written(member.select(F.col("v").alias("x"), F.col("c").alias("v")).join(parts.select("v", "c"), "v").select(F.col("x").alias("v"), "c"), "member")
-        # Contracted nodes start in the communities that their parts were found in.
-        start = written(parts.join(found.select("v", F.col("c").alias("whole")), "v").groupBy("c").agg(F.min("whole").alias("whole"), F.min("h").alias("h")).select(F.col("c").alias("v"), F.col("whole").alias("c"), "h"), "start")
-        level = contract(level, parts)
-    return connected_parts(whole, home, ids)
+    if start.select("h").distinct().count() != start.count():
+        return _partition_files(pairs, "sum", resolution, refine, split_of)
+    # No two ids of one hash, so the task finds the numbers of a pair's ends by their hashes.
+    hashed = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "weight")
+    return by_name(finished(hashed, start, total, resolution, refine, split_of), ids)
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """The pairs of undirected_weights() before they are grouped."""
+    w = F.coalesce("weight", F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    return edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), w.alias("weight"))
+
+
+def _partition_files(pairs: DataFrame, how: str, resolution: float, refine: bool, split_of: int | None = None) -> DataFrame:
+    from .partitions import Partitioned
+
+    files = Partitioned(pairs, how)
+    if files.level is None or not files.level.total:
+        return pairs.select(F.col("a").alias("id"), F.col("b").alias("community")).limit(0)
+    return files.rows(files.partition(resolution, refine, split_of))
+
+
+def partition_edges(edges: DataFrame, resolution: float = 1.0, refine: bool = True) -> DataFrame:
+    """partition() of undirected_weights(); the pairs of many edges are grouped where they are laid out, without a table of their own."""
+    if edges.count() > LEVEL:
+        return _partition_files(_ends(edges), "max", resolution, refine)
+    return partition(written(undirected_weights(edges)), resolution, refine)
 
 
 def by_name(found: DataFrame, ids: DataFrame) -> DataFrame:
@@ -173,10 +167,10 @@ def by_name(found: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "v").select("id", "c").join(ids.select(F.col("v").alias("c"), F.col("id").alias("community")), "c").select("id", "community")
 
 
-def finished(level: DataFrame, start: DataFrame, total: float, resolution: float, refine: bool, levels: int, before: int | None, connected: bool, hashed: bool, split_of: int | None) -> DataFrame:
-    """(v, c) for the nodes of start (v, c, h): the last home of each after so many levels, in one task; its connected part if connected.
+def finished(level: DataFrame, start: DataFrame, total: float, resolution: float, refine: bool, split_of: int | None) -> DataFrame:
+    """(v, c) for the nodes of start (v, c, h): the connected part of the last home of each, in one task.
 
-    If hashed, the ends of pairs are given by h instead of v. With split_of the parts are split as split_large and split_loose do.
+    The ends of pairs are given by h. With split_of the parts are split as split_large and split_loose do.
     """
 
     def run(batches):
@@ -193,19 +187,17 @@ def finished(level: DataFrame, start: DataFrame, total: float, resolution: float
         if not nodes:
             return
         v, c, h = (np.concatenate(x) for x in zip(*nodes, strict=True))
-        # Numbers without gaps, in the same order; communities may be named after numbers that are no node of this level.
-        names = np.unique(np.concatenate([v, c]))
+        # Numbers without gaps, in the same order.
+        names = np.unique(v)
         at = np.searchsorted(names, v)
         community, bits = np.arange(len(names), dtype=np.int32), np.zeros(len(names), np.int64)
         community[at], bits[at] = np.searchsorted(names, c), h
         order = np.argsort(h)
-        number = (lambda x: at[order[np.searchsorted(h[order], x)]]) if hashed else (lambda x: np.searchsorted(names, x))
+        number = lambda x: at[order[np.searchsorted(h[order], x)]]
         ends = [np.concatenate([number(p[i]).astype(np.int32) for p in pairs]) if pairs else np.zeros(0, np.int32) for i in (0, 1)]
         weights = np.concatenate([p[2] for p in pairs]) if pairs else np.zeros(0)
         del pairs, nodes
-        home = _levels(ends[0], ends[1], weights, at, community, bits, total, resolution, refine, levels, before)
-        if connected:
-            home = _parts(ends[0], ends[1], home)
+        home = _parts(ends[0], ends[1], _levels(ends[0], ends[1], weights, at, community, bits, total, resolution, refine, LEVELS, None))
         if split_of is not None:
             size = np.bincount(home, minlength=len(home))
             home = _split(ends[0], ends[1], weights, home, size > max(10, int(split_of * 0.25)), bits, resolution)
@@ -271,24 +263,15 @@ def _moves(a, b, w, community, bits, total: float, resolution: float):
         mass, after, moved = np.bincount(community, k, n), community.copy(), 0
         may = (bits >> turn) & 1 == 0
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            arcs = slice(first[lo], first[hi])
+            # Those that may not move in this round need not be weighed.
+            free, arcs = np.arange(lo, hi, dtype=np.int64)[may[lo:hi]], slice(first[lo], first[hi])
+            if not len(free):
+                continue
+            on = np.repeat(may[lo:hi], np.diff(first[lo : hi + 1]))
             v = np.repeat(np.arange(lo, hi, dtype=np.int64), np.diff(first[lo : hi + 1]))
-            # Every node also weighs staying where it is, with no links to show for it if need be.
-            key = np.concatenate([v * n + community[other[arcs]], np.arange(lo, hi, dtype=np.int64) * n + community[lo:hi]])
-            value = np.concatenate([link[arcs], np.zeros(hi - lo)])
-            order = np.argsort(key)
-            key = key[order]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            v, c = key[start] // n, key[start] % n
-            own = c == community[v]
-            gain = np.round(np.add.reduceat(value[order], start) - resolution * k[v] * (mass[c] - np.where(own, k[v], 0.0)) / (2 * total), 9)
-            heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            best, now = np.maximum.reduceat(gain, heads), gain[own]
-            top = np.flatnonzero(gain == best[v - lo])  # in order of v and c, so the first of a node is its smallest
-            target = c[top[np.concatenate([[True], v[top[1:]] != v[top[:-1]]])]]
-            go = (best > now) & may[lo:hi]
-            after[lo:hi] = np.where(go, target, community[lo:hi])
-            moved += int((go & there[lo:hi]).sum())
+            go, target = best_moves(free, v[on], other[arcs][on], link[arcs][on], community, k[free], mass, total, resolution)
+            after[free[go]] = target[go]
+            moved += int((go & there[free]).sum())
         community = after
         quiet = quiet + 1 if moved <= SETTLED * there.sum() else 0
         if quiet == 2:
@@ -296,6 +279,25 @@ def _moves(a, b, w, community, bits, total: float, resolution: float):
     return community
 
 
+def best_moves(nodes, v, other, link, community, k, mass, total: float, resolution: float):
+    """Whether each of nodes (in order) gains by a move, and the best community for it: the arcs from v, all of these nodes, to other; k of the nodes."""
+    import numpy as np
+
+    # Every node also weighs staying where it is, with no links to show for it if need be.
+    key = np.concatenate([v << 32 | community[other], nodes << 32 | community[nodes]])
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    v, c = key[start] >> 32, key[start] & 0xFFFFFFFF
+    heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    at = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(v)))
+    own, k = c == community[v], k[at]
+    gain = np.round(np.add.reduceat(np.concatenate([link, np.zeros(len(nodes))])[order], start) - resolution * k * (mass[c] - np.where(own, k, 0.0)) / (2 * total), 9)
+    best, now = np.maximum.reduceat(gain, heads), gain[own]
+    top = np.flatnonzero(gain == best[at])  # in order of v and c, so the first of a node is its smallest
+    return best > now, c[top[np.concatenate([[True], at[top[1:]] != at[top[:-1]]])]]
+
+
 def _split(a, b, w, home, which, bits, resolution: float):
     """split() on arrays: the communities for which `which` holds, partitioned again on their own."""
     import numpy as np
@@ -327,15 +329,6 @@ def _parts(a, b, home):
     return name
 
 
-def connected_parts(pairs: DataFrame, home: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, community): the connected parts of the communities of home (v, c), each named after its smallest id."""
-    side = lambda end: home.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}"))
-    named = lambda end: ids.select(F.col("v").alias(end), F.col("id").alias(f"id_{end}"))
-    inside = pairs.join(side("a"), "a").join(side("b"), "b").where("c_a = c_b").join(named("a"), "a").join(named("b"), "b")
-    joined = written(components(inside.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
-    return ids.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
-
-
 def total_order(members: DataFrame) -> DataFrame:
     """Community numbers by size, greatest first, then by the smallest member: (cid, node_id)."""
     groups = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
@@ -384,8 +377,16 @@ def cluster(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, hub_per
     """(cid, node_id): hubs out, partition, isolated nodes alone, hubs back, large and loose ones split, numbered."""
     from .aggregate import degree_endpoints, hub_nodes
 
+    if hub_percentile is None and edges.count() > LEVEL:
+        from .partitions import Partitioned
+
+        files = Partitioned(_ends(edges), "max")
+        # Spark takes rows read from files for few and would send them all to the driver.
+        alone = written(nodes.select("id").join(files.rows().hint("merge"), "id", "left_anti"))
+        found = files.rows(files.partition(resolution, True, files.n + alone.count()))
+        return total_order(written(found.unionByName(alone.withColumn("community", F.col("id")))))
     pairs = written(undirected_weights(edges))
-    if hub_percentile is None and pairs.count() <= LEVEL:
+    if hub_percentile is None:
         ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         alone = nodes.select("id").join(ends, "id", "left_anti")
         found = partition(pairs, resolution, split_of=ends.count() + alone.count())

@@ -450,7 +450,7 @@ def connected_components(spark, d):
 
 @query("clusters")
 def clusters(spark, d):
-    return C.cluster(nodes(spark, d), edges(spark, d))
+    return C.cluster(nodes(spark, d), edges(spark, d, repeated=True))
 
 
 @query("louvain_communities")

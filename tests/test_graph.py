@@ -463,3 +463,50 @@ def test_one_task_partitions_as_tables_do(spark, monkeypatch):
     one = {r.id: r.community for r in C.partition(pairs, refine=False).collect()}
     monkeypatch.setattr(C, "LEVEL", 0)
     assert {r.id: r.community for r in C.partition(pairs, refine=False).collect()} == one
+
+
+def planted(spark, groups, size, inside, outside, seed):
+    import random
+
+    rng = random.Random(seed)
+    links = {tuple(sorted((g * size + rng.randrange(size), g * size + rng.randrange(size)))) for g in range(groups) for _ in range(inside)} | {tuple(sorted((rng.randrange(groups * size), rng.randrange(groups * size)))) for _ in range(outside)}
+    return spark.createDataFrame([(f"n{a:03}", f"n{b:03}", float(1 + (a * b) % 3)) for a, b in sorted(links)], "source string, target string, weight double")
+
+
+def test_parts_in_files_partition_as_one_task_does(spark, monkeypatch):
+    """Levels above LEVEL pairs, here all or all but the last ones, are moved in parts; no pairs are grouped in tables and no rounds are joins."""
+    from graphloom.operators import partitions as P
+
+    e = planted(spark, 12, 25, 90, 150, 4)
+    e = e.union(e.where("weight = 3").select("target", "source", F.lit(1.0))).union(e.limit(0))
+    one = {refine: {r.id: r.community for r in C.partition_edges(e, refine=refine).collect()} for refine in (True, False)}
+    whole = {r.node_id: r.cid for r in C.cluster(e.select(F.col("source").alias("id")).union(spark.createDataFrame([("alone",)], "id string")).distinct(), e).collect()}
+    calls = []
+    for name in ("local_moves", "contract", "undirected_weights", "components"):
+        monkeypatch.setattr(C, name, lambda *x: calls.append(1))
+    monkeypatch.setattr(P, "LOAD", 600)
+    monkeypatch.setattr(P, "HELD", 0)
+    for least in (0, 60, 500):
+        monkeypatch.setattr(C, "LEVEL", least)
+        for refine in (True, False):
+            assert {r.id: r.community for r in C.partition_edges(e, refine=refine).collect()} == one[refine] and not calls
+    monkeypatch.setattr(C, "LEVEL", 60)
+    n = e.select(F.col("source").alias("id")).union(spark.createDataFrame([("alone",)], "id string")).distinct()
+    assert {r.node_id: r.cid for r in C.cluster(n, e).collect()} == whole and not calls
+
+
+def test_parts_in_files_split_large_and_loose_communities(spark, monkeypatch):
+    links = {tuple(sorted((g * 25 + i, (g if i % 7 else (g + 1) % 3) * 25 + (i * k) % 25))) for g in range(3) for i in range(25) for k in (2, 3)} | {(75, 75 + i) for i in range(1, 61)}
+    n = nodes(spark, [(f"n{i:03}", "x", "code", "f.py") for i in range(140)])
+    e = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", float(1 + (a * b) % 3)) for a, b in sorted(links)], "source string, target string, weight double")
+    one = {r.node_id: r.cid for r in C.cluster(n, e).collect()}
+    for least in (0, 50):
+        monkeypatch.setattr(C, "LEVEL", least)
+        assert {r.node_id: r.cid for r in C.cluster(n, e).collect()} == one
+
+
+def test_files_hold_null_and_empty_ids(spark, monkeypatch):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), (None, None), ("", "a"), ("é", "日本"), ("x", None)], "source string, target string")
+    one = sorted((str(r.id), str(r.community)) for r in C.partition_edges(e).collect())
+    monkeypatch.setattr(C, "LEVEL", 0)
+    assert sorted((str(r.id), str(r.community)) for r in C.partition_edges(e).collect()) == one and len(one) == 8
