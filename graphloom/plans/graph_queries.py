@@ -455,7 +455,7 @@ def clusters(spark, d):
 
 @query("louvain_communities")
 def louvain_communities(spark, d):
-    return C.partition(C.undirected_weights(edges(spark, d)), refine=False)
+    return C.partition_edges(edges(spark, d, repeated=True), refine=False)
 
 
 @query("stable_labels", f"{MEMBERS} SELECT CAST(cid AS BIGINT) AS cid, node_id FROM c")
